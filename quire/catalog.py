@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.operators import moments
+from quire.operators import moments, packed
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "p2_found": moments.p2_found,
         "p2_normalise": moments.p2_normalise,
         "p2_zones": moments.p2_zones,
+        "p3_found": packed.p3_found,
+        "p3_unpack": packed.p3_unpack,
     }
 
 

@@ -38,17 +38,17 @@ _TAIL = rf"\s*{_OFF}?{_ZONE}$"
 PATTERNS = [
     re.compile(p, re.I)
     for p in (
-        rf"(?P<y>\d{{4}})-(?P<mo>\d\d)-(?P<d>\d\d)[T ]+{_TIME}\s*(?P<ap>[AP]M)?{_TAIL}",
+        rf"(?P<y>\d{{4}})-(?P<mo>\d\d)-(?P<d>\d\d)[T ]+{_TIME}\s*(?P<ap>[AP]M(?![A-Za-z]))?{_TAIL}",
         rf"(?P<y>\d{{4}})(?P<mo>\d\d)(?P<d>\d\d)[T ](?P<h>\d\d)(?P<mi>\d\d)(?P<s>\d\d)?(?:[.,](?P<f>\d{{1,9}}))?{_TAIL}",
         rf"D:(?P<y>\d{{4}})(?P<mo>\d\d)(?P<d>\d\d)(?P<h>\d\d)(?P<mi>\d\d)(?P<s>\d\d)?{_TAIL}",
         rf"(?P<y>\d{{4}})-(?P<doy>\d{{3}})[T ]{_TIME}{_TAIL}",
         rf"(?P<y>\d{{4}})-?W(?P<w>\d\d)-?(?P<wd>[1-7])[T ]{_TIME}{_TAIL}",
-        rf"(?:[A-Za-z]{{3,9}},?\s+)?(?P<d>\d{{1,2}})[ \-](?P<mon>[A-Za-z]{{3,9}})\.?[ \-](?P<y>\d{{4}}),?\s+{_TIME}\s*(?P<ap>[AP]M)?{_TAIL}",
+        rf"(?:[A-Za-z]{{3,9}},?\s+)?(?P<d>\d{{1,2}})[ \-](?P<mon>[A-Za-z]{{3,9}})\.?[ \-](?P<y>\d{{4}}),?\s+{_TIME}\s*(?P<ap>[AP]M(?![A-Za-z]))?{_TAIL}",
         rf"[A-Za-z]{{3,9}}\s+(?P<mon>[A-Za-z]{{3,9}})\s+(?P<d>\d{{1,2}})\s+{_TIME}\s+(?P<abbr0>[A-Z]{{1,5}}|[+\-]\d{{4}})\s+(?P<y>\d{{4}})$",
-        rf"(?P<mon>[A-Za-z]{{3,9}})\.?\s+(?P<d>\d{{1,2}}),?\s+(?P<y>\d{{4}}),?(?:\s+at)?\s+{_TIME}\s*(?P<ap>[AP]\.?M\.?)?{_TAIL}",
+        rf"(?P<mon>[A-Za-z]{{3,9}})\.?\s+(?P<d>\d{{1,2}}),?\s+(?P<y>\d{{4}}),?(?:\s+at)?\s+{_TIME}\s*(?P<ap>[AP]\.?M\b\.?)?{_TAIL}",
         rf"(?P<d>\d{{1,2}})\.(?P<mo>\d{{1,2}})\.(?P<y>\d{{4}}),?\s+{_TIME}{_TAIL}",
-        rf"(?P<s1>\d{{1,2}})/(?P<s2>\d{{1,2}})/(?P<y>\d{{4}}),?\s+{_TIME}\s*(?P<ap>[AP]M)?{_TAIL}",
-        rf"(?P<y>\d{{4}})/(?P<mo>\d{{1,2}})/(?P<d>\d{{1,2}})\s+{_TIME}\s*(?P<ap>[AP]M)?{_TAIL}",
+        rf"(?P<s1>\d{{1,2}})/(?P<s2>\d{{1,2}})/(?P<y>\d{{4}}),?\s+{_TIME}\s*(?P<ap>[AP]M(?![A-Za-z]))?{_TAIL}",
+        rf"(?P<y>\d{{4}})/(?P<mo>\d{{1,2}})/(?P<d>\d{{1,2}})\s+{_TIME}\s*(?P<ap>[AP]M(?![A-Za-z]))?{_TAIL}",
     )
 ]
 EPOCH = re.compile(r"(?:/Date\((-?\d{9,13})(?:[+\-]\d{4})?\)/|(-?\d{9,10})(?:\.(\d+))?|(-?\d{12,13}))$")
