@@ -14,6 +14,7 @@ Defined results: null, empty and ASCII-only values are never garbled; a garbled
 
 from __future__ import annotations
 
+import html
 import re
 from functools import lru_cache
 
@@ -30,7 +31,13 @@ LATIN = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250")
 CYRILLIC = ("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic")
 #: Letters that matched words of single-byte chains must have together in one value.
 WEIGHT = 4
+#: What one symbol in such a word counts: letters are exchanged for letters by chance, but seldom for symbols.
+SYMBOL = 4
+# Punctuation beyond ASCII of ordinary text.
+USUAL = "‘’‚“”„«»‹›–—…·•°©®™§€£№¿¡\u00a0\u202f\u2009ªº½¼¾²³"
 WORD = r"[A-Za-z[^\x00-\x7F]]*[^\x00-\x7F][A-Za-z[^\x00-\x7F]]*"
+#: A character reference that may stand for a character beyond ASCII.
+REFERENCE = r"&(?!(?:amp|lt|gt|quot|apos|nbsp);)(?:[A-Za-z]{2,8}\d*|#\d+|#[xX][0-9A-Fa-f]+);"
 RUN = r"[^\x00-\x7F]+"
 FIELDS = ("title", "html")
 
@@ -78,7 +85,8 @@ def forms(word: str) -> list[tuple[str, str, bool]]:
     out: dict[str, tuple[str, bool]] = {}
 
     def add(form: str | None, chain: str, strong: bool) -> None:
-        if form and form != word and form not in out and not form.isascii():
+        # a misread whose bytes were partly dropped is evidence only while it is longer than the word
+        if form and form != word and form not in out and not form.isascii() and not (chain.endswith("?") and len(form) <= len(word)):
             out[form] = (chain, strong)
 
     u8 = word.encode("utf-8", "ignore")
@@ -95,20 +103,38 @@ def forms(word: str) -> list[tuple[str, str, bool]]:
             if raw is None:
                 continue
             lost = raw.decode("utf-8", "replace")
-            if "�" in lost:
-                add(lost, f"{a}>utf-8", True)
+            add(lost, f"{a}>utf-8", True)
             for b in (*group, *other):
                 if a != b:
                     add(_read(raw, b), f"{a}>{b}", False)
     return [(f, c, s) for f, (c, s) in out.items()]
 
 
+def unescaped(text: str) -> str:
+    """Character references beyond ASCII as characters; those of markup signs stay."""
+
+    def one(m: re.Match) -> str:
+        c = html.unescape(m[0])
+        return m[0] if c.isascii() else c
+
+    return re.sub(r"&(?:[A-Za-z]+\d*|#\d+|#[xX][0-9A-Fa-f]+);", one, text)
+
+
+def _unescape_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([b.column(0), pa.array([unescaped(x) for x in b.column(1).to_pylist()], pa.string())], names=b.schema.names)
+
+
 def values(t: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
     """(key, field, words): the distinct words beyond ASCII of each value that has any."""
-    per = [
-        t.where(F.col(f).rlike(r"[^\x00-\x7F]")).select(key, F.lit(f).alias("field"), F.array_distinct(F.regexp_extract_all(f, F.lit(WORD), 0)).alias("words"))
-        for f in fields
-    ]
+
+    def words(d: DataFrame, f: str) -> DataFrame:
+        return d.where(F.col(f).rlike(r"[^\x00-\x7F]")).select(key, F.lit(f).alias("field"), F.array_distinct(F.regexp_extract_all(f, F.lit(WORD), 0)).alias("words"))
+
+    per = []
+    for f in fields:
+        escaped = F.coalesce(F.col(f).rlike(REFERENCE), F.lit(False))
+        per.append(words(t.where(~escaped), f))
+        per.append(words(arrow_map(t.where(escaped).select(key, f), _unescape_kernel, f"{key} bigint, {f} string"), f))
     out = per[0]
     for p in per[1:]:
         out = out.unionByName(p)
@@ -126,25 +152,35 @@ def vocabulary(v: DataFrame) -> DataFrame:
     return v.select(F.explode(with_runs()).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def weight_of(form: str, word: str) -> int:
+    """How much a form of a single-byte chain counts: its letters, and more for characters that no usual text holds (box drawing, mathematics,
+    controls). One letter for another proves nothing, nor does one symbol for a letter.
+    """
+    odd = sum(1 for c in form if not c.isalnum() and c not in USUAL and ord(c) > 127)
+    if len(form) == 1 and (word.isalnum() or not odd):
+        return 0
+    return len(form) + SYMBOL * odd
+
+
 def _forms_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
-    out = ([], [], [], [], [])
+    out = ([], [], [], [], [], [])
     for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
         if "�" in w or any("\x80" <= c < "\xa0" for c in w):
             continue  # no clean word
         for f, c, s in forms(w):
-            for o, x in zip(out, (f, w, n, c, s)):
+            for o, x in zip(out, (f, w, n, c, s, weight_of(f, w))):
                 o.append(x)
-    kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=["form", "original", "n_original", "chain", "strong"])
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=["form", "original", "n_original", "chain", "strong", "weight"])
 
 
 def mapping(v: DataFrame) -> DataFrame:
     """(form, original, chain, strong): garbled words of the corpus with their originals, the most frequent original first."""
     vocab = small_or_shuffled(vocabulary(v))
-    all_forms = arrow_map(vocab.select("word", "n"), _forms_kernel, "form string, original string, n_original bigint, chain string, strong boolean")
-    hit = all_forms.join(vocab.withColumnRenamed("n", "n_form"), F.col("form") == F.col("word")).where("strong or n_original > n_form")
-    best = hit.groupBy("form").agg(F.max(F.struct(F.col("strong").cast("int").alias("s"), "n_original", F.length("original").alias("len"), "original", "chain")).alias("b"))
-    return best.select("form", F.col("b.original").alias("original"), F.col("b.chain").alias("chain"), (F.col("b.s") == 1).alias("strong"))
+    all_forms = arrow_map(vocab.select("word", "n"), _forms_kernel, "form string, original string, n_original bigint, chain string, strong boolean, weight int")
+    hit = all_forms.join(vocab.withColumnRenamed("n", "n_form"), F.col("form") == F.col("word")).where("n_original > n_form or (strong and 3 * n_original >= n_form and length(form) > length(original))")
+    best = hit.groupBy("form").agg(F.max(F.struct(F.col("strong").cast("int").alias("s"), "n_original", F.length("original").alias("len"), "original", "chain", "weight")).alias("b"))
+    return best.select("form", F.col("b.original").alias("original"), F.col("b.chain").alias("chain"), (F.col("b.s") == 1).alias("strong"), F.col("b.weight").alias("weight"))
 
 
 def evidence(t: DataFrame, key: str = "book_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -152,7 +188,7 @@ def evidence(t: DataFrame, key: str = "book_id", fields: tuple[str, ...] = FIELD
     v = values(t, key, fields)
     m = small_or_shuffled(mapping(v))
     words = v.select(key, "field", F.explode(with_runs()).alias("form"))
-    hit = words.join(m, "form").groupBy(key, "field", "chain", "strong").agg(F.collect_set(F.struct("form", "original")).alias("pairs"), F.sum(F.length("form")).alias("weight"))
+    hit = words.join(m, "form").groupBy(key, "field", "chain", "strong").agg(F.collect_set(F.struct("form", "original")).alias("pairs"), F.sum("weight").alias("weight"))
     good = hit.where(f"strong or weight >= {WEIGHT}").select(key, "field", "pairs", F.lit(False).alias("lost"))
     lost = v.where(F.exists("words", lambda w: F.contains(w, F.lit("�")))).select(key, "field", F.array().cast("array<struct<form:string,original:string>>").alias("pairs"), F.lit(True).alias("lost"))
     return good.unionByName(lost).groupBy(key, "field").agg(F.flatten(F.collect_list("pairs")).alias("pairs"), F.max("lost").alias("lost"))
@@ -176,7 +212,7 @@ def _restore_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
             w = m[0]
             return known[w] if w in known else runs.sub(lambda r: known[r[0]], w)
 
-        new = word.sub(fix, text)
+        new = word.sub(fix, unescaped(text))
         for o, x in zip(out, (book, field, new, len(known), "�" not in new)):
             o.append(x)
     kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_())
