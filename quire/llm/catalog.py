@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import charset, formatting
+from quire.llm import charset, formatting, leaks
 
 
 def queries() -> dict:
@@ -11,6 +11,9 @@ def queries() -> dict:
         "p1_restore": charset.p1_restore,
         "p7_found": formatting.p7_found,
         "p7_groups": formatting.p7_groups,
+        "p9_found": leaks.p9_found,
+        "p9_spans": leaks.p9_spans,
+        "p9_clean": leaks.p9_clean,
     }
 
 
