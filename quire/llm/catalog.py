@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quire.llm import charset, formatting, leaks
+from quire.llm import charset, formatting, leaks, lookalike
 
 
 def queries() -> dict:
     return {
         "p1_found": charset.p1_found,
         "p1_restore": charset.p1_restore,
+        "p4_found": lookalike.p4_found,
+        "p4_unify": lookalike.p4_unify,
         "p7_found": formatting.p7_found,
         "p7_groups": formatting.p7_groups,
         "p9_found": leaks.p9_found,
