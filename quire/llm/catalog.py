@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import charset, formatting, leaks, lookalike, names
+from quire.llm import charset, formatting, language, leaks, lookalike, names
 
 
 def queries() -> dict:
@@ -18,6 +18,9 @@ def queries() -> dict:
         "p9_found": leaks.p9_found,
         "p9_spans": leaks.p9_spans,
         "p9_clean": leaks.p9_clean,
+        "p10_found": language.p10_found,
+        "p10_languages": language.p10_languages,
+        "p10_segments": language.p10_segments,
     }
 
 
