@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import charset, formatting, language, leaks, lookalike, names
+from quire.llm import charset, formatting, language, leaks, lookalike, markup, names
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "p1_restore": charset.p1_restore,
         "p4_found": lookalike.p4_found,
         "p4_unify": lookalike.p4_unify,
+        "p5_found": markup.p5_found,
+        "p5_clean": markup.p5_clean,
         "p6_found": names.p6_found,
         "p6_links": names.p6_links,
         "p7_found": formatting.p7_found,
