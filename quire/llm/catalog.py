@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import charset, formatting, language, leaks, lookalike, markup, names
+from quire.llm import charset, formatting, language, leaks, lookalike, markup, names, packing
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "p6_links": names.p6_links,
         "p7_found": formatting.p7_found,
         "p7_groups": formatting.p7_groups,
+        "p8_pack": packing.p8_pack,
+        "p8_fill": packing.p8_fill,
         "p9_found": leaks.p9_found,
         "p9_spans": leaks.p9_spans,
         "p9_clean": leaks.p9_clean,
