@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from quire.operators import moments, packed
+from quire.plans import corpus
 
 
 def queries() -> dict:
     return {
+        **corpus.QUERIES,
         "p2_found": moments.p2_found,
         "p2_normalise": moments.p2_normalise,
         "p2_zones": moments.p2_zones,
@@ -16,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {**corpus.ORACLES}
