@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from quire.operators import moments, packed
-from quire.plans import corpus, inspect
+from quire.plans import convert, corpus, inspect
 
 
 def queries() -> dict:
     return {
         **corpus.QUERIES,
         **inspect.QUERIES,
+        **convert.QUERIES,
         "p2_found": moments.p2_found,
         "p2_normalise": moments.p2_normalise,
         "p2_zones": moments.p2_zones,
