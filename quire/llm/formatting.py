@@ -26,8 +26,11 @@ STEP = 2
 
 
 def folded(c: Column) -> Column:
-    """Upper and then lower case, so that letters with a longer capital form agree with it."""
-    return F.lower(F.upper(c))
+    """Lower case in which letters with a longer capital form agree with it (the optimizer would drop a detour by upper case)."""
+    out = F.lower(c)
+    for a, b in (("ß", "ss"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ς", "σ")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
 
 
 def squeezed(c: Column) -> Column:

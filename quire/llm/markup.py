@@ -220,10 +220,12 @@ class Page:
         while k > 0:
             limit = min(limit, density[k])
             k = self.parent[k]
+        # inside the selected subtree, blocks that are mostly links and thinner than the threshold go; outside it, dense ones stay
         keep: set[int] = set()
         for k in range(n):
-            p = self.parent[k]
-            if k == best or (p in keep) or (k and density[k] >= limit > 0):
+            inside = k == best or self.parent[k] in keep
+            links = c[k] and lc[k] > 0.5 * c[k] and density[k] < limit and self.tag[k] in BLOCK
+            if (inside and not links) or (k and density[k] >= limit > 0):
                 keep.add(k)
         got, whole = sum(self.chars[k] for k in keep), c[0]
         return keep if got >= KEEP * whole else set(range(n))
