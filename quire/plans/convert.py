@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quire.operators import pdf
 from quire.operators.flatten import flatten
 from quire.operators.paginate import Options, paginate
-from quire.runtime import arrow_map, table, tune
+from quire.runtime import arrow_map, spread, table, tune
 from quire.sources import images
 
 RESULT = "book_id bigint, pages int, headings int, images int, dropped int, out_bytes bigint, error string"
@@ -75,10 +75,14 @@ def write_pdfs(converted: DataFrame, folder: str) -> DataFrame:
     return arrow_map(converted, kernel, "book_id bigint, path string, pages int, out_bytes bigint, error string")
 
 
+def books(spark, d) -> DataFrame:
+    return spread(table(spark, d, "books").select("book_id", "title", "authors", "publisher", "html", "flows", "paged", "cover_index"))
+
+
 def paginate_books(spark, d) -> DataFrame:
     """Page, heading and image counts of every book in the default layout."""
     tune(spark, 200)
-    return convert(table(spark, d, "books"), files=False).drop("out_bytes")
+    return convert(books(spark, d), files=False).drop("out_bytes")
 
 
 def compact_pages(spark, d) -> DataFrame:
@@ -86,7 +90,7 @@ def compact_pages(spark, d) -> DataFrame:
     from quire.plans.naming import options_for
 
     tune(spark, 200)
-    b = table(spark, d, "books")
+    b = books(spark, d)
     one = convert(b, options_for("ereader"), False).select("book_id", F.col("pages").alias("pages_default"))
     two = convert(b, options_for("compact"), False).select(F.col("book_id").alias("b_id"), F.col("pages").alias("pages_compact"))
     return one.join(two, F.col("book_id") == F.col("b_id")).select("book_id", "pages_default", "pages_compact", F.round(F.try_divide("pages_compact", "pages_default"), 6).alias("share"))
@@ -95,7 +99,7 @@ def compact_pages(spark, d) -> DataFrame:
 def book_files(spark, d) -> DataFrame:
     """The size of every book's file; bytes are made in one pass and dropped after they are counted."""
     tune(spark, 100)
-    return convert(table(spark, d, "books")).select("book_id", "pages", (F.octet_length("pdf") > 0).alias("written"), "error")
+    return convert(books(spark, d)).select("book_id", "pages", (F.octet_length("pdf") > 0).alias("written"), "error")
 
 
 def resource_pixels(spark, d) -> DataFrame:

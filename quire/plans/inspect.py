@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.flatten import blocks
-from quire.runtime import table, tune
+from quire.runtime import spread, table, tune
 
 
 def book_blocks(spark, d) -> DataFrame:
     tune(spark, 500)
-    return blocks(table(spark, d, "books"))
+    return blocks(spread(table(spark, d, "books").select("book_id", "html", "flows")))
 
 
 def blocks_flatten(spark, d) -> DataFrame:

@@ -70,6 +70,13 @@ def collect_bounded(df: DataFrame, rows: int, what: str) -> list:
     return got
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than the session has cores is dealt out evenly before a Python kernel; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if parts >= cores else df.repartition(cores)
+
+
 def arrow_map(df: DataFrame, kernel, schema: str) -> DataFrame:
     """``mapInArrow`` over record batches; ``kernel`` gets and returns one pyarrow RecordBatch (or None for no rows)."""
 
