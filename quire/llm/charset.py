@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.runtime import arrow_map, small_or_shuffled, table, tune
+from quire.runtime import arrow_map, small_or_shuffled, spread, table, tune
 
 # Charsets that text is misread under, and pairs of charsets of one byte a character (written, read).
 MISREAD_UTF8 = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1254", "cp437", "cp850", "cp852", "cp866", "mac_roman", "koi8_r", "iso8859_2", "iso8859_15")
@@ -197,7 +197,7 @@ def evidence(t: DataFrame, key: str = "book_id", fields: tuple[str, ...] = FIELD
 def p1_found(spark, sf_dir: str) -> DataFrame:
     """The garbled values of books, restorable or not."""
     tune(spark)
-    return evidence(table(spark, sf_dir, "books").select("book_id", *FIELDS)).select("book_id", "field")
+    return evidence(spread(table(spark, sf_dir, "books").select("book_id", *FIELDS))).select("book_id", "field")
 
 
 def _restore_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -222,7 +222,7 @@ def _restore_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
 def p1_restore(spark, sf_dir: str) -> DataFrame:
     """(book_id, field, restored, n_words, whole): garbled values with every word replaced whose original is verified; ``whole`` where no lost byte is left."""
     tune(spark)
-    t = table(spark, sf_dir, "books").select("book_id", *FIELDS)
+    t = spread(table(spark, sf_dir, "books").select("book_id", *FIELDS))
     e = evidence(t).select(F.col("book_id").alias("e_id"), "field", "pairs")
     texts = t.select("book_id", F.explode(F.create_map(*[x for f in FIELDS for x in (F.lit(f), F.col(f))])).alias("f", "text"))
     return arrow_map(texts.join(e, (F.col("book_id") == F.col("e_id")) & (F.col("f") == F.col("field"))).select("book_id", "field", "text", "pairs"), _restore_kernel, "book_id bigint, field string, restored string, n_words int, whole boolean")

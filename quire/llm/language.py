@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.runtime import arrow_map, table, tune
+from quire.runtime import arrow_map, spread, table, tune
 
 SAMPLE_DOCS, SAMPLE_SENTENCES = 4000, 12
 WINDOW, FILTERS, WIDTHS = 96, 24, (2, 4, 6)
 MIN_WORDS, MIN_LETTERS = 4, 18
-SURE, FAIR = 0.95, 0.6
+SURE, FAIR = 0.87, 0.6
 #: Words up to which a quotation is a phrase and no sentence.
 PHRASE = 9
 # Languages by two-letter code with their three-letter codes and English names.
@@ -51,6 +51,7 @@ def code_of(label: Column) -> Column:
 
 # Words of chapter headings and frame lines.
 _CHAPTER = re.compile(r"^\W*(?:chapter|chapitre|kapitel|cap[ií]tulo|capitolo|hoofdstuk|rozdzia[łl]|глава|kapitlet|part|book|teil|partie|parte|deel|del|cz[ęe][śs][ćc]|часть)\b.{0,12}$", re.I)
+_HEAD = re.compile(r"^\W*(?:chapter|chapitre|kapitel|cap[ií]tulo|capitolo|hoofdstuk|rozdzia[łl]|глава)\s+(?:\d+|[IVXLCDM]+)[.:]?\s+", re.I)
 _FRAME = re.compile(r"^\s*(?:\*{2,}.*|(?:title|author|language|release date|produced by|translator|editor|character set encoding)\s*:.*|(?:end|start) of (?:the|this) project.*)$", re.I)
 _ENTRY = re.compile(r"^\s*(?:\[\d+\]|[IVXLCDM]+\.|\d+[.)]|[-*•])\s+")
 _LEADER = re.compile(r"[\s.…—–\-]*\d+\s*$")
@@ -58,6 +59,8 @@ _QUOTE = re.compile(r"[“„][^“”„\"\n]{0,160}[”“\"]|«[^«»\n]{0,16
 _SPEAKER = re.compile(r"^[^\W\d_a-zа-я]{3,24}:\s+")
 _END = re.compile(r"\n|(?<=[.!?…])[\"”»’)]*\s+(?:[—–/|\-]+\s+)?(?=[\"“«„(\[]?[^\W\d_])")
 _ASIDE = re.compile(r"\([^()\n]{0,120}\)|\[[^\[\]\n]{0,120}\]")
+#: Two capitalised words in a row: a personal name far more often than anything else, and of no language.
+_NAMES = re.compile(r"\b[A-ZÀ-ÖØ-ÞĄĆĘŁŃÓŚŹŻ][a-zß-öø-ÿąćęłńśźż]+ [A-ZÀ-ÖØ-ÞĄĆĘŁŃÓŚŹŻ][a-zß-öø-ÿąćęłńśźż]+\b")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -83,11 +86,11 @@ def sentences(text: str) -> list[tuple[int, str]]:
             prose.append(line)
         if not prose:
             continue
-        if len(prose) > 2 and all(p[-1] in ",.;:!?…" for p in prose):  # verse: a line is a unit
+        if len(prose) > 1 and all(p[-1] in ",.;:!?…" for p in prose):  # verse: a line is a unit
             out += [(at, p) for p in prose]
             continue
         joined = re.sub(r"(?<=\w)-\s(?=[a-zа-яà-ÿ])", "", " ".join(prose)) if any(p.endswith("-") for p in prose) else " ".join(prose)
-        joined = _SPEAKER.sub("", joined)
+        joined = _HEAD.sub("", _SPEAKER.sub("", joined))
         if any(q in joined for q in "“„«\"‘"):
             joined = _QUOTE.sub(lambda m: m[0] if len(m[0].split()) > PHRASE else "\n", joined)
         if "(" in joined or "[" in joined:
@@ -111,7 +114,7 @@ def full(s: str) -> bool:
 
 def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(windows of ``WINDOW`` bytes, text of each): every text is covered, its last window ends where it ends."""
-    every = "\0".join(t if "\0" not in t else t.replace("\0", " ") for t in texts)
+    every = _NAMES.sub("", "\0".join(t if "\0" not in t else t.replace("\0", " ") for t in texts))
     data = np.frombuffer(re.sub(r"\d+", "0", every).lower().encode("utf-8", "replace") + b"\0" * WINDOW, np.uint8)
     ends = np.flatnonzero(data == 0)[: len(texts)]
     start = np.concatenate([[0], ends[:-1] + 1]) if len(texts) else np.zeros(0, np.int64)
@@ -313,7 +316,7 @@ def _blob(net: Network) -> bytes:
 
 def _documents(spark, sf_dir: str) -> tuple[DataFrame, bytes | None]:
     tune(spark, 1000)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     net = trained(docs)
     return docs, None if net is None else _blob(net)
 

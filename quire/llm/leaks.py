@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.runtime import arrow_map, table, tune
+from quire.runtime import arrow_map, spread, table, tune
 
 WORDS, OTHER = 20, 10
 SEED = 6
@@ -227,7 +227,7 @@ def spans(documents: DataFrame, items: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
             return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=["doc_id", "item_id", "first_word", "n_words", "doc_words"])
 
-        got = arrow_map(documents.select("doc_id", "text").where("text is not null"), kernel, schema)
+        got = arrow_map(spread(documents.select("doc_id", "text").where("text is not null")), kernel, schema)
         out = got if out is None else out.unionByName(got)
     return out if out is not None else documents.sparkSession.createDataFrame([], schema)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.runtime import arrow_map, table, tune
+from quire.runtime import arrow_map, spread, table, tune
 
 KEEP = 0.5
 KINDS = ("html", "latex", "markdown", "wiki")
@@ -379,10 +379,10 @@ def _clean_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
 def p5_found(spark, sf_dir: str) -> DataFrame:
     """The values that hold markup, with its kinds; one narrow pass without any shuffle."""
     tune(spark, 1000)
-    return arrow_map(table(spark, sf_dir, "books").select("book_id", "description", "html"), _found_kernel, "book_id bigint, field string, markup string")
+    return arrow_map(spread(table(spark, sf_dir, "books").select("book_id", "description", "html")), _found_kernel, "book_id bigint, field string, markup string")
 
 
 def p5_clean(spark, sf_dir: str) -> DataFrame:
     """Every description and page as clean text with its structure."""
     tune(spark, 1000)
-    return arrow_map(table(spark, sf_dir, "books").select("book_id", "description", "html"), _clean_kernel, "book_id bigint, field string, clean_text string")
+    return arrow_map(spread(table(spark, sf_dir, "books").select("book_id", "description", "html")), _clean_kernel, "book_id bigint, field string, clean_text string")
