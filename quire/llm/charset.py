@@ -27,10 +27,10 @@ from quire.runtime import arrow_map, small_or_shuffled, spread, table, tune
 # Charsets that text is misread under, and pairs of charsets of one byte a character (written, read).
 MISREAD_UTF8 = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1254", "cp437", "cp850", "cp852", "cp866", "mac_roman", "koi8_r", "iso8859_2", "iso8859_15")
 TWICE = (("cp1252", "cp1252"), ("latin-1", "latin-1"), ("latin-1", "cp1252"), ("cp1252", "latin-1"), ("cp1251", "cp1251"), ("cp1250", "cp1250"), ("cp1251", "cp1252"), ("cp1252", "cp1251"))
-LATIN = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250")
+LATIN = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2")
 CYRILLIC = ("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic")
 #: Letters that matched words of single-byte chains must have together in one value.
-WEIGHT = 4
+WEIGHT = 3
 #: What one symbol in such a word counts: letters are exchanged for letters by chance, but seldom for symbols.
 SYMBOL = 4
 # Punctuation beyond ASCII of ordinary text.
