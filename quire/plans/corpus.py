@@ -468,3 +468,48 @@ def word_measure(spark, d) -> DataFrame:
     """Words of every text and their widths in characters."""
     w = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^ \n\r\t]+"), F.lit(0))).alias("word"))
     return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.sum(F.char_length("word")).alias("n_letters"), F.max(F.char_length("word")).alias("longest"))
+
+
+# ---- references, order and assembly --------------------------------------------------------------------------------------------
+
+
+@query(r"""with t as (select book_id, regexp_extract_all(html, '(?i)<img\b[^>]*?\b(?:recindex|src)="([^"]*)"', 1) as refs from books where html is not null), e as (select book_id, generate_subscripts(refs, 1) as pos, unnest(refs) as ref from t),
+  f as (select book_id, ref, min(pos) as first_pos, count(*) as n_refs from e group by 1, 2) select book_id, ref, cast(row_number() over (partition by book_id order by first_pos) as int) as number, n_refs from f""")
+def image_references(spark, d) -> DataFrame:
+    """Images of every page numbered by their first reference; repeated references share the number."""
+    t = table(spark, d, "books").where("html is not null").select("book_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'(?i)<img\b[^>]*?\b(?:recindex|src)="([^"]*)"'), F.lit(1))).alias("p", "ref"))
+    f = t.groupBy("book_id", "ref").agg(F.min("p").alias("first_pos"), F.count(F.lit(1)).alias("n_refs"))
+    return f.select("book_id", "ref", F.row_number().over(Window.partitionBy("book_id").orderBy("first_pos")).alias("number"), "n_refs")
+
+
+@query(r"""with t as (select book_id, unnest(regexp_extract_all(html, '(?i)<h[1-6][^>]*>[^<]*</h[1-6]>')) as h from books where html is not null), n as (select book_id, lower(regexp_replace(regexp_extract(h, '>([^<]*)<', 1), '\s+', ' ', 'g')) as target, cast(regexp_extract(h, '(?i)^<h([1-6])', 1) as int) as level from t)
+  select book_id, target, cast(least(greatest(min(level), 1), 6) as int) as depth, count(*) as n from n where trim(target) <> '' group by 1, 2""")
+def toc_min_depth(spark, d) -> DataFrame:
+    """The depth of each contents target: the least of its levels, from one to six."""
+    t = table(spark, d, "books").where("html is not null").select("book_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?i)<h[1-6][^>]*>[^<]*</h[1-6]>"), F.lit(0))).alias("h"))
+    target = F.lower(F.regexp_replace(F.regexp_extract("h", ">([^<]*)<", 1), r"\s+", " "))
+    n = t.select("book_id", target.alias("target"), F.regexp_extract("h", "(?i)^<h([1-6])", 1).cast("int").alias("level")).where("trim(target) <> ''")
+    return n.groupBy("book_id", "target").agg(F.least(F.greatest(F.min("level"), F.lit(1)), F.lit(6)).alias("depth"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""select book_id, string_agg(text, chr(10) order by case when doc_kind = 'notes' then 1 else 0 end, chapter_no nulls last, doc_id) as assembled, count(*) as n_parts from documents where book_id is not null and text is not null group by 1""")
+def assemble_documents(spark, d) -> DataFrame:
+    """The texts of each book in reading order, notes last, as one."""
+    t = table(spark, d, "documents").where("book_id is not null and text is not null")
+    part = F.struct(F.when(F.col("doc_kind") == "notes", 1).otherwise(0).alias("late"), F.coalesce("chapter_no", F.lit(2**31 - 1)).alias("no"), "doc_id", "text")
+    g = t.groupBy("book_id").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.count(F.lit(1)).alias("n_parts"))
+    return g.select("book_id", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("assembled"), "n_parts")
+
+
+@query()
+def wrapped_titles(spark, d) -> DataFrame:
+    """Descriptions wrapped greedily at 72 bytes: an ordered fold over words."""
+    t = table(spark, d, "books").where("trim(description) <> ''")
+    return t.select("book_id", S.wrapped(F.col("description"), 72).alias("wrapped"))
+
+
+@query("""with r as (select distinct book_id, idx, coalesce(kind, '') as kind from resources), w as (select lower(kind) as k, kind, book_id, idx from r) select kind, count(*) as n, count(distinct book_id) as n_books, kind <> '' as is_image from w group by 1""")
+def resource_kinds(spark, d) -> DataFrame:
+    """Resources by kind, repeats counted once."""
+    r = table(spark, d, "resources").select("book_id", "idx", F.coalesce("kind", F.lit("")).alias("kind")).distinct()
+    return r.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("book_id").alias("n_books")).withColumn("is_image", F.col("kind") != "")
