@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import charset, formatting, language, leaks, lookalike, markup, names, packing
+from quire.llm import charset, formatting, language, leaks, lookalike, markup, names, oracles, packing
 
 
 def queries() -> dict:
@@ -29,4 +29,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(oracles.ORACLES)
