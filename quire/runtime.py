@@ -32,19 +32,21 @@ def tune(spark: SparkSession, batch_rows: int = 4000) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make the package importable on remote executors; local ones share the driver's path."""
+    """Make the package importable in Python workers: they know the driver's environment and folder at most, never its ``sys.path``."""
     sc = spark.sparkContext
-    if sc.master.startswith("local") or getattr(sc, "_quire_shipped", False):
+    if getattr(sc, "_quire_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    out = os.path.join(tempfile.mkdtemp(), "quire_pkg.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, files in os.walk(os.path.join(root, "quire")):
-            for f in files:
-                if f.endswith(".py"):
-                    p = os.path.join(folder, f)
-                    z.write(p, os.path.relpath(p, root))
-    sc.addPyFile(out)
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if not (sc.master.startswith("local") and root in [*known, os.getcwd()]):
+        out = os.path.join(tempfile.mkdtemp(prefix="quire-"), "quire_pkg.zip")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, files in os.walk(os.path.join(root, "quire")):
+                for f in files:
+                    if f.endswith(".py"):
+                        p = os.path.join(folder, f)
+                        z.write(p, os.path.relpath(p, root))
+        sc.addPyFile(out)
     sc._quire_shipped = True
 
 
@@ -87,4 +89,5 @@ def arrow_map(df: DataFrame, kernel, schema: str) -> DataFrame:
                 if out is not None:
                     yield out
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)

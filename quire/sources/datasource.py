@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from quire.runtime import arrow_map
+from quire.runtime import arrow_map, ship
 from quire.sources.archive import Archive
 
 HEAD = 4096
@@ -64,6 +64,7 @@ class BookHeads(DataSource):
 
 
 def register(spark) -> None:
+    ship(spark)
     spark.dataSource.register(BookHeads)
 
 
