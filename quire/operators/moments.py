@@ -5,7 +5,7 @@ converted with the zone of their source (folder): the declared one, or, where a
 violates the evidence least (local times aligned with zoned moments of the same record, and with ingestion times, which no publication follows).
 
 Defined results: null, blank and unreadable texts have precision ``none`` and no value; local times that occur twice or never in their zone have
-precision ``second`` but no value; years outside 1..9999 are unreadable; extra columns of the input are ignored.
+precision ``second`` but no value; years outside 1..9999 are unreadable; rows without a book id are left out; extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -222,7 +222,7 @@ SLOTS = ("published", "year", "date1", "date2", "date3")
 
 def slots_wide(spark, sf_dir: str) -> DataFrame:
     """A row for each book with its values by slot; the joins are on ``book_id``, and only date columns are read."""
-    b = table(spark, sf_dir, "books").select("book_id", "folder_id", "published", "ingested_at")
+    b = table(spark, sf_dir, "books").where("book_id is not null").select("book_id", "folder_id", "published", "ingested_at")
     o = table(spark, sf_dir, "opf_metadata").select(F.col("book_id").alias("o_id"), "dates")
     c = table(spark, sf_dir, "comic_info").select(F.col("book_id").alias("c_id"), F.col("issue_year").alias("year"))
     d = [F.get("dates", F.lit(i)).alias(f"date{i + 1}") for i in range(3)]

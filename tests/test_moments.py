@@ -55,6 +55,7 @@ def test_pairs_nulls_and_missing_zones(spark, make, noon):
             {"book_id": 2, "folder_id": 2, "published": "2020-06-01 10:00:00", "ingested_at": noon},
             {"book_id": 3, "folder_id": None, "published": None},
             {"book_id": 4, "folder_id": 1, "published": "2020-06-01"},
+            {"book_id": None, "folder_id": 1, "published": "2020-06-01T10:00:00Z"},
         ],
         opf_metadata=[{"book_id": 1, "dates": ["2020-06-01T12:00:00+02:00", None, "2020-06-01T10:00:00Z"]}, {"book_id": 2, "dates": ["2020-06-01T08:00:00Z"]}, {"book_id": 4, "dates": []}],
         comic_info=[{"book_id": 2, "issue_year": "1591005600"}],
