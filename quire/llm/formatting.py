@@ -5,7 +5,7 @@ first added up inside each task, so a hot group costs one row a task. The keys a
 keys than a bucket may hold is split by further bytes until each part fits; neighbouring small parts share a bucket. Each bucket is counted in a burst
 trie whose terminals hold the smallest id and the number of copies.
 
-Defined results: records without title (null or blank) are left out; null and blank ISBNs agree only with each other; a null author list, an empty one
+Defined results: records without id or without title (null or blank) are left out; null and blank ISBNs agree only with each other; a null author list, an empty one
 and one of blank names agree; repeated ids count as one copy each; nothing but case, blanks, punctuation and order is ignored; extra columns are ignored.
 """
 
@@ -49,7 +49,7 @@ def canonical(title: Column, authors: Column, isbn: Column) -> Column:
 
 
 def keyed(t: DataFrame) -> DataFrame:
-    titled = t.where(F.regexp_replace("title", r"[\p{Z}\s]+", "") != "")
+    titled = t.where("book_id is not null").where(F.regexp_replace("title", r"[\p{Z}\s]+", "") != "")
     return titled.select("book_id", canonical(F.col("title"), F.col("authors"), F.col("isbn")).alias("key"))
 
 

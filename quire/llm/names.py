@@ -10,7 +10,7 @@ ignored. Organisations: legal forms and articles ignored, trade words abbreviate
 exchanged, or swapped with its neighbour). Ties between agents stay unlinked.
 
 Defined results: null, blank and several-name mentions are not linked; a mention equal to ``agent_name`` is linked in ``p6_links`` but is no case of
-``p6_found``; agents without a name link nothing; equal agent names are a tie; extra columns are ignored.
+``p6_found``; agents without id or name link nothing; equal agent names are a tie; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -281,7 +281,7 @@ def resolve(mentions: DataFrame, agents: DataFrame, rounds: int = 4) -> DataFram
     that at least ``2`` different mentions support, so one stray spelling cannot pull it towards another name. ``rounds`` is a bound against endless merging; the loop ends
     when a round merges nothing.
     """
-    profiles = checkpointed(arrow_map(agents.select("agent_id", "agent_kind", "agent_name"), _profiles_kernel, PROFILE))
+    profiles = checkpointed(arrow_map(agents.where("agent_id is not null").select("agent_id", "agent_kind", "agent_name"), _profiles_kernel, PROFILE))
     distinct = mentions.where("mention is not null and trim(mention) <> ''").select("mention").distinct()
     keys = checkpointed(arrow_map(distinct, _mention_kernel, "mention string, uniform string, key string"))
     links = None

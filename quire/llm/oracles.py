@@ -7,7 +7,7 @@ _FOLD = "replace(replace(replace(replace(lower({x}), 'ß', 'ss'), 'ﬁ', 'fi'),
 _SQUEEZE = "regexp_replace(" + _FOLD + ", 'SIGNS', '', 'g')"
 _NAME = "array_to_string(list_sort(list_filter(string_split(regexp_replace(regexp_replace(" + _FOLD.format(x="a") + ", '[''’‘`]', '', 'g'), '" + _SIGNS + "', ' ', 'g'), ' '), lambda p: p <> '')), ' ')"
 _KEYS = f"""with k as (select book_id, {_SQUEEZE.format(x="title").replace("SIGNS", _SIGNS)} || chr(31) || array_to_string(list_sort(list_filter(list_transform(list_filter(coalesce(authors, []), lambda a: a is not null), lambda a: {_NAME}), lambda n: n <> '')), chr(30)) || chr(31) || coalesce({_SQUEEZE.format(x="isbn").replace("SIGNS", _SIGNS)}, '') as key
-  from books where regexp_replace(title, '[\\p{{Z}}\\s]+', '', 'g') <> ''), g as (select key, min(book_id) as low, count(*) as n from k group by 1)"""
+  from books where book_id is not null and regexp_replace(title, '[\\p{{Z}}\\s]+', '', 'g') <> ''), g as (select key, min(book_id) as low, count(*) as n from k group by 1)"""
 
 ORACLES = {
     "p7_groups": f"{_KEYS} select low as book_id, n as n_copies from g",

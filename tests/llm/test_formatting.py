@@ -27,6 +27,7 @@ def books():
         {"book_id": 10, "title": None, "authors": [], "isbn": " "},
         {"book_id": 11, "title": "STRASSE", "authors": [], "isbn": "x"},
         {"book_id": 12, "title": "Straße", "authors": [], "isbn": "X"},
+        {"book_id": None, "title": "Straße", "authors": [], "isbn": "X"},
     ]
 
 

@@ -3,7 +3,7 @@ from quire.llm import names as N
 
 AGENTS = [
     {"agent_id": 1, "agent_kind": "person", "agent_name": "Margaret A. Wexomüller"}, {"agent_id": 2, "agent_kind": "person", "agent_name": "Robert Noramdale"}, {"agent_id": 3, "agent_kind": "person", "agent_name": "Raymond Noramdale"},
-    {"agent_id": 4, "agent_kind": "publisher", "agent_name": "Brickfield University Press Inc."}, {"agent_id": 5, "agent_kind": "publisher", "agent_name": "Brickfield Books"}, {"agent_id": 6, "agent_kind": "person", "agent_name": None},
+    {"agent_id": 4, "agent_kind": "publisher", "agent_name": "Brickfield University Press Inc."}, {"agent_id": 5, "agent_kind": "publisher", "agent_name": "Brickfield Books"}, {"agent_id": 6, "agent_kind": "person", "agent_name": None}, {"agent_id": None, "agent_kind": None, "agent_name": "Robert Noramdale"}, {"agent_id": None, "agent_kind": None, "agent_name": "Robert Noramdale"},
 ]
 
 
