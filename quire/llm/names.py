@@ -194,7 +194,11 @@ def firm_cost(text: str, p: dict) -> float | None:
     own, trade = firm(text)
     mine, its = list(p["own"]), list(p["trade"])
     words, cost = list(own) + list(trade), 0
-    if not words or len(words) != len(mine) + len(its):
+    if not words:
+        return None
+    if own and near("".join(words), "".join(mine + its)) <= 1:  # a blank may be left out or swapped with its neighbour
+        return 0.0 if words == mine + its else 0.5
+    if len(words) != len(mine) + len(its):
         return None
     for target in mine + its:
         k = min(range(len(words)), key=lambda i: near(words[i], target), default=None)

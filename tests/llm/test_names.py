@@ -10,7 +10,7 @@ AGENTS = [
 CASES = [
         ("Wexomüller, Margaret", 1), ("M. Wexomuller", 1), ("MA Wexomüller", 1), ("Peggy Wexomüller", 1), ("Dr. Margaret Wexomüler", 1), ("Wexomüller M", 1), ("MARGARET WEXOMÜLLER (ed.)", 1), ("Wexomüller, Margaret, 1950-", 1), ("Margaret\u00a0Wexоmüller", 1), ("Margaret B. Wexomüller", None),
         ("Bob Noramdale", 2), ("R. Noramdale", None), ("Walter Noramdale", None), ("Ray Noramdale", 3), ("Robert Noramdale; Ann Roe", None), ("Robert Noramdale, Ann Roe", None),
-        ("The Brickfield University Press", 4), ("Brickfield Univ. Pr.", 4), ("Univ. Pr. Brickfield", 4), ("Brickfeild University Press GmbH", 4), ("Brickfield Books & Co.", 5), ("Books Brickfield", 5), ("Brickfield", None), ("n/a", None), (" ", None), ("", None), (None, None),
+        ("The Brickfield University Press", 4), ("Brickfield Univ. Pr.", 4), ("Univ. Pr. Brickfield", 4), ("Brickfeild University Press GmbH", 4), ("Brickfield Books & Co.", 5), ("Books Brickfield", 5), ("Brickfield UniversityPress", 4), ("Brickfield UniversityP ress", 4), ("Brickfield", None), ("n/a", None), (" ", None), ("", None), (None, None),
 ]
 
 
