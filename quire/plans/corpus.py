@@ -513,3 +513,32 @@ def resource_kinds(spark, d) -> DataFrame:
     """Resources by kind, repeats counted once."""
     r = table(spark, d, "resources").select("book_id", "idx", F.coalesce("kind", F.lit("")).alias("kind")).distinct()
     return r.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("book_id").alias("n_books")).withColumn("is_image", F.col("kind") != "")
+
+
+# ---- flattening as islands -----------------------------------------------------------------------------------------------------
+
+_HIDDEN = r"(?is)<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>|<title\b.*?</title>|<svg\b.*?</svg>|<!--.*?-->"
+_PARAS = "p div section article center tr td th table ul ol dl pre figure figcaption aside header footer".split()
+_BOUNDS = [*_PARAS, "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "hr", "img", "image", "mbp:pagebreak", "html"]
+_IN = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
+_HCLASS = r"(?i)(^|\s)h[1-6](?:[^0-9A-Za-z_]|[_]|$)"
+_BLANK = r"(?:&nbsp;|[\s\x{0085}\p{Z}])+"
+
+
+@query(f"""with t as (select book_id, regexp_extract_all(regexp_replace(html, '{_HIDDEN}', '', 'g'), '<[^>]*>|[^<]+') as toks from books where html is not null), e as (select book_id, generate_subscripts(toks, 1) as pos, unnest(toks) as tok from t),
+  n as (select *, lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9:]*)', 1)) as name, starts_with(tok, '</') as closing from e), b as (select *, starts_with(tok, '<') and name in {_IN(_BOUNDS)} as bound from n), s as (select *, sum(case when bound then 1 else 0 end) over (partition by book_id order by pos rows unbounded preceding) as island from b),
+  k as (select book_id, island, max(case when not bound or closing then 'paragraph' when regexp_matches(name, '^h[1-6]$') then 'heading' when name in ('li', 'dt', 'dd') then 'list' when name = 'blockquote' then 'quote' when name in {_IN(_PARAS)} and regexp_matches(regexp_extract(tok, 'class="([^"]*)"', 1), '{_HCLASS}') then 'heading' else 'paragraph' end) filter (where bound) as kind,
+    bool_or(not starts_with(tok, '<') and regexp_replace(tok, '{_BLANK}', '', 'g') <> '') as filled from s group by 1, 2)
+  select book_id, count_if(coalesce(kind, 'paragraph') = 'paragraph') as paragraphs, count_if(kind = 'heading') as headings, count_if(kind = 'list') as lists, count_if(kind = 'quote') as quotes from k where filled group by 1""")
+def block_islands(spark, d) -> DataFrame:
+    """Text blocks of every page by kind, without a kernel: tokens between block boundaries form islands. Equal to the kernel's counts for text blocks;
+    spans, styles and stylesheets need the kernel."""
+    t = table(spark, d, "books").where("html is not null").select("book_id", F.posexplode(F.regexp_extract_all(F.regexp_replace("html", _HIDDEN, ""), F.lit("<[^>]*>|[^<]+"), F.lit(0))).alias("pos", "tok"))
+    n = t.withColumns({"name": F.lower(F.regexp_extract("tok", "^</?([A-Za-z][A-Za-z0-9:]*)", 1)), "closing": F.col("tok").startswith("</")}).withColumn("bound", F.col("tok").startswith("<") & F.col("name").isin(_BOUNDS))
+    w = Window.partitionBy("book_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    s = n.withColumn("island", F.sum(F.col("bound").cast("int")).over(w))
+    cls = F.regexp_extract("tok", 'class="([^"]*)"', 1).rlike(_HCLASS.replace("$", r"\z"))
+    kind = F.when(F.col("closing"), "paragraph").when(F.col("name").rlike(r"\Ah[1-6]\z"), "heading").when(F.col("name").isin("li", "dt", "dd"), "list").when(F.col("name") == "blockquote", "quote").when(F.col("name").isin(_PARAS) & cls, "heading").otherwise("paragraph")
+    k = s.groupBy("book_id", "island").agg(F.max(F.when(F.col("bound"), kind)).alias("kind"), F.bool_or(~F.col("tok").startswith("<") & (F.regexp_replace("tok", _BLANK, "") != "")).alias("filled")).where("filled")
+    one = lambda x: F.count_if(F.coalesce("kind", F.lit("paragraph")) == x)
+    return k.groupBy("book_id").agg(one("paragraph").alias("paragraphs"), one("heading").alias("headings"), one("list").alias("lists"), one("quote").alias("quotes"))

@@ -39,3 +39,14 @@ def test_same_rows(spark, duck, name):
     assert sorted(order) == cols
     want = sorted((tuple(plain(r[order.index(c)]) for c in cols) for r in res.fetchall()), key=repr)
     assert got == want
+
+
+def test_islands_equal_the_kernel(spark):
+    from pyspark.sql import functions as F
+
+    from quire.plans.inspect import book_blocks
+
+    one = lambda k: F.count_if(F.col("kind") == k)
+    kernel = book_blocks(spark, D).where("kind in ('paragraph', 'heading', 'list', 'quote')").groupBy("book_id").agg(one("paragraph"), one("heading"), one("list"), one("quote"))
+    sql = catalog.queries()["block_islands"](spark, D).select("book_id", "paragraphs", "headings", "lists", "quotes")
+    assert sorted(map(tuple, kernel.collect())) == sorted(map(tuple, sql.collect()))
