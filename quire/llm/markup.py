@@ -133,7 +133,7 @@ class Page:
                 continue
             name = name.lower()
             if m[1]:
-                if name in self.tag and any(self.tag[s] == name for s in stack[1:]):
+                if any(self.tag[s] == name for s in reversed(stack[1:])):
                     while True:
                         s = stack.pop()
                         t = self.tag[s]
