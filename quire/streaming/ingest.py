@@ -1,4 +1,4 @@
-"""Books as they arrive in a folder, and running tallies of results; an extension over the reference's batch runs."""
+"""Books as they arrive in a folder, and running tallies of results; an extension beyond batch runs."""
 
 from __future__ import annotations
 
