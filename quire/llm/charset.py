@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.runtime import arrow_map, small_or_shuffled, spread, table, tune
+from quire.runtime import arrow_map, checkpointed, small_or_shuffled, spread, table, tune
 
 # Charsets that text is misread under, and pairs of charsets of one byte a character (written, read).
 MISREAD_UTF8 = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1254", "cp437", "cp850", "cp852", "cp866", "mac_roman", "koi8_r", "iso8859_2", "iso8859_15")
@@ -185,7 +185,7 @@ def mapping(v: DataFrame) -> DataFrame:
 
 def evidence(t: DataFrame, key: str = "book_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(key, field, pairs, lost): the garbled values with their garbled words and originals."""
-    v = values(t, key, fields)
+    v = checkpointed(values(t, key, fields))  # the texts are read and split once; vocabulary, matches and lost bytes all come from the words
     m = small_or_shuffled(mapping(v))
     words = v.select(key, "field", F.explode(with_runs()).alias("form"))
     hit = words.join(m, "form").groupBy(key, "field", "chain", "strong").agg(F.collect_set(F.struct("form", "original")).alias("pairs"), F.sum("weight").alias("weight"))
