@@ -253,10 +253,17 @@ def probabilities(net: Network, texts: list[str]) -> np.ndarray:
 
 
 def trained(documents: DataFrame) -> Network | None:
-    """The network fitted on the bounded sample of ``documents``."""
-    lab = documents.select("doc_id", "text", code_of(F.col("lang")).alias("code")).where("code is not null and trim(text) <> ''")
-    rows = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select(F.substring("text", 1, 6000).alias("text"), "code").collect()
-    return fit([(r[0], r[1]) for r in rows])
+    """The network fitted on the bounded sample of ``documents``.
+
+    A first pass counts the labelled rows from their labels alone; the second takes the rows whose hash lies below the share that makes the sample, so
+    what comes to the driver is the sample, however many partitions there are. The limit only guards against many equal rows.
+    """
+    lab = documents.withColumn("code", code_of(F.col("lang"))).where("code is not null")
+    share = min(1.0, SAMPLE_DOCS / max(1, lab.select("code").count()))
+    hit = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    rows = lab.where(hit if share < 1 else F.lit(True)).where("trim(text) <> ''").select("doc_id", F.substring("text", 1, 6000).alias("text"), "code").limit(2 * SAMPLE_DOCS).collect()
+    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
+    return fit([(r["text"], r["code"]) for r in rows])
 
 
 def judge(net: Network, texts: list[str]) -> list[list[tuple[int, str, str, float, bool]]]:
@@ -316,9 +323,9 @@ def _blob(net: Network) -> bytes:
 
 def _documents(spark, sf_dir: str) -> tuple[DataFrame, bytes | None]:
     tune(spark, 1000)
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     net = trained(docs)
-    return docs, None if net is None else _blob(net)
+    return spread(docs), None if net is None else _blob(net)
 
 
 def judged(docs: DataFrame, blob: bytes | None) -> DataFrame:
