@@ -272,7 +272,7 @@ def effective_scale(spark, d) -> DataFrame:
 # ---- batches and reports -----------------------------------------------------------------------------------------------------
 
 
-@query("""select batch_id, count_if(outcome = 'converted') as converted, count_if(outcome = 'skipped') as skipped, count_if(outcome = 'failed') as failed, cast(sum(case when outcome = 'converted' then pages end) as bigint) as pages, cast(sum(case when outcome = 'converted' then out_bytes end) as bigint) as out_bytes, bool_or(outcome = 'failed') as any_failed
+@query("""select batch_id, cast(count_if(outcome = 'converted') as bigint) as converted, cast(count_if(outcome = 'skipped') as bigint) as skipped, cast(count_if(outcome = 'failed') as bigint) as failed, cast(sum(case when outcome = 'converted' then pages end) as bigint) as pages, cast(sum(case when outcome = 'converted' then out_bytes end) as bigint) as out_bytes, bool_or(outcome = 'failed') as any_failed
   from (select distinct * from conversions) group by 1""")
 def batch_tally(spark, d) -> DataFrame:
     """Outcomes of each batch, with pages and bytes of the converted books; exact repeats of a result count once."""
@@ -322,7 +322,7 @@ def display_lines(spark, d) -> DataFrame:
     return table(spark, d, "books").select("book_id", S.author_line(F.col("authors")).alias("author_line"), S.ellipsis(F.col("title"), 40).alias("short_title"), S.printable(F.col("title")).alias("printable"))
 
 
-@query("""select folder_id, count(*) as n_books, count_if(coalesce(error_text, '') <> '') as n_errors, cast(sum(case when coalesce(error_text, '') = '' then file_size end) as bigint) as readable_bytes from books group by 1""")
+@query("""select folder_id, count(*) as n_books, cast(count_if(coalesce(error_text, '') <> '') as bigint) as n_errors, cast(sum(case when coalesce(error_text, '') = '' then file_size end) as bigint) as readable_bytes from books group by 1""")
 def batch_queue(spark, d) -> DataFrame:
     """What a batch over each folder would meet: books, unreadable ones, bytes of the readable ones."""
     bad = F.coalesce("error_text", F.lit("")) != ""
@@ -529,7 +529,7 @@ _BLANK = r"(?:&nbsp;|[\s\x{0085}\p{Z}])+"
   n as (select *, lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9:]*)', 1)) as name, starts_with(tok, '</') as closing from e), b as (select *, starts_with(tok, '<') and name in {_IN(_BOUNDS)} as bound from n), s as (select *, sum(case when bound then 1 else 0 end) over (partition by book_id order by pos rows unbounded preceding) as island from b),
   k as (select book_id, island, max(case when not bound or closing then 'paragraph' when regexp_matches(name, '^h[1-6]$') then 'heading' when name in ('li', 'dt', 'dd') then 'list' when name = 'blockquote' then 'quote' when name in {_IN(_PARAS)} and regexp_matches(regexp_extract(tok, 'class="([^"]*)"', 1), '{_HCLASS}') then 'heading' else 'paragraph' end) filter (where bound) as kind,
     bool_or(not starts_with(tok, '<') and regexp_replace(tok, '{_BLANK}', '', 'g') <> '') as filled from s group by 1, 2)
-  select book_id, count_if(coalesce(kind, 'paragraph') = 'paragraph') as paragraphs, count_if(kind = 'heading') as headings, count_if(kind = 'list') as lists, count_if(kind = 'quote') as quotes from k where filled group by 1""")
+  select book_id, cast(count_if(coalesce(kind, 'paragraph') = 'paragraph') as bigint) as paragraphs, cast(count_if(kind = 'heading') as bigint) as headings, cast(count_if(kind = 'list') as bigint) as lists, cast(count_if(kind = 'quote') as bigint) as quotes from k where filled group by 1""")
 def block_islands(spark, d) -> DataFrame:
     """Text blocks of every page by kind, without a kernel: tokens between block boundaries form islands. Equal to the kernel's counts for text blocks;
     spans, styles and stylesheets need the kernel."""
