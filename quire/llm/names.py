@@ -2,7 +2,7 @@
 
 Merge-and-rematch: every agent starts as a profile of its own name. Distinct mention strings are blocked with profiles by keys that survive one typing
 error (a name part with any one letter left out), compared part by part, and a mention with one best profile is merged into it: the profile takes over
-the mention's spellings of the family name and of the first given name and its initials. The richer profiles re-enter blocking with the mentions still
+the mention's spellings of the family name, of the given names and their initials, or of an organisation's own words. The richer profiles re-enter blocking with the mentions still
 unmatched, until a round merges nothing new.
 
 Persons: family name first or last, given names in full, as nickname, shortened to initials or left out after the first, titles, roles and life dates
@@ -145,102 +145,155 @@ def mention_keys(text: str) -> set[str]:
     return out
 
 
-def _given(mention: tuple[str, ...], first: list[str], middle: str) -> int | None:
-    """Cost of the given names of a mention against a profile's (the full form first): typing errors, None for another person."""
-    if not mention:
+def _given(mention: tuple[str, ...], p: dict) -> tuple[int, list[str]] | None:
+    """Cost of the given names of a mention against a profile's, and the spellings it would add; None for another person."""
+    if not mention or len(mention) > 2:
         return None
-    m = mention[0]
-    cost = None
+    m, new = mention[0], []
     if len(m) == 1:
-        if first[0][0] == m:  # of the full form only
-            cost = 0
+        if m not in p["initials"]:
+            return None
+        cost = 0
     else:
-        cost = min((near(m, f) for f in first), default=9)
+        cost = _nearest(m, p["firsts"])
         if cost > 1 or (cost == 1 and len(m) < 4):
-            cost = None
-    if cost is None:
-        return None
-    for extra in mention[1:]:
-        if not middle:
             return None
-        if len(extra) == 1 or len(middle) == 1:
-            if extra[0] != middle[0]:
-                return None
+        if cost:
+            new.append("firsts\t" + m)
+        if m[0] not in p["initials"]:
+            new.append("initials\t" + m[0])
+    for extra in mention[1:]:
+        if any(extra[0] == x[0] for x in p["middles"] if len(extra) == 1 or len(x) == 1):
+            d = 0
         else:
-            d = near(extra, middle)
-            if d > 1:
-                return None
-            cost += d
-    return cost if len(mention) <= 2 else None
+            d = _nearest(extra, [x for x in p["middles"] if len(x) > 1]) if len(extra) > 1 else 9
+        if d > 1:
+            return None
+        cost += d
+        if len(extra) > 1 and extra not in p["middles"]:
+            new.append("middles\t" + extra)
+    return cost, new
 
 
-def person_cost(text: str, p: dict) -> float | None:
+def _nearest(word: str, spellings: list[str]) -> int:
+    return 0 if word in spellings else min((near(word, x) for x in spellings), default=9)
+
+
+def person_cost(text: str, p: dict) -> tuple[float, list[str]] | None:
+    """Cost of a mention against a person's profile, and the spellings that the profile takes over if they merge."""
     best = None
     for family, given in person(text):
-        f = min((near(family, x) for x in p["families"]), default=9)
+        f = _nearest(family, p["families"])
         if f > 1:
             continue
-        g = _given(given, p["firsts"], p["middle"])
-        if g is None or f + g > 1:
+        g = _given(given, p)
+        if g is None or f + g[0] > 1:
             continue
         short = 0.3 if len(given[0]) == 1 else 0.0
-        lacking = 0.1 if p["middle"] and len(given) == 1 else 0.0
-        c = f + g + short + lacking
-        best = c if best is None else min(best, c)
+        lacking = 0.1 if p["middles"] and len(given) == 1 else 0.0
+        c = f + g[0] + short + lacking
+        if best is None or c < best[0]:
+            # a family name is taken over only where the first given name is beyond doubt
+            best = c, g[1] if not f else ["families\t" + family] if len(given[0]) > 1 else []
     return best
 
 
-def firm_cost(text: str, p: dict) -> float | None:
+def _run_on(text: str, words: list[list[str]]) -> int:
+    """The errors of a name whose blanks are left out against words in any of their spellings: 0, 1 in one word, else 9."""
+    ends = [{0}]
+    for w in words:
+        ends.append({i + len(x) for i in ends[-1] for x in w if text.startswith(x, i)})
+    if len(text) in ends[-1]:
+        return 0
+    starts = {len(text)}
+    for k in range(len(words) - 1, -1, -1):
+        if any(near(text[i:j], x) <= 1 for i in ends[k] for j in starts if i < j for x in words[k]):
+            return 1
+        starts = {j - len(x) for j in starts for x in words[k] if text.endswith(x, 0, j)}
+    return 9
+
+
+def firm_cost(text: str, p: dict) -> tuple[float, list[str]] | None:
+    """As ``person_cost``, for an organisation."""
     own, trade = firm(text)
     mine, its = list(p["own"]), list(p["trade"])
-    words, cost = list(own) + list(trade), 0
+    words, cost, new = list(own) + list(trade), 0, []
     if not words:
         return None
-    if own and near("".join(words), "".join(mine + its)) <= 1:  # a blank may be left out or swapped with its neighbour
-        return 0.0 if words == mine + its else 0.5
+    known = {w: [w] for w in mine + its}
+    for pair in p["spellings"]:
+        w, _, x = pair.partition(" ")
+        known[w].append(x)
+    run = "".join(words)
+    if own and (near(run, "".join(mine + its)) <= 1 or (p["spellings"] and _run_on(run, [known[w] for w in mine + its]) <= 1)):  # a blank may be left out or swapped with its neighbour
+        if words == mine + its:
+            return 0.0, []
+        if len(words) != len(mine) + len(its):
+            return 0.5, []
+        cost = 0.5
     if len(words) != len(mine) + len(its):
         return None
+    off = 0
     for target in mine + its:
-        k = min(range(len(words)), key=lambda i: near(words[i], target), default=None)
-        if k is None or near(words[k], target) > 1:
-            return None
-        cost += near(words.pop(k), target)
-    return cost if cost <= 1 else None
+        k = min(range(len(words)), key=lambda i: _nearest(words[i], known[target]), default=None)
+        d = 9 if k is None else _nearest(words[k], known[target])
+        if d > 1:
+            return (cost, []) if cost else None
+        off += d
+        w = words.pop(k)
+        if d and target in mine:
+            new += [f"spellings\t{target} {w}", "families\t" + w]
+    if cost:
+        return cost, new if off <= 1 else []
+    return (float(off), new) if off <= 1 else None
 
 
 def profile(agent_id: int, kind: str, name: str) -> dict | None:
+    empty = {n: [] for n in _NAMES[2:]}
     if kind == "publisher":
         own, trade = firm(name)
-        return {"agent_id": agent_id, "kind": kind, "families": list(own), "firsts": [], "middle": "", "own": list(own), "trade": list(trade)} if own else None
+        return {**empty, "agent_id": agent_id, "kind": kind, "families": list(own), "own": list(own), "trade": list(trade)} if own else None
     read = person(name)
     if not read:
         return None
     family, given = read[0]
     firsts = [given[0], *NICKNAMES.get(given[0], "").split()]
-    return {"agent_id": agent_id, "kind": kind, "families": [family], "firsts": firsts, "middle": given[1] if len(given) > 1 else "", "own": [], "trade": []}
+    return {**empty, "agent_id": agent_id, "kind": kind, "families": [family], "firsts": firsts, "initials": [given[0][0]], "middles": list(given[1:2])}
+
 
+# spellings: pairs of an organisation's own word and a spelling it was met in, with a blank between
+_NAMES = ["agent_id", "kind", "families", "firsts", "initials", "middles", "own", "trade", "spellings"]
+_KINDS = [pa.int32(), pa.string(), *[pa.list_(pa.string())] * 7]
+PROFILE = "agent_id int, kind string, " + ", ".join(f"{n} array<string>" for n in _NAMES[2:])
 
-PROFILE = "agent_id int, kind string, families array<string>, firsts array<string>, middle string, own array<string>, trade array<string>"
-_KINDS = [pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
-_NAMES = ["agent_id", "kind", "families", "firsts", "middle", "own", "trade"]
+
+def _profiles_of(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[n] for p in rows], k) for n, k in zip(_NAMES, _KINDS)], names=_NAMES)
 
 
 def _profiles_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
     got = [profile(*r) for r in zip(*(c.to_pylist() for c in b.columns)) if r[2]]
-    got = [p for p in got if p]
-    return pa.RecordBatch.from_arrays([pa.array([p[n] for p in got], k) for n, k in zip(_NAMES, _KINDS)], names=_NAMES)
+    return _profiles_of([p for p in got if p])
 
 
-def _profile_keys(b: pa.RecordBatch) -> pa.RecordBatch:
+def _grow_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
     rows = b.to_pylist()
-    out: tuple[list, list] = ([], [])
     for r in rows:
+        for entry in sorted(r["new"] or ()):
+            part, _, spelling = entry.partition("\t")
+            if spelling not in r[part]:
+                r[part].append(spelling)
+    return _profiles_of(rows)
+
+
+def _profile_keys(b: pa.RecordBatch) -> pa.RecordBatch:
+    out: tuple[list, list] = ([], [])
+    for r in b.to_pylist():
         mark = "f" if r["kind"] == "publisher" else "p"
-        keys = set().union(*(leave_one_out(w) for w in r["families"])) if r["families"] else set()
-        for k in keys:
+        for k in set().union(*(leave_one_out(w) for w in r["families"])):
             out[0].append(mark + k)
-            out[1].append({n: r[n] for n in _NAMES})
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.struct(list(zip(_NAMES, _KINDS))))], names=["key", "profile"])
+            out[1].append(r["agent_id"])
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32())], names=["key", "agent_id"])
 
 
 def _mention_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -255,58 +308,47 @@ def _mention_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _decide_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
-    out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+    out: tuple[list, list, list, list] = ([], [], [], [])
     for m, u, profiles in zip(*(c.to_pylist() for c in b.columns)):
         costs = []
         for p in {p["agent_id"]: p for p in profiles}.values():
             c = firm_cost(u, p) if p["kind"] == "publisher" else person_cost(u, p)
             if c is not None:
-                costs.append((c, p["agent_id"], p))
+                costs.append((c[0], p["agent_id"], c[1]))
         costs.sort(key=lambda x: x[:2])
         if not costs or (len(costs) > 1 and costs[1][0] <= costs[0][0]):
             continue
-        cost, agent, p = costs[0]
-        family = first = None
-        if p["kind"] != "publisher":
-            for f, g in person(u):  # spellings for the profile: only from readings whose other part is beyond doubt
-                d = min(near(f, x) for x in p["families"])
-                if d <= 1 and g and _given(g, p["firsts"], p["middle"]) == 0 and len(g[0]) > 1:
-                    family = f
-                    break
-        for o, x in zip(out, (m, agent, float(cost), family, first)):
+        cost, agent, new = costs[0]
+        for o, x in zip(out, (m, agent, float(cost), new)):
             o.append(x)
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.string())], names=["mention", "agent_id", "cost", "family", "first"])
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.list_(pa.string()))], names=["mention", "agent_id", "cost", "new"])
 
 
-def resolve(mentions: DataFrame, agents: DataFrame, rounds: int = 4) -> DataFrame:
+def resolve(mentions: DataFrame, agents: DataFrame) -> DataFrame:
     """(mention, agent_id) for the distinct strings of ``mentions`` (column ``mention``) that name an agent; both sides stay distributed.
 
-    A round joins the blocking keys of profiles with those of unmatched mentions; only mentions that share a key with a profile are ever grouped. A profile takes over spellings
-    that at least ``2`` different mentions support, so one stray spelling cannot pull it towards another name. ``rounds`` is a bound against endless merging; the loop ends
-    when a round merges nothing.
+    A round joins the blocking keys of profiles with those of unmatched mentions; only mentions that share a key with a profile are ever grouped. A profile takes over the spellings
+    of every mention merged into it, and the loop ends when a round merges nothing or no profile has grown; each further round links at least one more mention, so it does end.
     """
     profiles = checkpointed(arrow_map(agents.where("agent_id is not null").select("agent_id", "agent_kind", "agent_name"), _profiles_kernel, PROFILE))
     distinct = mentions.where("mention is not null and trim(mention) <> ''").select("mention").distinct()
     keys = checkpointed(arrow_map(distinct, _mention_kernel, "mention string, uniform string, key string"))
     links = None
-    for _ in range(rounds):
-        side = small_or_shuffled(arrow_map(profiles, _profile_keys, f"key string, profile struct<{PROFILE.replace(' ', ':').replace(',:', ',')}>"))
+    while True:
+        side = small_or_shuffled(arrow_map(profiles, _profile_keys, "key string, agent_id int").distinct())
         left = keys if links is None else keys.join(links.select(F.col("mention").alias("m")), F.col("mention") == F.col("m"), "left_anti")
-        blocks = left.join(side, "key").groupBy("mention", "uniform").agg(F.collect_set("profile").alias("profiles"))
-        got = checkpointed(arrow_map(blocks, _decide_kernel, "mention string, agent_id int, cost double, family string, first string"))
+        pairs = left.join(side, "key").select("mention", "uniform", "agent_id").distinct()
+        known = small_or_shuffled(profiles.select(F.col("agent_id").alias("p_id"), F.struct(*_NAMES).alias("profile")))
+        blocks = pairs.join(known, F.col("agent_id") == F.col("p_id")).groupBy("mention", "uniform").agg(F.collect_list("profile").alias("profiles"))
+        got = checkpointed(arrow_map(blocks, _decide_kernel, "mention string, agent_id int, cost double, new array<string>"))
         if got.limit(1).count() == 0:
             break
-        links = got if links is None else links.unionByName(got)
-        learned = got.where("family is not null").groupBy("agent_id", "family").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").groupBy("agent_id").agg(F.collect_set("family").alias("new"))
-        grown = profiles.join(learned.withColumnRenamed("agent_id", "l_id"), F.col("agent_id") == F.col("l_id"), "left")
-        added = F.array_union("families", F.coalesce("new", F.array().cast("array<string>")))
-        changed = grown.where("new is not null and size(array_except(new, families)) > 0").limit(1).count()
-        if not changed:
+        links = got if links is None else checkpointed(links.unionByName(got))
+        learned = got.select(F.col("agent_id").alias("l_id"), F.explode("new").alias("entry")).groupBy("l_id").agg(F.collect_set("entry").alias("new"))
+        if learned.limit(1).count() == 0:
             break
-        profiles = checkpointed(grown.withColumn("families", added).select(*_NAMES))
-    if links is None:
-        return got.select("mention", "agent_id")
-    return links.select("mention", "agent_id")
+        profiles = checkpointed(arrow_map(profiles.join(learned, F.col("agent_id") == F.col("l_id"), "left").select(*_NAMES, "new"), _grow_kernel, PROFILE))
+    return (got if links is None else links).select("mention", "agent_id")
 
 
 def mention_rows(spark, sf_dir: str) -> DataFrame:

@@ -20,3 +20,19 @@ def test_links(spark, make):
     assert got.pop((1, "opf_metadata.creators", 1)) == 2
     assert {k[0]: v for k, v in got.items()} == {i: a for i, (_, a) in enumerate(CASES) if a is not None}
     assert N.p6_found(spark, make(books=[], opf_metadata=[], agents=[])).count() == 0
+
+
+def test_profiles_grow_until_nothing_merges(spark):
+    agents = [(1, "person", "Margaret Anna Wexomueller"), (2, "publisher", "Brickfield University Press"), (3, "person", "Katherine Noramdale"), (4, "person", "Walter Abcdefghij")]
+    family, steps = "abcdefghij", []
+    for i in range(6):  # one more letter exchanged in each mention: one round for each
+        family = family[:i] + "z" + family[i + 1 :]
+        steps.append(f"Walter {family}")
+    want = {
+        "Margarete Wexomueller": 1, "Margarethe Wexomueller": 1, "Margaret Anne Wexomueller": 1, "Margaret Annie Wexomueller": 1, "Margarethes Wexomuller": None,
+        "Brickfeild University Press": 2, "Brickfeilds Univ. Pr.": 2, "Univ. Pr. Brickfeilds": 2, "Brickfeilds UniversityPress": 2,
+        "Catherine Noramdale": 3, "C. Noramdale": 3, "D. Noramdale": None, **dict.fromkeys(steps, 4), "Walter Klmnopqrst": None,
+    }
+    mentions = spark.createDataFrame([(m,) for m in want], "mention string")
+    got = {r["mention"]: r["agent_id"] for r in N.resolve(mentions, spark.createDataFrame(agents, "agent_id int, agent_kind string, agent_name string")).collect()}
+    assert got == {m: a for m, a in want.items() if a}
