@@ -1,10 +1,11 @@
 """Problem 5: markup residue in text becomes clean text that keeps headings, lists, code and formulas.
 
 Pages are read into a lenient DOM. Composite text density (characters per tag, lowered by the share of link text) is computed for every node, child densities are summed,
-the node of the largest sum is selected, and the smallest density on its path to the body is the threshold above which subtrees are kept. Text that a reader sees is then
+the node of the largest sum is selected, and the smallest density on its path to the body is the threshold under which blocks that are mostly links are left out; text
+outside links is kept wherever it stands. Text that a reader sees is then
 searched for residue of four kinds (HTML, Markdown, wiki, LaTeX) and rewritten: headings as ``#`` lines, items as ``-`` lines, code between fences, formulas between ``$``.
 
-Kinds are judged on all visible text; the subtree selection only decides what the clean text keeps, and if it would keep less than ``KEEP`` of the visible
+Kinds are judged on all visible text; the density selection only decides which blocks of links the clean text leaves out, and if it would keep less than ``KEEP`` of the visible
 text the whole body is kept. Contents of ``pre`` and ``math`` are copied, never judged.
 
 Defined results: null and blank values give no row; a page without tags is text; unclosed and stray tags are tolerated; a value may hold several kinds; signs used as
@@ -30,6 +31,7 @@ KINDS = ("html", "latex", "markdown", "wiki")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr mbp:pagebreak".split())
 HIDDEN = frozenset("head script style title template noscript svg iframe object".split())
 BLOCK = frozenset("address article aside blockquote body center dd div dl dt figure figcaption footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td th thead tr ul math".split())
+STRUCTURE = frozenset("h1 h2 h3 h4 h5 h6 pre math".split())
 CLOSES_P = BLOCK - {"math", "td", "th", "body", "html", "li"} | {"li"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _RAW = re.compile(r"</(script|style)\s*>", re.I)
@@ -194,7 +196,7 @@ class Page:
         return "".join(out)
 
     def kept(self) -> set[int]:
-        """Nodes of the main text: the subtree of the largest density sum, and every subtree as dense as the threshold of its path."""
+        """Nodes of the main text: all but blocks of links thinner than the threshold, the smallest density on the path of the largest density sum."""
         n = len(self.tag)
         c, t, lc, lt = list(self.chars), list(self.tags), list(self.link_chars), list(self.link_tags)
         for k in range(n - 1, 0, -1):
@@ -220,12 +222,14 @@ class Page:
         while k > 0:
             limit = min(limit, density[k])
             k = self.parent[k]
-        # inside the selected subtree, blocks that are mostly links and thinner than the threshold go; outside it, dense ones stay
-        keep: set[int] = set()
-        for k in range(n):
-            inside = k == best or self.parent[k] in keep
-            links = c[k] and lc[k] > 0.5 * c[k] and density[k] < limit and self.tag[k] in BLOCK
-            if (inside and not links) or (k and density[k] >= limit > 0):
+        # only blocks that are mostly links and thinner than the threshold go; blocks of text inside them, headings, code and formulas stay
+        keep = {0}
+        for k in range(1, n):
+            tag = self.tag[k]
+            stays = self.parent[k] in keep or density[k] >= limit > 0
+            if tag in BLOCK and c[k]:
+                stays = tag in STRUCTURE or lc[k] <= 0.5 * c[k] or density[k] >= limit
+            if stays:
                 keep.add(k)
         got, whole = sum(self.chars[k] for k in keep), c[0]
         return keep if got >= KEEP * whole else set(range(n))

@@ -30,6 +30,15 @@ def test_pages():
     assert M.rewrite("<p>a</p><ul><li>b</ul>") == "a\n- b" and M.cleaned("html", "plain") == "plain" and M.cleaned("html", "</p></div><p") is not None
 
 
+def test_text_beside_a_dense_list_is_kept():
+    items = "".join(f"<li>{'a long item of a list that outweighs its body ' * 6}{i}" for i in range(12))
+    links = "<div>" + "".join(f"<p><a href='x'>nav {i}</a></p>" for i in range(9)) + "<p>No link at all.</p><h3><a href='y'>Linked head</a></h3></div>"
+    page = f"<html><body><h1>Chapter</h1><p><i>A</i> <b>short</b> <i>one</i>.</p><ol>{items}</ol><div><h2>Next</h2><p>End.</p></div>{links}</body></html>"
+    clean = M.cleaned("html", page).split("\n")
+    assert {"# Chapter", "A short one.", "## Next", "End.", "No link at all.", "### Linked head"} <= set(clean)
+    assert sum(x.startswith("- a long item") for x in clean) == 12 and not any("nav" in x for x in clean)
+
+
 def test_rows(spark, make):
     long = "<p>" + "word " * 60_000 + "**x**</p>"
     d = make(books=[{"book_id": 1, "description": "**a** b", "html": None}, {"book_id": 2, "description": " ", "html": long}, {"book_id": 3, "description": None, "html": ""}, {"book_id": 1, "description": "x", "html": "y"}])
