@@ -5,7 +5,8 @@ documents, and applied to batches of fixed-length windows of every sentence. Lab
 that a first network finds mislabelled are left out of the second training. At inference two neighbouring bytes index one table, so a filter over
 six bytes costs three gathers a position.
 
-The sample for training is bounded: ``SAMPLE_DOCS`` documents, chosen by a hash of their id over all labelled rows, and ``SAMPLE_SENTENCES`` sentences of each. All
+The sample for training is bounded: ``SAMPLE_DOCS`` documents, chosen by a hash of their id over all labelled rows, but ``LABEL_DOCS`` of each language where there are so
+many, and ``SAMPLE_SENTENCES`` sentences from the whole text of each. A language with fewer than ``LABEL_SENTENCES`` sentences in a large sample cannot be learned. All
 other work covers every document and its whole text.
 
 A language counts for a document if a full sentence is in it: at least ``MIN_WORDS`` words and ``MIN_LETTERS`` letters, above ``SURE`` (a language with a single sentence) or
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from quire.runtime import arrow_map, spread, table, tune
 
 SAMPLE_DOCS, SAMPLE_SENTENCES = 4000, 12
+#: Documents and sentences of a rare language that are enough to learn it, and the share of the training windows it then gets by repetition.
+LABEL_DOCS, LABEL_SENTENCES, LABEL_SHARE = 100, 24, 0.01
 WINDOW, FILTERS, WIDTHS = 96, 24, (2, 4, 6)
 MIN_WORDS, MIN_LETTERS = 4, 18
 SURE, FAIR = 0.87, 0.6
@@ -210,17 +213,22 @@ class Network:
         self.pairs = None
 
 
+def sampled(text: str) -> list[str]:
+    """Sentences of a text for training, from its whole length."""
+    s = [x for _, x in sentences(text) if full(x)]
+    return s[:: max(1, len(s) // SAMPLE_SENTENCES)][:SAMPLE_SENTENCES]
+
+
 def fit(texts: list[tuple[str, str]], epochs: int = 4) -> Network | None:
     """Trains on (text, code) rows; twice, the second time without sentences that the first network denies."""
-    got, codes = [], []
-    for t, c in texts:
-        s = [x for _, x in sentences(t) if full(x)]
-        step = max(1, len(s) // SAMPLE_SENTENCES)
-        for x in s[::step][:SAMPLE_SENTENCES]:
-            got.append(x)
-            codes.append(c)
+    return fit_sentences([(sampled(t), c) for t, c in texts], epochs)
+
+
+def fit_sentences(rows: list[tuple[list[str], str]], epochs: int = 4) -> Network | None:
+    got = [x for s, _ in rows for x in s]
+    codes = [c for s, c in rows for _ in s]
     share = {c: codes.count(c) for c in set(codes)}
-    classes = sorted(c for c, n in share.items() if n >= max(2, 0.002 * len(codes)))
+    classes = sorted(c for c, n in share.items() if n >= max(2, min(LABEL_SENTENCES, 0.002 * len(codes))))
     if not classes:
         return None
     keep = [i for i, c in enumerate(codes) if c in classes]
@@ -228,6 +236,9 @@ def fit(texts: list[tuple[str, str]], epochs: int = 4) -> Network | None:
     y = np.array([classes.index(codes[keep[i]]) for i in who], np.int64)
     if len(classes) == 1:
         return Network(classes)
+    often = np.bincount(y, minlength=len(classes))
+    again = np.maximum(1, -(-int(LABEL_SHARE * len(y)) // np.maximum(often, 1)))[y]
+    win, y = np.repeat(win, again, axis=0), np.repeat(y, again)
     passes = max(epochs, min(40, 30_000 // max(1, len(y))))
     net = Network(classes)
     net.train(win, y, passes)
@@ -255,15 +266,23 @@ def probabilities(net: Network, texts: list[str]) -> np.ndarray:
 def trained(documents: DataFrame) -> Network | None:
     """The network fitted on the bounded sample of ``documents``.
 
-    A first pass counts the labelled rows from their labels alone; the second takes the rows whose hash lies below the share that makes the sample, so
-    what comes to the driver is the sample, however many partitions there are. The limit only guards against many equal rows.
+    A first pass counts the rows of each label from the labels alone; the second takes the rows whose hash lies below their label's share, and only their
+    sampled sentences come to the driver, however many partitions there are. The limit only guards against many equal rows.
     """
     lab = documents.withColumn("code", code_of(F.col("lang"))).where("code is not null")
-    share = min(1.0, SAMPLE_DOCS / max(1, lab.select("code").count()))
-    hit = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    rows = lab.where(hit if share < 1 else F.lit(True)).where("trim(text) <> ''").select("doc_id", F.substring("text", 1, 6000).alias("text"), "code").limit(2 * SAMPLE_DOCS).collect()
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
-    return fit([(r["text"], r["code"]) for r in rows])
+    counts = {r["code"]: r["count"] for r in lab.groupBy("code").count().collect()}
+    if not counts:
+        return None
+    share = SAMPLE_DOCS / sum(counts.values())
+    below = F.create_map(*[x for c, n in sorted(counts.items()) for x in (F.lit(c), F.lit(int(min(1.0, max(share, LABEL_DOCS / n)) * (1 << 30))))])
+    hit = lab.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < below[F.col("code")]).where("trim(text) <> ''").select("doc_id", "text", "code")
+
+    def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([sampled(t) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], names=["doc_id", "code", "sentences"])
+
+    rows = arrow_map(hit, kernel, "doc_id bigint, code string, sentences array<string>").limit(2 * (SAMPLE_DOCS + LABEL_DOCS * len(counts))).collect()
+    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["code"], r["sentences"]))
+    return fit_sentences([(r["sentences"], r["code"]) for r in rows])
 
 
 def judge(net: Network, texts: list[str]) -> list[list[tuple[int, str, str, float, bool]]]:

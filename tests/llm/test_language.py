@@ -30,3 +30,13 @@ def test_documents(spark, make):
     assert [r["lang"] for r in segs] == ["en", "de"] and all(0.5 < r["confidence"] <= 1 for r in segs)
     assert L.p10_found(spark, make(documents=[{"doc_id": 1, "text": "x", "lang": None}])).count() == 0
     assert L.p10_found(spark, make(documents=[])).count() == 0
+
+
+def test_rare_languages_are_learned_from_whole_texts(spark, make, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE_DOCS", 200)
+    train = [{"doc_id": 1000 + i, "text": " ".join(EN[(i + k) % 4] for k in range(3)), "lang": "en"} for i in range(4000)]
+    rare = [{"doc_id": 100 + i, "text": "Chapter IV\n" * 700 + " ".join(RU), "lang": "ru"} for i in range(12)]
+    d = make(documents=[{"doc_id": 1, "text": " ".join(RU), "lang": "ru"}, {"doc_id": 2, "text": " ".join(RU), "lang": None}, {"doc_id": 3, "text": " ".join(EN), "lang": "en"}, *train, *rare])
+    assert rows(L.p10_found(spark, d), "doc_id", "lang") == [(2, "ru")]
+    net = L.fit([(" ".join(EN * 3), "en")] * 1700 + [(" ".join(RU * 4), "ru")] * 3)
+    assert net.classes == ["en", "ru"] and L.judge(net, [RU[0], EN[0]])[0][0][2] == "ru"
