@@ -1,10 +1,10 @@
 """Problem 9: evaluation texts leaking into training text.
 
 A generalised suffix automaton is built over the normalised words of all test passages and questions. Each document's words stream through it; the
-length of the current match is tracked, and where a run of at least ``SEED`` words ends, every place of the test items it came from gives an alignment.
-Along each alignment words are compared, so single exchanged words are bridged: a leak is a stretch of at least ``WORDS`` words that begins and
-ends with equal words and holds at most one other word in ten, or a whole passage or question under the same rule. ``SEED`` follows from these limits:
-twenty words with two exchanged ones hold an equal run of six.
+length of the current match is tracked, and at every word the state and its suffix links give each place of the test items where a run of at least the item's
+seed ends, and so an alignment. Along each alignment words are compared, so single exchanged words are bridged: a leak is a stretch of at least ``WORDS`` words that begins and
+ends with equal words and holds at most one other word in ten, or a whole passage or question under the same rule; every stretch that no longer one contains is reported. Seeds follow
+from these limits: twenty words with two exchanged ones hold an equal run of six (``SEED``), a whole item of ten words with one exchanged a run of five.
 
 Normalised are case, punctuation, blanks, line breaks, hyphens (also at line ends), quote marks at line starts, HTML escapes and composition.
 Only words of the test items take part in a run, so stretches of other words are skipped by a vectorised scan. The items are a stated query set: they are
@@ -98,16 +98,30 @@ class Automaton:
             p = self.link[p]
         return clone
 
-    def ends(self, state: int) -> list[tuple[int, int]]:
-        """(sequence, position) of every place where the state's strings end."""
+    def ends(self, state: int, length: int, need: list[int]) -> list[tuple[int, int]]:
+        """(sequence, position) of the places where the state's strings end, without branches in which every sequence ``need``s more words than ``length``."""
         out, stack = [], [state]
         while stack:
             s = stack.pop()
-            if self.end[s][0] >= 0:
-                out.append(self.end[s])
-            stack.extend(self.kids[s])
+            if need[s] <= length:
+                if self.end[s][0] >= 0:
+                    out.append(self.end[s])
+                stack.extend(self.kids[s])
         return out
 
+    def least(self, seeds: list[int]) -> list[int]:
+        """For each state the smallest seed of the sequences that its strings end in."""
+        need = [seeds[k] if k >= 0 else 1 << 30 for k, _ in self.end]
+        for s in sorted(range(1, len(self.link)), key=lambda s: (self.len[s], s), reverse=True):  # children before their parents
+            p = self.link[s]
+            need[p] = min(need[p], need[s])
+        return need
+
+
+def seed(n: int) -> int:
+    """Words of the equal run that every leak of an item of ``n`` words holds."""
+    return SEED if n >= WORDS else -(-(n - n // OTHER) // (n // OTHER + 1))
+
 
 class Index:
     def __init__(self, items: tuple[tuple[int, str, str], ...]) -> None:
@@ -121,15 +135,17 @@ class Index:
                     self.seqs.append([self.number.setdefault(x, len(self.number) + 1) for x in w])
         self.arrays = [np.array(s, np.int32) for s in self.seqs]
         self.automaton = Automaton(self.seqs)
-        self.shortest = min([SEED, *map(len, self.seqs)])
+        self.seeds = [seed(len(x)) for x in self.seqs]
+        self.need = self.automaton.least(self.seeds)
+        self.shortest = min([SEED, *self.seeds])
 
     def spans(self, doc: list[str]) -> list[tuple[int, int, int]]:
-        """(item, first word, words) of the document's leaks, the longest of each item and alignment."""
+        """(item, first word, words) of the document's leaks, all stretches of each item and alignment."""
         get = self.number.get
         ids = np.fromiter((get(w, 0) for w in doc), np.int32, len(doc))
         known = np.concatenate([[0], (ids > 0).view(np.int8), [0]])
         edge = np.flatnonzero(np.diff(known))
-        found: dict[tuple[int, int], tuple[int, int]] = {}
+        found: list[tuple[int, int, int]] = []
         seen: set[tuple[int, int]] = set()
         a = self.automaton
         for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist()):
@@ -139,8 +155,6 @@ class Index:
             run = ids[lo:hi].tolist()
             for i, c in enumerate(run):
                 while state and c not in a.next[state]:
-                    if length >= self.shortest:
-                        self._align(ids, lo + i - 1, state, length, seen, found)
                     state = a.link[state]
                     length = a.len[state]
                 if c in a.next[state]:
@@ -148,49 +162,46 @@ class Index:
                     length += 1
                 else:
                     state = length = 0
-            if length >= self.shortest:
-                self._align(ids, hi - 1, state, length, seen, found)
-        return [(self.owner[k], s, n) for (k, _), (s, n) in found.items()]
-
-    def _align(self, ids: np.ndarray, last: int, state: int, length: int, seen: set, found: dict) -> None:
-        for k, at in self.automaton.ends(state):
+                # an item may end here, or go on otherwise, while a longer match with another one lasts
+                s, n = state, length
+                while n >= self.shortest:
+                    if n >= self.need[s]:
+                        self._align(ids, lo + i, s, n, seen, found)
+                    s = a.link[s]
+                    n = a.len[s]
+        return found
+
+    def _align(self, ids: np.ndarray, last: int, state: int, length: int, seen: set, found: list) -> None:
+        for k, at in self.automaton.ends(state, length, self.need):
             seq = self.arrays[k]
-            if length < SEED and length < len(seq):
-                continue
             shift = last - at
-            if (k, shift) in seen:
+            if length < self.seeds[k] or (k, shift) in seen:
                 continue
             seen.add((k, shift))
             lo, hi = max(0, -shift), min(len(seq), len(ids) - shift)
             same = seq[lo:hi] == ids[lo + shift : hi + shift]
-            best = self._stretch(same, len(seq))
-            if best:
-                found[k, shift] = (lo + shift + best[0], best[1])
+            found += [(self.owner[k], lo + shift + first, n) for first, n in self._stretches(same, len(seq))]
 
     @staticmethod
-    def _stretch(same: np.ndarray, whole: int) -> tuple[int, int] | None:
-        """(first, words) of the longest stretch that begins and ends with equal words and holds at most one other word in ``OTHER``."""
+    def _stretches(same: np.ndarray, whole: int) -> list[tuple[int, int]]:
+        """(first, words) of the stretches that begin and end with equal words and hold at most one other word in ``OTHER``, without those inside longer ones."""
         at = np.flatnonzero(same)
-        if len(at) == 0:
-            return None
         other = np.concatenate([[0], np.cumsum(~same)])
-        best = None
+        out, reached = [], -1
         # a stretch of n words may hold n // OTHER others: with score OTHER * others - n falling over a stretch, compare each start with later ends
-        for i in at.tolist():
-            ends = at[at >= i]
+        for k, i in enumerate(at.tolist()):
+            ends = at[k:]
             n = ends - i + 1
             ok = np.flatnonzero((other[ends + 1] - other[i]) * OTHER <= n)
-            if len(ok):
-                m = int(n[ok[-1]])
-                if best is None or m > best[1]:
-                    best = (i, m)
-            if best and best[1] >= len(same) - i:
+            end = int(ends[ok[-1]])
+            if end > reached and end - i + 1 >= WORDS:
+                out.append((i, end - i + 1))
+                reached = end
+            if reached == at[-1]:
                 break
-        if best and best[1] >= WORDS:
-            return best
-        if whole < WORDS and best and len(same) == whole and (whole - int(same.sum())) * OTHER <= whole:
-            return (0, whole)
-        return None
+        if not out and len(same) == whole and len(at) and int(other[-1]) * OTHER <= whole:
+            return [(0, whole)]
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -45,3 +45,16 @@ def test_normalised(spark, make):
     clean = {r["doc_id"]: r for r in K.p9_clean(spark, d).collect()}
     assert clean[1]["clean_text"].endswith("end") and "rescued" not in clean[1]["clean_text"]
     assert K.p9_found(spark, make(documents=[], eval_items=[])).count() == 0
+
+
+def test_short_items_inner_items_and_second_stretches():
+    short = "one two three four five six seven eight nine ten"
+    ix = K.index(((1, short, ""),))
+    assert ix.spans(K.words("x " + short.replace("five", "zebra") + " y")) == [(1, 1, 10)] and not ix.spans(K.words(short.replace("five", "zebra").replace("six", "zebra")))
+    w = [f"word{i}" for i in range(60)]
+    ix = K.index(((1, " ".join(w), ""), (2, " ".join(w[10:35]), ""), (3, " ".join(w[20:42] + ["else"] * 5), "")))
+    assert {(i, n) for i, _, n in ix.spans(["a", *w, "b"])} == {(1, 60), (2, 25), (3, 22)}
+    doc = ["a", *w[:25], *["zebra"] * 10, *w[35:], "b"]
+    assert sorted(s for s in ix.spans(doc) if s[0] == 1) == [(1, 1, 25), (1, 36, 25)]
+    edges = ["zebra", *w[1:19], "zebra"]
+    assert K.index(((1, " ".join(w[:20]), ""),)).spans(edges) == [(1, 0, 20)]
