@@ -17,15 +17,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.runtime import arrow_map, table, tune
+from quire.runtime import arrow_map, checkpointed, table, tune
 
 # Delimiters. Hard ones always end a value; soft ones also occur inside headings and names.
 HARD = (";", "|", "\n", "\t", "•", "·", "、", "；", "｜")
 SOFT = (",", "/", "&", "，", "／")
 WORDS = ("and", "und", "et", "with", "mit", "y", "e", "og", "och", "en", "avec", "con")
 BLANKS = b" \t\r\n\x0b\x0c"
-#: Most neighbouring pieces that one heading may consist of.
-SPAN = 4
+#: How often the corpus must hold joined pieces as a whole element for them to be one value.
+OFTEN = 3
 PATTERN = "[;|\\n\\t•·、；｜,/&，／]|\\s(" + "|".join(WORDS) + ")\\s"
 
 
@@ -97,7 +97,10 @@ def normal(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, "\\s+", " ")))
 
 
-def _spans_kernel(words: bool):
+def _spans_kernel(words: bool, sizes: frozenset[int]):
+    """Every piece, and every run of neighbouring pieces of a size that some recurring whole element has."""
+    most = max(sizes, default=1)
+
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
         elem = b.column(0)
         value, cls, quoted = scan(elem, words)
@@ -106,11 +109,13 @@ def _spans_kernel(words: bool):
             keep = [(v, c, q) for v, c, q in zip(vs, cs, qs) if v]
             for i in range(len(keep)):
                 text = ""
-                for j in range(i, min(len(keep), i + SPAN)):
+                for j in range(i, min(len(keep), i + most)):
                     if j > i and (keep[j][1] == 2 or keep[j][2] or keep[j - 1][2]):
                         break
                     p = keep[j][0]
                     text = p if j == i else text + "\x00" + p
+                    if j > i and j - i + 1 not in sizes:
+                        continue
                     for o, x in zip(out, (e, i, j, text.lower())):
                         o.append(x)
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string())], names=["element", "i", "j", "span"])
@@ -143,8 +148,13 @@ def _choose(names: bool):
             have = {(k["i"], k["j"]): (k["alone"], k["whole"]) for k in ks or []}
             seen = lambda i: sum(have.get((i, i), (0, 0)))
             best, back = [0.0] + [1e9] * n, [0] * (n + 1)
+            long: dict[int, list[int]] = {}
+            for (i, j), (_, whole) in have.items():
+                if j - i >= 4 and whole >= OFTEN:
+                    long.setdefault(i, []).append(j)
             for i in range(n):
-                for j in range(i, min(n, i + SPAN)):
+                # joins that the corpus does not hold are dearer the longer they are: beyond four pieces they never win
+                for j in [*range(i, min(n, i + 4)), *sorted(long.get(i, ()))]:
                     if j > i and (keep[j][1] == 2 or keep[j][2] or keep[j - 1][2]):
                         break
                     if j == i:
@@ -159,7 +169,7 @@ def _choose(names: bool):
                             cost = 0.0  # an inverted name with its dates
                         elif names and j == i + 1 and (keep[j][0][:1].isdigit() or keep[j][0].rstrip(".").lower() in ("jr", "sr", "phd", "md", "ltd", "inc", "gmbh", "ed", "eds")):
                             cost = 0.0
-                        elif whole >= 3 and strange:
+                        elif whole >= OFTEN and strange:
                             cost = 0.0
                         elif names and strange and not all(name_like(keep[k][0]) for k in parts):
                             cost = 0.9 + (j - i - 1)
@@ -209,7 +219,7 @@ def unpacked(elements: DataFrame, names: bool, alone: DataFrame | None = None) -
 
     Distinct elements are counted first (map-side combine), so a hot element is decided once; all joins are on its text or its pieces' texts.
     """
-    counts = elements.where("element is not null and trim(element) <> ''").groupBy("element").agg(F.count(F.lit(1)).alias("n"))
+    counts = checkpointed(elements.where("element is not null and trim(element) <> ''").groupBy("element").agg(F.count(F.lit(1)).alias("n")))
     sep = F.col("element").rlike(PATTERN) | F.col("element").contains('"')
     single = counts.where(~sep).select(normal(F.col("element")).alias("key"), "n")
     if alone is not None:
@@ -219,7 +229,9 @@ def unpacked(elements: DataFrame, names: bool, alone: DataFrame | None = None) -
     wholes = packed.select(span_key(F.col("element"), names).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("whole"))
     known = single.select("key", "alone", F.lit(0).cast("bigint").alias("whole")).unionByName(wholes.select("key", F.lit(0).cast("bigint").alias("alone"), "whole"))
     known = known.groupBy("key").agg(F.sum("alone").alias("alone"), F.sum("whole").alias("whole"))
-    spans = arrow_map(packed.select("element"), _spans_kernel(names), "element string, i int, j int, span string")
+    pieces = F.length("key") - F.length(F.replace("key", F.lit("\u0000"))) + 1
+    sizes = frozenset(r[0] for r in wholes.where(f"whole >= {OFTEN}").select(pieces).distinct().collect())  # numbers of pieces, at most as many as the longest element has
+    spans = arrow_map(packed.select("element"), _spans_kernel(names, sizes), "element string, i int, j int, span string")
     hits = spans.join(known, spans.span == known.key).groupBy("element").agg(F.collect_list(F.struct("i", "j", "alone", "whole")).alias("known"))
     decided = packed.select("element").join(hits.withColumnRenamed("element", "e"), F.col("element") == F.col("e"), "left").select("element", "known")
     return arrow_map(decided, _choose(names), "element string, item_no int, value string")

@@ -39,3 +39,12 @@ def test_values_from_the_corpus(spark, make):
 def test_empty_tables(spark, make):
     d = make(books=[], opf_metadata=[])
     assert P.p3_found(spark, d).count() == 0
+
+
+def test_long_headings_and_firms_stay_whole(spark, make):
+    heading, firm = "Salt, Bread, Iron, Wool, Fish / Rye", "Aab, Bcc, Cdd, Dee, Eff & Gee"
+    books = [{"book_id": 10 + i, "subjects": [heading]} for i in range(4)] + [{"book_id": 1, "subjects": [f"Maps; {heading}", f"{heading}, Maps"]}, *({"book_id": 20 + i, "subjects": ["Maps"]} for i in range(4))]
+    d = make(books=books, opf_metadata=[{"book_id": 10 + i, "creators": [firm]} for i in range(4)] + [{"book_id": 1, "creators": [f"{firm}; Ann Lee"]}])
+    got = {(r["field"], r["pos"], r["item_no"]): r["value"] for r in P.p3_unpack(spark, d).collect() if r["book_id"] == 1}
+    assert got == {("subjects", 1, 1): "Maps", ("subjects", 1, 2): heading, ("subjects", 2, 1): heading, ("subjects", 2, 2): "Maps", ("creators", 1, 1): firm, ("creators", 1, 2): "Ann Lee"}
+    assert {r["book_id"] for r in P.p3_found(spark, d).collect()} == {1}
