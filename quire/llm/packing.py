@@ -30,8 +30,6 @@ from quire.runtime import arrow_map, checkpointed, collect_bounded, spread, tabl
 TOKENIZERS = "/opt/tokenizers"
 FILES = {"gpt2": "byte_bpe_50k.tiktoken", "cl100k_base": "byte_bpe_multi_50k.tiktoken"}
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Lengths that a triple's members are looked for among, per open length: bounds the driver's time; what no triple fills goes to best fit.
-TRIPLES, SECONDS = 300, 40
 #: Distinct pre-tokens whose counts a Python worker remembers.
 MEMO = 300_000
 
@@ -100,8 +98,14 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     """[(lengths of one container, how many such containers)] that uses every length as often as the histogram holds it."""
     left = {n: c for n, c in histogram.items() if c > 0 and 0 < n <= capacity}
     out: list[tuple[tuple[int, ...], int]] = []
+    # the open lengths as bits of one number, and the same from the capacity downwards: shifted over each other they show all pairs of a sum
+    up, down = 0, 0
+    for n in left:
+        up |= 1 << n
+        down |= 1 << (capacity - n)
 
     def use(combo: tuple[int, ...]) -> None:
+        nonlocal up, down
         need: dict[int, int] = {}
         for x in combo:
             need[x] = need.get(x, 0) + 1
@@ -111,6 +115,8 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
                 left[x] -= k * times
                 if not left[x]:
                     del left[x]
+                    up ^= 1 << x
+                    down ^= 1 << (capacity - x)
             out.append((combo, times))
 
     if capacity in left:
@@ -133,20 +139,20 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
                 use((big, x, y))
         if big not in left:
             continue
-        small = [x for x in small if x in left][:TRIPLES]
-        sums: dict[int, int] = {}
         for x in small:
-            if big not in left:
+            if big not in left or 3 * x < gap:
                 break
             if x not in left:
                 continue
             rest = gap - x
-            z = sums.get(rest)
-            if z is not None and z in left and rest - z in left:
-                use((big, x, z, rest - z))
-            for y in small[:SECONDS]:
-                if y in left:
-                    sums.setdefault(x + y, y)
+            pairs = up & (down >> (capacity - rest)) & ((2 << min(x, rest // 2)) - 1) if rest > 0 else 0
+            while pairs and x in left and big in left:  # y <= z and y <= x, the longest y first
+                y = pairs.bit_length() - 1
+                pairs ^= 1 << y
+                if y in left and rest - y in left and rest - y <= x:
+                    use((big, x, rest - y, y))
+                elif rest - y > x:
+                    break
     # best fit of the rest: the largest length opens a container, the largest length that still fits follows; equal fillings are repeated at once
     keys = sorted(left)
     while left:

@@ -27,6 +27,11 @@ def test_exact_complements():
     assert sum(t for _, t in K.plan({30: 4, 20: 4, 25: 2, 10: 3, 40: 3}, 50)) == 8
 
 
+def test_triples_below_many_longer_lengths():
+    p = K.plan({1600: 1, **dict.fromkeys(range(1001, 1400), 1), 519: 1, 480: 1, 401: 1}, 3000)
+    assert ((1600, 519, 480, 401), 1) in [(tuple(sorted(c, reverse=True)), t) for c, t in p]
+
+
 @pytest.mark.skipif(not os.path.isdir(K.TOKENIZERS), reason="no vocabulary files")
 def test_texts(spark, make):
     long = "word " * 3000
