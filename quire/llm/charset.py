@@ -24,9 +24,12 @@ from pyspark.sql import functions as F
 
 from quire.runtime import arrow_map, checkpointed, small_or_shuffled, spread, table, tune
 
-# Charsets that text is misread under, and pairs of charsets of one byte a character (written, read).
-MISREAD_UTF8 = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1254", "cp437", "cp850", "cp852", "cp866", "mac_roman", "koi8_r", "iso8859_2", "iso8859_15")
-TWICE = (("cp1252", "cp1252"), ("latin-1", "latin-1"), ("latin-1", "cp1252"), ("cp1252", "latin-1"), ("cp1251", "cp1251"), ("cp1250", "cp1250"), ("cp1251", "cp1252"), ("cp1252", "cp1251"))
+# Charsets that text is misread under, and groups of charsets of one byte a character.
+MISREAD_UTF8 = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1254", "cp437", "cp850", "cp852", "cp866", "mac_roman", "koi8_r", "iso8859_2", "iso8859_15", "iso8859_5", "mac_cyrillic")
+TWICE = tuple((a, b) for a in MISREAD_UTF8 for b in MISREAD_UTF8)
+#: Double misreads that are common; an original under any other pair gives way to one under a likelier chain.
+COMMON = (("cp1252", "cp1252"), ("latin-1", "latin-1"), ("latin-1", "cp1252"), ("cp1252", "latin-1"), ("cp1251", "cp1251"), ("cp1250", "cp1250"), ("cp1251", "cp1252"), ("cp1252", "cp1251"))
+RARE = [f"utf-8>{a}>utf-8>{b}{end}" for a, b in TWICE if (a, b) not in COMMON for end in ("", "?")]
 LATIN = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2")
 CYRILLIC = ("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic")
 #: Letters that matched words of single-byte chains must have together in one value.
@@ -93,11 +96,11 @@ def forms(word: str) -> list[tuple[str, str, bool]]:
     for c in MISREAD_UTF8:
         add(_read(u8, c), f"utf-8>{c}", True)
         add(_read(u8, c, True), f"utf-8>{c}?", True)
+    once = {c: _read(u8, c).encode("utf-8") for c in MISREAD_UTF8}
     for a, b in TWICE:
-        once = _read(u8, a)
-        add(_read(once.encode("utf-8"), b), f"utf-8>{a}>utf-8>{b}", True)
-        add(_read(once.encode("utf-8"), b, True), f"utf-8>{a}>utf-8>{b}?", True)
-    for group, other in ((LATIN, CYRILLIC[:3]), (CYRILLIC, LATIN)):
+        add(_read(once[a], b), f"utf-8>{a}>utf-8>{b}", True)
+        add(_read(once[a], b, True), f"utf-8>{a}>utf-8>{b}?", True)
+    for group, other in ((LATIN, CYRILLIC), (CYRILLIC, LATIN)):
         for a in group:
             raw = _write(word, a)
             if raw is None:
@@ -175,11 +178,11 @@ def _forms_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def mapping(v: DataFrame) -> DataFrame:
-    """(form, original, chain, strong): garbled words of the corpus with their originals, the most frequent original first."""
+    """(form, original, chain, strong): garbled words of the corpus with their originals, the most frequent original first and those of rare chains last."""
     vocab = small_or_shuffled(vocabulary(v))
     all_forms = arrow_map(vocab.select("word", "n"), _forms_kernel, "form string, original string, n_original bigint, chain string, strong boolean, weight int")
     hit = all_forms.join(vocab.withColumnRenamed("n", "n_form"), F.col("form") == F.col("word")).where("n_original > n_form or (strong and 3 * n_original >= n_form and length(form) > length(original))")
-    best = hit.groupBy("form").agg(F.max(F.struct(F.col("strong").cast("int").alias("s"), "n_original", F.length("original").alias("len"), "original", "chain", "weight")).alias("b"))
+    best = hit.groupBy("form").agg(F.max(F.struct(F.col("strong").cast("int").alias("s"), (~F.col("chain").isin(*RARE)).cast("int").alias("likely"), "n_original", F.length("original").alias("len"), "original", "chain", "weight")).alias("b"))
     return best.select("form", F.col("b.original").alias("original"), F.col("b.chain").alias("chain"), (F.col("b.s") == 1).alias("strong"), F.col("b.weight").alias("weight"))
 
 

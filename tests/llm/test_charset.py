@@ -30,3 +30,23 @@ def test_found_and_restored(spark, make):
 
 def test_empty(spark, make):
     assert C.p1_found(spark, make(books=[])).count() == 0
+
+
+def test_every_charset_of_the_lists_is_read():
+    word = "répété"
+    got = {f for f, _, _ in C.forms(word)}
+    for b in C.CYRILLIC:
+        assert word.encode("cp1252").decode(b) in got
+    for a in ("iso8859_5", "mac_cyrillic", "cp437", "cp850", "mac_roman", "koi8_r"):
+        once = word.encode().decode(a)
+        assert once in got and once.encode().decode("mac_roman") in got and once.encode().decode("latin-1") in got
+
+
+def test_rarer_chains_are_found_and_restored(spark, make):
+    title = "Le cœur répété de la forêt gelée"
+    bad = [title.replace("œ", "oe").encode("cp1252").decode("mac_cyrillic"), title.encode().decode("iso8859_5"), title.encode().decode("mac_roman").encode().decode("cp437")]
+    clean = [{"book_id": 100 + i, "title": title + " coeur", "html": None} for i in range(6)]
+    d = make(books=[*({"book_id": i, "title": t, "html": None} for i, t in enumerate(bad)), *clean])
+    assert rows(C.p1_found(spark, d), "book_id", "field") == [(i, "title") for i in range(3)]
+    fixed = {r["book_id"]: r["restored"] for r in C.p1_restore(spark, d).collect()}
+    assert fixed[1] == title and fixed[2] == title
