@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -11,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a table that may be broadcast after they were counted, and the bytes a row may have on average.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes of a table that may be broadcast; both are measured before.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 24 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,7 @@ def tune(spark: SparkSession, batch_rows: int = 4000) -> None:
     except Exception:  # an older Spark has no such setting
         pass
     spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     ship(spark)
 
 
@@ -51,17 +54,32 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage through the reliable folder of ``spark.checkpoint.dir``; a private folder only where that is unset."""
-    sc = df.sparkSession.sparkContext
+    """Cut the lineage through the folder that the session names in ``spark.checkpoint.dir``. Where it is unset, a private folder serves a
+    session in one process; a cluster without a shared folder is refused. Files go with the frames that read them.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-ckpt-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not shared:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="quire-ckpt-")
+            atexit.register(shutil.rmtree, shared, True)
+        sc.setCheckpointDir(shared)
     return df.checkpoint(eager=eager)
 
 
-def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A side of a join: broadcast after a count proved it small, else left to a shuffled join."""
+def byte_size(df: DataFrame):
+    """The bytes of a row's values, as a column: lengths of texts, and of other values as JSON."""
+    return sum((F.coalesce(F.octet_length(f.name) if f.dataType.typeName() in ("string", "binary") else F.octet_length(F.to_json(F.struct(f.name))), F.lit(0)) for f in df.schema.fields), F.lit(0))
+
+
+def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A side of a join: broadcast after its rows and bytes were measured and are few, else left to a shuffled join."""
     kept = checkpointed(df)
-    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+    n, total = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(byte_size(kept)), F.lit(0))).first()
+    return F.broadcast(kept) if n <= rows and total <= size else kept.hint("merge")
 
 
 def collect_bounded(df: DataFrame, rows: int, what: str) -> list:
