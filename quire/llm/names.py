@@ -2,12 +2,15 @@
 
 Merge-and-rematch: every agent starts as a profile of its own name. Distinct mention strings are blocked with profiles by keys that survive one typing
 error (a name part with any one letter left out), compared part by part, and a mention with one best profile is merged into it: the profile takes over
-the mention's spellings of the family name, of the given names and their initials, or of an organisation's own words. The richer profiles re-enter blocking with the mentions still
-unmatched, until a round merges nothing new.
+the mention's spellings of the family name, of the given names and their initials, or of an organisation's words. After each round the mentions that fit a
+profile but for one word are counted over the whole corpus: a given name that stands beside the families of one given name, or a word that stands for one
+word beside several organisations' own words, is a form of it (a nickname, a trade abbreviation), and every profile with that word takes it over. The richer
+profiles re-enter blocking with the mentions still unmatched, until a round merges and teaches nothing new. No nickname or trade word is listed here.
 
 Persons: family name first or last, given names in full, as nickname, shortened to initials or left out after the first, titles, roles and life dates
-ignored. Organisations: legal forms and articles ignored, trade words abbreviated or reordered. A name part may hold one typing error (a letter left out, doubled,
-exchanged, or swapped with its neighbour). Ties between agents stay unlinked.
+ignored. Organisations: legal forms and articles ignored, words abbreviated or reordered, but the rarest word of a name must be there. A name part may hold one typing
+error (a letter left out, doubled, exchanged, or swapped with its neighbour). Ties between agents stay unlinked. A blocking key holds the given name beside the family
+name, and costs are compared by a map-side minimum, so a common family name never gathers its mentions or profiles in one task.
 
 Defined results: null, blank and several-name mentions are not linked; a mention equal to ``agent_name`` is linked in ``p6_links`` but is no case of
 ``p6_found``; agents without id or name link nothing; equal agent names are a tie; extra columns are ignored.
@@ -24,21 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.lookalike import unify
-from quire.runtime import arrow_map, checkpointed, small_or_shuffled, table, tune
-
-# Nicknames by given name, titles and roles, legal forms, and trade words with their abbreviations.
-NICKNAMES = {
-    "abigail": "abby gail abbie", "alexander": "alex sandy al xander alec sasha", "christopher": "chris kit topher", "daniel": "dan danny", "dorothea": "dora thea dot dolly dorothy dodo", "eleanor": "ellie nell nora ella nelly lenora", "elizabeth": "liz beth betty eliza lizzie bess lisa libby betsy",
-    "frederick": "fred freddy freddie rick fritz", "gabriel": "gabe gab", "harold": "harry hal", "ignatius": "iggy nate ignaz inigo", "isabella": "bella izzy isa belle ella isabel", "jonathan": "jon jonny johnny john nathan", "josephine": "jo josie fina joey posy", "katherine": "kate kathy katie kat kitty kay cathy", "leonard": "leo len lenny",
-    "margaret": "maggie peggy meg greta marge madge rita daisy peg", "matilda": "tilly mattie maud tilda matty", "nicholas": "nick nicky klaus colin nico claus", "oliver": "ollie olly noll", "patrick": "pat paddy rick", "philippa": "pippa pip phil flip", "quentin": "quin quent quinn", "raymond": "ray", "robert": "rob bob bobby robbie bert robin", "samuel": "sam sammy",
-    "susanna": "sue susie suzy anna susan sanna zuzu", "theodore": "theo ted teddy", "ursula": "ulla ursel uschi ursie", "victoria": "vicky tori vic vickie", "vincent": "vince vin vinnie", "walter": "walt wally wat", "william": "will bill billy willy liam", "yvonne": "vonnie eve yve evie vonny", "zachary": "zach zack zak zac",
-}
+from quire.runtime import arrow_map, checkpointed, small_or_shuffled, spread, table, tune
+
+# Titles and roles, legal forms and articles.
 TITLES = frozenset("dr prof professor mr mrs ms miss sir dame rev hon by ed eds editor edited von_ author illustrator illus trans translator written jr sr phd md".split())
-LEGAL = frozenset("inc ltd limited gmbh co llc plc corp corporation publisher the and sa ag bv kg srl spa ab".split())
-TRADE = {
-    "univ": "university", "pr": "press", "publ": "publishing", "pubs": "publishers", "pub": "publishers", "vlg": "verlag", "verl": "verlag", "eds": "editions", "edns": "editions", "ed": "editions", "bks": "books", "bk": "books", "ptg": "printing", "prtg": "printing", "hse": "house", "co": "company", "cie": "company", "comp": "company",
-}
-WORDS = frozenset("university press publishing publishers verlag editions books printing house company".split())
+LEGAL = frozenset("inc ltd limited gmbh llc plc corp corporation publisher the and sa ag bv kg srl spa ab".split())
+#: A legal form that is also an abbreviation: left out only where a name has no word for it.
+MAYBE_LEGAL = "co"
+#: Places (families, or own words of organisations) that must agree before a word counts as a form of another one; one is enough for a shortened form.
+PLACES = 2
 
 
 def fold(text: str) -> str:
@@ -112,39 +109,56 @@ def person(text: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
 
 
 @lru_cache(maxsize=200_000)
-def firm(text: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """(own words, trade words) of an organisation's name; legal forms and articles are left out."""
+def firm(text: str) -> tuple[str, ...]:
+    """The words of an organisation's name; legal forms and articles are left out."""
     t = re.sub(r"&\s*co\b\.?", " ", fold(text))
-    own, trade = [], []
-    ws = [w for w in re.split(r"[\s.,\-_()&/‐‑]+", t) if w]
-    for i, w in enumerate(ws):
-        if w == "co" and i and ws[i - 1] in ("publ", "publishing"):
-            trade.append("company")
-        elif w in LEGAL:
-            continue
-        elif w in TRADE or w in WORDS:
-            trade.append(TRADE.get(w, w))
-        else:
-            own.append(w)
-    return tuple(own), tuple(trade)
+    return tuple(w for w in re.split(r"[\s.,\-_()&/‐‑]+", t) if w and w not in LEGAL)
 
 
 def leave_one_out(w: str) -> set[str]:
     return {w} | ({w[:i] + w[i + 1 :] for i in range(len(w))} if len(w) >= 4 else set())
 
 
+def _person_keys(family: str, first: str) -> set[str]:
+    """Keys that meet where one of the two names holds one error: the other one is then whole."""
+    out = {f"p{k} {first}" for k in leave_one_out(family)}
+    return out | ({f"q{family} {k}" for k in leave_one_out(first)} if len(first) >= 4 else set())
+
+
 def mention_keys(text: str) -> set[str]:
     out: set[str] = set()
-    for family, _ in person(text):
-        out |= {"p" + k for k in leave_one_out(family)}
+    for family, given in person(text):
+        if given:
+            out |= _person_keys(family, given[0])
     if not _several(text):
-        own, trade = firm(text)
-        for w in own if (len(own) + len(trade)) >= 2 else ():
+        for w in firm(text):
             if len(w) >= 4:
                 out |= {"f" + k for k in leave_one_out(w)}
     return out
 
 
+_SOUNDS = re.compile(r"ph|c[kh]?|kh?|qu?|(\w)\1+")
+
+
+def _sound(w: str) -> str:
+    return _SOUNDS.sub(lambda m: "f" if m[0] == "ph" else m[1] or "k", w)
+
+
+def short_form(m: str, g: str) -> bool:
+    """Whether a given name is another one cut short, perhaps with an ending of pet names."""
+    stem = re.sub(r"(?:ie|ey|y|i|e|s|o)$", "", m)
+    stem, whole = _sound(stem), _sound(g)
+    return len(stem) >= 2 and len(m) < len(g) + 2 and (whole.startswith(stem) or (len(stem) >= 4 and stem in whole))
+
+
+def abbreviates(m: str, w: str) -> bool:
+    """Whether a word shortens another one: up to four of its letters, in order, from its first."""
+    if not (2 <= len(m) <= 4 < len(w)) or m[0] != w[0]:
+        return False
+    at = iter(w)
+    return all(c in at for c in m)
+
+
 def _given(mention: tuple[str, ...], p: dict) -> tuple[int, list[str]] | None:
     """Cost of the given names of a mention against a profile's, and the spellings it would add; None for another person."""
     if not mention or len(mention) > 2:
@@ -214,56 +228,64 @@ def _run_on(text: str, words: list[list[str]]) -> int:
 
 
 def firm_cost(text: str, p: dict) -> tuple[float, list[str]] | None:
-    """As ``person_cost``, for an organisation."""
-    own, trade = firm(text)
-    mine, its = list(p["own"]), list(p["trade"])
-    words, cost, new = list(own) + list(trade), 0, []
+    """As ``person_cost``, for an organisation; a cost of ``HALF`` is no match but all words agree except one, which is named."""
+    words, its = list(firm(text)), list(p["words"])
     if not words:
         return None
-    known = {w: [w] for w in mine + its}
+    known = {w: [w] for w in its}
     for pair in p["spellings"]:
         w, _, x = pair.partition(" ")
         known[w].append(x)
-    run = "".join(words)
-    if own and (near(run, "".join(mine + its)) <= 1 or (p["spellings"] and _run_on(run, [known[w] for w in mine + its]) <= 1)):  # a blank may be left out or swapped with its neighbour
-        if words == mine + its:
-            return 0.0, []
-        if len(words) != len(mine) + len(its):
-            return 0.5, []
+    run, cost = "".join(words), 0.0
+    if words == its:
+        return 0.0, []
+    if len(words) == len(its) + 1 and MAYBE_LEGAL in words and MAYBE_LEGAL not in its:
+        words.remove(MAYBE_LEGAL)
+    # a blank may be left out or swapped with its neighbour
+    if len(its) > 1 and (near(run, "".join(its)) <= 1 or (p["spellings"] and _run_on(run, [known[w] for w in its]) <= 1)):
         cost = 0.5
-    if len(words) != len(mine) + len(its):
-        return None
-    off = 0
-    for target in mine + its:
-        k = min(range(len(words)), key=lambda i: _nearest(words[i], known[target]), default=None)
-        d = 9 if k is None else _nearest(words[k], known[target])
-        if d > 1:
-            return (cost, []) if cost else None
-        off += d
-        w = words.pop(k)
-        if d and target in mine:
-            new += [f"spellings\t{target} {w}", "families\t" + w]
+    if len(words) != len(its):
+        return (cost, []) if cost else None
+    off, new, left = 0.0, [], list(its)
+    for price in (0.0, 0.05, 1.0):  # equal words first, then abbreviations, then words with one error
+        for target in list(left):
+            if price == 0.05:
+                k = next((i for i, w in enumerate(words) if target not in p["families"][:1] and any(abbreviates(w, x) for x in known[target])), None)
+            else:
+                k = next((i for i, w in enumerate(words) if _nearest(w, known[target]) == price), None)
+            if k is None:
+                continue
+            w = words.pop(k)
+            left.remove(target)
+            off += price
+            if price == 1.0:
+                new += [f"spellings\t{target} {w}"] + (["families\t" + w] if target == p["families"][0] else [])
+    if left:
+        if cost:
+            return cost, []
+        return (HALF, [f"{left[0]}\t{words[0]}"]) if len(left) == 1 and not off and left[0] != p["families"][0] and len(words[0]) > 1 else None
     if cost:
         return cost, new if off <= 1 else []
-    return (float(off), new) if off <= 1 else None
+    return (off, new) if off < 2 else None
 
 
-def profile(agent_id: int, kind: str, name: str) -> dict | None:
+def profile(agent_id: int, kind: str, name: str, anchor: str | None = None) -> dict | None:
     empty = {n: [] for n in _NAMES[2:]}
     if kind == "publisher":
-        own, trade = firm(name)
-        return {**empty, "agent_id": agent_id, "kind": kind, "families": list(own), "own": list(own), "trade": list(trade)} if own else None
+        words = firm(name)
+        return {**empty, "agent_id": agent_id, "kind": kind, "families": [anchor or words[0]], "words": list(words)} if words else None
     read = person(name)
-    if not read:
+    if not read or not read[0][1]:
         return None
     family, given = read[0]
-    firsts = [given[0], *NICKNAMES.get(given[0], "").split()]
-    return {**empty, "agent_id": agent_id, "kind": kind, "families": [family], "firsts": firsts, "initials": [given[0][0]], "middles": list(given[1:2])}
+    return {**empty, "agent_id": agent_id, "kind": kind, "families": [family], "firsts": [given[0]], "initials": [given[0][0]], "middles": list(given[1:2])}
 
 
-# spellings: pairs of an organisation's own word and a spelling it was met in, with a blank between
-_NAMES = ["agent_id", "kind", "families", "firsts", "initials", "middles", "own", "trade", "spellings"]
-_KINDS = [pa.int32(), pa.string(), *[pa.list_(pa.string())] * 7]
+#: The cost that marks a mention which fits but for one word.
+HALF = 5.0
+# words: those of an organisation; families: its rarest word; spellings: pairs of a word and a form it was met in, with a blank between
+_NAMES = ["agent_id", "kind", "families", "firsts", "initials", "middles", "words", "spellings"]
+_KINDS = [pa.int32(), pa.string(), *[pa.list_(pa.string())] * 6]
 PROFILE = "agent_id int, kind string, " + ", ".join(f"{n} array<string>" for n in _NAMES[2:])
 
 
@@ -271,6 +293,11 @@ def _profiles_of(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[n] for p in rows], k) for n, k in zip(_NAMES, _KINDS)], names=_NAMES)
 
 
+def _words_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
+    rows = [(a, i, w) for a, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, w in enumerate(firm(n))]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string()))], names=["agent_id", "at", "word"])
+
+
 def _profiles_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
     got = [profile(*r) for r in zip(*(c.to_pylist() for c in b.columns)) if r[2]]
     return _profiles_of([p for p in got if p])
@@ -279,7 +306,7 @@ def _profiles_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
 def _grow_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
     rows = b.to_pylist()
     for r in rows:
-        for entry in sorted(r["new"] or ()):
+        for entry in sorted(set(r["new"] or ())):
             part, _, spelling = entry.partition("\t")
             if spelling not in r[part]:
                 r[part].append(spelling)
@@ -289,65 +316,108 @@ def _grow_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
 def _profile_keys(b: pa.RecordBatch) -> pa.RecordBatch:
     out: tuple[list, list] = ([], [])
     for r in b.to_pylist():
-        mark = "f" if r["kind"] == "publisher" else "p"
-        for k in set().union(*(leave_one_out(w) for w in r["families"])):
-            out[0].append(mark + k)
+        if r["kind"] == "publisher":
+            keys = {"f" + k for w in r["families"] for k in leave_one_out(w)}
+        else:
+            keys = set().union(*(_person_keys(f, g) for f in r["families"] for g in {*r["firsts"], *r["initials"]}))
+        for k in keys:
+            out[0].append(k)
             out[1].append(r["agent_id"])
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32())], names=["key", "agent_id"])
 
 
 def _mention_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
+    """The uniform text of each mention, its keys, and the (family name, given name) pairs that it may hold."""
     raw = b.column(0)
-    out: tuple[list, list, list] = ([], [], [])
-    for m, u in zip(raw.to_pylist(), unify(raw).to_pylist()):
-        for k in mention_keys(u):
-            out[0].append(m)
-            out[1].append(u)
-            out[2].append(k)
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], names=["mention", "uniform", "key"])
+    uniform = unify(raw)
+    keys = [sorted(mention_keys(u)) for u in uniform.to_pylist()]
+    pairs = [[f"{f}\t{g[0]}" for f, g in person(u) if g and len(g[0]) > 1] for u in uniform.to_pylist()]
+    keep = pa.array([bool(k) for k in keys])
+    kind = pa.list_(pa.string())
+    return pa.RecordBatch.from_arrays([raw, uniform, pa.array(keys, kind), pa.array(pairs, kind)], names=["mention", "uniform", "keys", "pairs"]).filter(keep)
 
 
-def _decide_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
+def _cost_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
+    """The cost of each mention against one profile; pairs that do not fit give no row."""
     out: tuple[list, list, list, list] = ([], [], [], [])
-    for m, u, profiles in zip(*(c.to_pylist() for c in b.columns)):
-        costs = []
-        for p in {p["agent_id"]: p for p in profiles}.values():
-            c = firm_cost(u, p) if p["kind"] == "publisher" else person_cost(u, p)
-            if c is not None:
-                costs.append((c[0], p["agent_id"], c[1]))
-        costs.sort(key=lambda x: x[:2])
-        if not costs or (len(costs) > 1 and costs[1][0] <= costs[0][0]):
-            continue
-        cost, agent, new = costs[0]
-        for o, x in zip(out, (m, agent, float(cost), new)):
-            o.append(x)
+    for m, u, p in zip(*(c.to_pylist() for c in b.columns)):
+        c = firm_cost(u, p) if p["kind"] == "publisher" else person_cost(u, p)
+        if c is not None:
+            for o, x in zip(out, (m, p["agent_id"], float(c[0]), c[1] if c[0] < HALF else [f"{c[1][0]}\t{p['families'][0]}"])):
+                o.append(x)
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.list_(pa.string()))], names=["mention", "agent_id", "cost", "new"])
 
 
+def _short_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
+    known, form = b.column(1).to_pylist(), b.column(2).to_pylist()
+    return pa.RecordBatch.from_arrays([*b.columns, pa.array([k == "g" and short_form(f, w) for k, w, f in zip(b.column(0).to_pylist(), known, form)])], names=[*b.schema.names, "short"])
+
+
+def profiles_of(agents: DataFrame) -> DataFrame:
+    """The starting profiles; an organisation's anchor is the word that fewest organisations share, by powers of four, the first of them on a tie."""
+    a = agents.where("agent_id is not null and agent_name is not null").select("agent_id", "agent_kind", "agent_name")
+    words = arrow_map(a.where("agent_kind = 'publisher'").select("agent_id", "agent_name"), _words_kernel, "agent_id int, at int, word string")
+    often = words.groupBy("word").agg(F.countDistinct("agent_id").alias("n"))
+    anchor = words.join(often, "word").where(F.length("word") >= 4).groupBy(F.col("agent_id").alias("w_id")).agg(F.min(F.struct(F.floor(F.log(4.0, "n")).alias("rare"), "at", "word"))["word"].alias("anchor"))
+    return checkpointed(arrow_map(a.join(anchor, F.col("agent_id") == F.col("w_id"), "left").select("agent_id", "agent_kind", "agent_name", "anchor"), _profiles_kernel, PROFILE))
+
+
+def forms_of(left: DataFrame, halves: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(kind, word, form): forms of given names and of organisations' words that the unmatched mentions teach.
+
+    A form must stand in at least ``PLACES`` places where its word is expected, and in more than half of all places where any word is; a given name
+    cut short needs one place only.
+    """
+    met = left.select(F.explode("pairs").alias("x")).select(F.split("x", "\t").alias("x")).select(F.col("x")[0].alias("place"), F.col("x")[1].alias("form")).distinct()
+    given = profiles.where("kind <> 'publisher'").select(F.explode("families").alias("place"), F.get("firsts", F.lit(0)).alias("word"), F.col("firsts").alias("known")).where("length(word) > 1")
+    new = met.join(given, "place").where(~F.array_contains("known", F.col("form"))).select(F.lit("g").alias("kind"), "word", "form", "place")
+    half = halves.select(F.explode("new").alias("x")).select(F.split("x", "\t").alias("x"))
+    seen = new.unionByName(half.select(F.lit("w").alias("kind"), F.col("x")[0].alias("word"), F.col("x")[1].alias("form"), F.col("x")[2].alias("place")))
+    n = seen.distinct().groupBy("kind", "word", "form").agg(F.count(F.lit(1)).alias("n"))
+    of = seen.select("kind", "form", "place").distinct().groupBy("kind", "form").agg(F.count(F.lit(1)).alias("of"))
+    judged = arrow_map(n.join(of, ["kind", "form"]).select("kind", "word", "form", "n", "of"), _short_kernel, "kind string, word string, form string, n bigint, of bigint, short boolean")
+    return judged.where(f"short or (n >= {PLACES} and 2 * n > of)").select("kind", "word", "form")
+
+
 def resolve(mentions: DataFrame, agents: DataFrame) -> DataFrame:
     """(mention, agent_id) for the distinct strings of ``mentions`` (column ``mention``) that name an agent; both sides stay distributed.
 
-    A round joins the blocking keys of profiles with those of unmatched mentions; only mentions that share a key with a profile are ever grouped. A profile takes over the spellings
-    of every mention merged into it, and the loop ends when a round merges nothing or no profile has grown; each further round links at least one more mention, so it does end.
+    A round joins the blocking keys of profiles with those of unmatched mentions and keeps, for each mention, the agents of the least cost by a partial minimum; two of
+    them are a tie. The first round merges mentions without errors only, so that forms are learned before errors are forgiven. Spellings of merged mentions go to
+    their profile, learned forms to every profile with their word. The loop ends when a round merges nothing and teaches no new form; each further round does one or the other, so it does end.
     """
-    profiles = checkpointed(arrow_map(agents.where("agent_id is not null").select("agent_id", "agent_kind", "agent_name"), _profiles_kernel, PROFILE))
+    profiles = profiles_of(agents)
     distinct = mentions.where("mention is not null and trim(mention) <> ''").select("mention").distinct()
-    keys = checkpointed(arrow_map(distinct, _mention_kernel, "mention string, uniform string, key string"))
-    links = None
+    known = checkpointed(arrow_map(spread(distinct), _mention_kernel, "mention string, uniform string, keys array<string>, pairs array<string>"))
+    links, taught, strict = None, None, True
     while True:
         side = small_or_shuffled(arrow_map(profiles, _profile_keys, "key string, agent_id int").distinct())
-        left = keys if links is None else keys.join(links.select(F.col("mention").alias("m")), F.col("mention") == F.col("m"), "left_anti")
-        pairs = left.join(side, "key").select("mention", "uniform", "agent_id").distinct()
-        known = small_or_shuffled(profiles.select(F.col("agent_id").alias("p_id"), F.struct(*_NAMES).alias("profile")))
-        blocks = pairs.join(known, F.col("agent_id") == F.col("p_id")).groupBy("mention", "uniform").agg(F.collect_list("profile").alias("profiles"))
-        got = checkpointed(arrow_map(blocks, _decide_kernel, "mention string, agent_id int, cost double, new array<string>"))
-        if got.limit(1).count() == 0:
-            break
-        links = got if links is None else checkpointed(links.unionByName(got))
-        learned = got.select(F.col("agent_id").alias("l_id"), F.explode("new").alias("entry")).groupBy("l_id").agg(F.collect_set("entry").alias("new"))
-        if learned.limit(1).count() == 0:
+        left = known if links is None else known.join(links.select(F.col("mention").alias("m")), F.col("mention") == F.col("m"), "left_anti")
+        pairs = left.select("mention", "uniform", F.explode("keys").alias("key")).join(side, "key").select("mention", "uniform", "agent_id").distinct()
+        full = small_or_shuffled(profiles.select(F.col("agent_id").alias("p_id"), F.struct(*_NAMES).alias("profile")))
+        costs = checkpointed(arrow_map(pairs.join(full, F.col("agent_id") == F.col("p_id")).select("mention", "uniform", "profile"), _cost_kernel, "mention string, agent_id int, cost double, new array<string>"))
+        best = costs.where(f"cost < {1.0 if strict else HALF}").groupBy("mention").agg(F.min(F.struct("cost", "agent_id", "new")).alias("lo"), F.max(F.struct((-F.col("cost")).alias("cost"), "agent_id")).alias("hi"))
+        got = checkpointed(best.where("lo.agent_id = hi.agent_id").select("mention", F.col("lo.agent_id").alias("agent_id"), F.col("lo.new").alias("new")))
+        merged = got.limit(1).count() > 0
+        if merged:
+            links = got if links is None else checkpointed(links.unionByName(got))
+        rest = left.join(got.select(F.col("mention").alias("m")), F.col("mention") == F.col("m"), "left_anti")
+        forms = forms_of(rest, costs.where(f"cost = {HALF}").join(got.select("mention"), "mention", "left_anti"), profiles)
+        if taught is not None:
+            forms = forms.join(taught, ["kind", "word", "form"], "left_anti")
+        forms = checkpointed(forms)
+        learned = forms.limit(1).count() > 0
+        if not merged and not learned and not strict:
             break
-        profiles = checkpointed(arrow_map(profiles.join(learned, F.col("agent_id") == F.col("l_id"), "left").select(*_NAMES, "new"), _grow_kernel, PROFILE))
+        if learned:
+            taught = forms if taught is None else checkpointed(taught.unionByName(forms))
+        strict = False
+        own = got.select(F.col("agent_id").alias("l_id"), F.explode("new").alias("entry"))
+        words = profiles.select("agent_id", F.lit("g").alias("kind"), F.get("firsts", F.lit(0)).alias("word")).unionByName(profiles.select("agent_id", F.lit("w").alias("kind"), F.explode("words").alias("word")))
+        entry = F.when(F.col("kind") == "g", F.concat(F.lit("firsts\t"), "form")).otherwise(F.concat(F.lit("spellings\t"), "word", F.lit(" "), "form"))
+        shared = words.join(forms, ["kind", "word"]).select(F.col("agent_id").alias("l_id"), entry.alias("entry"))
+        grown = own.unionByName(shared).groupBy("l_id").agg(F.collect_set("entry").alias("new"))
+        profiles = checkpointed(arrow_map(profiles.join(grown, F.col("agent_id") == F.col("l_id"), "left").select(*_NAMES, "new"), _grow_kernel, PROFILE))
     return (got if links is None else links).select("mention", "agent_id")
 
 
@@ -361,13 +431,13 @@ def mention_rows(spark, sf_dir: str) -> DataFrame:
 
 
 def p6_links(spark, sf_dir: str) -> DataFrame:
-    """Every mention with its agent, and whether it is spelled exactly as the agent's name."""
+    """Every mention with its agent, and whether it is spelled exactly as the agent's name. Spellings are as many as the corpus has, so they are joined by a shuffle."""
     tune(spark, 5000)
     rows = mention_rows(spark, sf_dir)
     agents = table(spark, sf_dir, "agents")
     links = resolve(rows.select("mention"), agents).join(agents.select(F.col("agent_id").alias("a_id"), "agent_name"), F.col("agent_id") == F.col("a_id"))
-    links = small_or_shuffled(links.select(F.col("mention").alias("m"), "agent_id", "agent_name"))
-    return rows.join(links, F.col("mention") == F.col("m")).select("book_id", "field", "pos", "mention", "agent_id", (F.col("mention") == F.col("agent_name")).alias("exact"))
+    links = links.select(F.col("mention").alias("m"), "agent_id", "agent_name")
+    return rows.join(links.hint("merge"), F.col("mention") == F.col("m")).select("book_id", "field", "pos", "mention", "agent_id", (F.col("mention") == F.col("agent_name")).alias("exact"))
 
 
 def p6_found(spark, sf_dir: str) -> DataFrame:
