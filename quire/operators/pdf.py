@@ -46,9 +46,12 @@ def _picture(w: Writer, data: bytes) -> int | None:
         return None
     head = b" /Type /XObject /Subtype /Image /Width %d /Height %d" % size
     if kind == "jpeg":
-        parts = next((data[i + 9] for i in range(2, min(len(data) - 10, 200_000)) if data[i] == 0xFF and data[i + 1] in (0xC0, 0xC1, 0xC2)), 3)
+        parts = images.jpeg_parts(data) or 3
         space = {1: b"/DeviceGray", 4: b"/DeviceCMYK"}.get(parts, b"/DeviceRGB")
         return w.stream(data, head + b" /BitsPerComponent 8 /ColorSpace %s /Filter /DCTDecode" % space, False)
+    if kind in ("gif", "bmp"):
+        got = images.raster(data)
+        return w.stream(got[2], head + b" /BitsPerComponent 8 /ColorSpace /DeviceRGB") if got else None
     if kind != "png" or len(data) < 33:
         return None
     depth, colour, _, _, laced = struct.unpack(">5B", data[24:29])
@@ -126,6 +129,8 @@ def write(laid: Laid, title: str = "", pictures: dict[int, bytes] | None = None)
                 out.append(b"q %.2f 0 0 %.2f %.2f %.2f cm /I%d Do Q" % (s[4], s[5], s[2], p.height - s[3] - s[5], s[1]))
             elif s[0] == "line":
                 out.append(b"0.67 G 0.5 w %.2f %.2f m %.2f %.2f l S" % (s[1], p.height - s[3], s[2], p.height - s[3]))
+            elif s[0] == "underline":
+                out.append(b"0 G 0.5 w %.2f %.2f m %.2f %.2f l S" % (s[1], p.height - s[3], s[2], p.height - s[3]))
             elif s[0] == "link":
                 uri = s[1].encode("ascii", "ignore").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
                 links.append(w.add(b"<< /Type /Annot /Subtype /Link /Border [0 0 0] /Rect [%.2f %.2f %.2f %.2f] /A << /S /URI /URI (%s) >> >>" % (s[2], p.height - s[3] - s[5], s[2] + s[4], p.height - s[3], uri)))

@@ -45,8 +45,8 @@ def _kernel(options: Options, files: bool):
 
 
 def convert(books: DataFrame, options: Options | None = None, files: bool = True) -> DataFrame:
-    """Pages of every book of ``books`` (book_id, title, authors, publisher, html, flows, paged, cover_index and, if at hand, resources)."""
-    cols = [c for c in ("book_id", "title", "authors", "publisher", "html", "flows", "paged", "cover_index", "resources") if c in books.columns]
+    """Pages of every book of ``books`` (book_id, title, authors, publisher, published, html, flows, paged, cover_index and, if at hand, resources)."""
+    cols = [c for c in ("book_id", "title", "authors", "publisher", "published", "html", "flows", "paged", "cover_index", "resources") if c in books.columns]
     return arrow_map(books.select(*cols), _kernel(options or Options(), files), PDFS if files else RESULT)
 
 
@@ -76,7 +76,7 @@ def write_pdfs(converted: DataFrame, folder: str) -> DataFrame:
 
 
 def books(spark, d) -> DataFrame:
-    return spread(table(spark, d, "books").select("book_id", "title", "authors", "publisher", "html", "flows", "paged", "cover_index"))
+    return spread(table(spark, d, "books").select("book_id", "title", "authors", "publisher", "published", "html", "flows", "paged", "cover_index"))
 
 
 def paginate_books(spark, d) -> DataFrame:

@@ -1,9 +1,12 @@
+import struct
+
 import pytest
 
 from quire.operators import styles
 from quire.operators.flatten import BOLD, ITALIC, block_text, flatten
 from quire.operators.paginate import Options, effective_scale, paginate
 from quire.operators.pdf import write
+from quire.sources import images
 
 
 def kinds(markup, *css):
@@ -60,3 +63,56 @@ def test_pages_and_file():
     assert len(paginate([], Options()).pages) == 1
     sized = paginate(flatten('<html><ebook:page width="300" height="450"></ebook:page><p>x</p></html><html><ebook:page width="300" height="450"></ebook:page><p>y</p></html>'), Options(), {"paged": True})
     assert [(p.width, p.height) for p in sized.pages] == [(300.0, 450.0), (300.0, 450.0)]
+
+
+def picture(kind, w=40, h=20):
+    if kind == "gif":  # clear code before every point keeps all codes three bits long
+        codes = [c for i in range(w * h) for c in (4, i % 4)] + [5]
+        bits = sum(c << 3 * i for i, c in enumerate(codes))
+        body = bits.to_bytes(-(-3 * len(codes) // 8), "little")
+        blocks = b"".join(bytes([len(body[i : i + 255])]) + body[i : i + 255] for i in range(0, len(body), 255))
+        return b"GIF89a" + struct.pack("<HHBBB", w, h, 0x81, 0, 0) + bytes(range(12)) + b"," + struct.pack("<HHHHB", 0, 0, w, h, 0) + b"\2" + blocks + b"\0;"
+    row = (bytes([1, 2, 3]) * w).ljust(-(-3 * w // 4) * 4, b"\0")
+    return b"BM" + struct.pack("<IHHIIiiHHIIIIII", 0, 0, 0, 54, 40, w, h, 1, 24, 0, 0, 0, 0, 0, 0) + row * h
+
+
+def test_pictures_are_read():
+    gif, bmp = images.raster(picture("gif")), images.raster(picture("bmp"))
+    assert gif[:2] == bmp[:2] == (40, 20) and gif[2][:15] == bytes([*range(12), 0, 1, 2]) and bmp[2] == bytes([3, 2, 1]) * 800
+    assert images.raster(picture("gif")[:40]) is None and not images.placeable(b"RIFF\0\0\0\0WEBPVP8 ")
+
+
+def test_front_pages_pictures_links_and_counts():
+    pictures = {1: picture("gif"), 2: picture("bmp", 900, 30), 3: b"damaged file", 4: picture("gif")}
+    html = '<html><h1>One</h1><p>See <a href="http://x/">the <u>place</u></a> here.</p><img recindex="00002"/><img recindex="00003"/><img recindex="00009"/><img recindex="00004" data-ebook-fullpage=""/><p>After</p></html>'
+    book = {"title": "A Title", "authors": ["Ann", "", "Bo"], "publisher": " P ", "published": "1999", "cover_index": 1}
+    o = Options(page_w=300, page_h=400, margins=(30.0,) * 4, font_size=10.0)
+    laid = paginate(flatten(html), o, book, pictures)
+    assert (laid.headings, laid.images, laid.dropped, len(laid.outline)) == (1, 3, 2, 1)
+    cover, title = laid.pages[:2]
+    image = next(s for s in cover.steps if s[0] == "image")
+    assert image[1:] == pytest.approx((1, 0.0, 125.0, 300.0, 150.0))
+    texts = {s[3]: s for s in title.steps if s[0] == "text"}
+    assert texts["Title"][6] == 20.0 and texts["Title"][5] == 1 and texts["Ann,"][6] == 11.5 and texts["Ann,"][5] == 2 and texts["1999"][6] == 8.5 * 0.75
+    assert texts["Title"][2] == pytest.approx(30 + 340 * 0.28 + 20 * 0.82) and texts["1999"][2] == pytest.approx(370 - 30 + 8.5 * 0.82)
+    steps = [s for p in laid.pages for s in p.steps]
+    assert sum(s[0] == "underline" for s in steps) == 1 and [s[1] for s in steps if s[0] == "link"] == ["http://x/"] * 2
+    whole = next(p for p in laid.pages if any(s[0] == "image" and s[1] == 4 for s in p.steps))
+    assert (whole.width, whole.height) == (30.0, 15.0) and whole is not laid.pages[-1] and any(s[0] == "text" and s[3] == "After" for s in laid.pages[-1].steps)
+    assert paginate(flatten(html), o, {**book, "cover_index": 3}, pictures).dropped == 2
+    assert write(laid, "T", pictures).count(b"/Subtype /Image") == 3
+    bare = paginate(flatten("<p>x</p>"), Options(title_page=False))
+    assert len(bare.pages) == 1 and [s[3] for s in bare.pages[0].steps if s[0] == "text"] == ["1", "x"]
+
+
+def test_lines_fill_and_break():
+    from quire.operators.paginate import Word, broken
+
+    words = [Word(str(i), 0, "", 10.0, 5.0) for i in range(7)]
+    assert [([w.text for w in ws], width) for ws, width in broken(words, 40.0, 25.0)] == [(["0", "1"], 25.0), (["2", "3", "4"], 40.0), (["5", "6"], 25.0)]
+    assert [len(ws) for ws, _ in broken(words[:2], 3.0, 3.0)] == [1, 1]
+    o = Options(title_page=False, page_numbers=False)
+    blank = paginate(flatten("<p>a<br/><br/>b</p>"), o).pages[0].steps
+    assert blank[1][2] - blank[0][2] == pytest.approx(2 * o.font_size * o.line_spacing)
+    joined = paginate(flatten("<p><b>Note:</b> text</p>"), o).pages[0].steps
+    assert joined[1][1] > joined[0][1] + 20
