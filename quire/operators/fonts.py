@@ -6,6 +6,7 @@ import os
 import struct
 from functools import lru_cache
 
+# Where the font files lie.
 FOLDERS = ("/usr/share/fonts/truetype/dejavu", "/usr/share/fonts/dejavu", "/usr/share/fonts/TTF")
 # Files by family and (bold, italic), and the standard fonts that replace them.
 FILES = {

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import layout as L
 from quire.functions import scalars as S
 from quire.runtime import table
+from quire.sources.pages import END as _END, KEYWORD as _KEYWORD, ROMAN as _ROMAN, START as _START
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -349,12 +350,8 @@ def fill_forward(spark, d) -> DataFrame:
 
 # ---- plain text --------------------------------------------------------------------------------------------------------------
 
-_START = r"(?im)^\*\*\* *START OF TH(?:E|IS) PROJECT GUTENBERG EBOOK[^\n]*$"
-_END = r"(?im)^\*\*\* *END OF"
-_KEYWORD = r"(?i)^(?:chapter|book|part|volume|prologue|epilogue|introduction|preface|foreword|afterword|appendix)(?![0-9A-Za-z_])(?:\s+(?:\d+|[ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty))?(?:\s*[.:\-–—]\s*\S.*)?$"
-#: The same for an engine without look-ahead.
+#: For an engine without look-ahead.
 _KEYWORD_SQL = _KEYWORD.replace("(?![0-9A-Za-z_])", r"\b")
-_ROMAN = r"(?i)^M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})$"
 
 
 def unified_lines(text):

@@ -15,11 +15,13 @@ from quire.sources.tree import Node, expand_closed, parse, words
 #: Largest image or stylesheet beside a page.
 SIDE_LIMIT = 64 << 20
 EMPTY = {k: "" for k in ("title", "publisher", "description", "isbn", "published", "rights", "language", "asin", "compression")}
-_START = re.compile(r"(?im)^\*\*\* *START OF TH(?:E|IS) PROJECT GUTENBERG EBOOK.*$")
-_END = re.compile(r"(?im)^\*\*\* *END OF")
+# Frame lines of Project Gutenberg texts, Roman numerals, and the words that open a chapter heading.
+START = r"(?im)^\*\*\* *START OF TH(?:E|IS) PROJECT GUTENBERG EBOOK[^\n]*$"
+END = r"(?im)^\*\*\* *END OF"
+ROMAN = r"(?i)^M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})$"
+KEYWORD = r"(?i)^(?:chapter|book|part|volume|prologue|epilogue|introduction|preface|foreword|afterword|appendix)(?![0-9A-Za-z_])(?:\s+(?:\d+|[ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty))?(?:\s*[.:\-–—]\s*\S.*)?$"
+_START, _END, _ROMAN, _CHAPTER = (re.compile(p) for p in (START, END, ROMAN, KEYWORD))
 _FIELD = re.compile(r"(?im)^(Title|Author): *(.+)$")
-_ROMAN = re.compile(r"M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})\Z", re.I)
-_CHAPTER = re.compile(r"(?:chapter|book|part|volume|prologue|epilogue|introduction|preface|foreword|afterword|appendix)(?![0-9A-Za-z_])(?:\s+(?:\d+|[ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty))?(?:\s*[.:\-–—]\s*\S.*)?\Z", re.I)
 
 
 def is_heading(line: str) -> bool:
