@@ -392,8 +392,9 @@ def resolve(mentions: DataFrame, agents: DataFrame) -> DataFrame:
     links, taught, strict = None, None, True
     while True:
         side = small_or_shuffled(arrow_map(profiles, _profile_keys, "key string, agent_id int").distinct())
-        left = known if links is None else known.join(links.select(F.col("mention").alias("m")), F.col("mention") == F.col("m"), "left_anti")
-        pairs = left.select("mention", "uniform", F.explode("keys").alias("key")).join(side, "key").select("mention", "uniform", "agent_id").distinct()
+        pairs = known.select("mention", "uniform", F.explode("keys").alias("key")).join(side, "key").select("mention", "uniform", "agent_id").distinct()
+        if links is not None:  # the wide arrays of keys are never shuffled: pairs are few, and the merged ones are taken out of them
+            pairs = pairs.join(links.select("mention"), "mention", "left_anti")
         full = small_or_shuffled(profiles.select(F.col("agent_id").alias("p_id"), F.struct(*_NAMES).alias("profile")))
         costs = checkpointed(arrow_map(pairs.join(full, F.col("agent_id") == F.col("p_id")).select("mention", "uniform", "profile"), _cost_kernel, "mention string, agent_id int, cost double, new array<string>"))
         best = costs.where(f"cost < {1.0 if strict else HALF}").groupBy("mention").agg(F.min(F.struct("cost", "agent_id", "new")).alias("lo"), F.max(F.struct((-F.col("cost")).alias("cost"), "agent_id")).alias("hi"))
@@ -401,7 +402,8 @@ def resolve(mentions: DataFrame, agents: DataFrame) -> DataFrame:
         merged = got.limit(1).count() > 0
         if merged:
             links = got if links is None else checkpointed(links.unionByName(got))
-        rest = left.join(got.select(F.col("mention").alias("m")), F.col("mention") == F.col("m"), "left_anti")
+        rest = known.where(F.size("pairs") > 0).select("mention", "pairs")
+        rest = rest if links is None else rest.join(links.select("mention"), "mention", "left_anti")
         forms = forms_of(rest, costs.where(f"cost = {HALF}").join(got.select("mention"), "mention", "left_anti"), profiles)
         if taught is not None:
             forms = forms.join(taught, ["kind", "word", "form"], "left_anti")
