@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quire.operators import moments, packed
-from quire.plans import convert, corpus, inspect
+from quire.plans import convert, corpus, inspect, readers
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         **corpus.QUERIES,
         **inspect.QUERIES,
         **convert.QUERIES,
+        **readers.QUERIES,
         "p2_found": moments.p2_found,
         "p2_normalise": moments.p2_normalise,
         "p2_zones": moments.p2_zones,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {**corpus.ORACLES}
+    return {**corpus.ORACLES, **inspect.ORACLES, **convert.ORACLES, **readers.ORACLES}

@@ -86,14 +86,23 @@ def paginate_books(spark, d) -> DataFrame:
 
 
 def compact_pages(spark, d) -> DataFrame:
-    """Pages of every book in the default and in the compact layout, and their share."""
+    """Pages of every book in the default and in the compact layout, and their share; a book is flattened once and laid out twice in the same row."""
     from quire.plans.naming import options_for
 
     tune(spark, 200)
-    b = books(spark, d)
-    one = convert(b, options_for("ereader"), False).select("book_id", F.col("pages").alias("pages_default"))
-    two = convert(b, options_for("compact"), False).select(F.col("book_id").alias("b_id"), F.col("pages").alias("pages_compact"))
-    return one.join(two, F.col("book_id") == F.col("b_id")).select("book_id", "pages_default", "pages_compact", F.round(F.try_divide("pages_compact", "pages_default"), 6).alias("share"))
+    kinds = [options_for("ereader"), options_for("compact")]
+
+    def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
+        ids, pages = [], ([], [])
+        for r in b.to_pylist():
+            ids.append(r["book_id"])
+            blocks = flatten(r["html"], tuple(r["flows"] or ()))
+            for out, o in zip(pages, kinds):
+                out.append(len(paginate(blocks, o, r).pages) if blocks else None)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(p, pa.int32()) for p in pages)], names=["book_id", "pages_default", "pages_compact"])
+
+    got = arrow_map(books(spark, d), kernel, "book_id bigint, pages_default int, pages_compact int")
+    return got.select("*", F.round(F.try_divide("pages_compact", "pages_default"), 6).alias("share"))
 
 
 def book_files(spark, d) -> DataFrame:
@@ -114,3 +123,9 @@ def resource_pixels(spark, d) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (paginate_books, compact_pages, book_files, resource_pixels)}
+
+# the tables hold the first 16 to 20 bytes of a resource: enough for the size of a GIF, and of a PNG where there are 24
+ORACLES = {
+    "resource_pixels": """with r as (select book_id, idx, hex(payload) as h, octet_length(payload) as n from resources), w as (select *, case when n >= 10 and substr(h, 1, 6) = '474946' then 'gif' when n >= 24 and substr(h, 3, 6) = '504E47' then 'png' end as k from r)
+  select book_id, idx, case k when 'gif' then cast('0x' || substr(h, 15, 2) || substr(h, 13, 2) as bigint) when 'png' then cast('0x' || substr(h, 33, 8) as bigint) end as width, case k when 'gif' then cast('0x' || substr(h, 19, 2) || substr(h, 17, 2) as bigint) when 'png' then cast('0x' || substr(h, 41, 8) as bigint) end as height from w""",
+}

@@ -498,7 +498,8 @@ def assemble_documents(spark, d) -> DataFrame:
     return g.select("book_id", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("assembled"), "n_parts")
 
 
-@query()
+@query(r"""with w as (select book_id, list_filter(regexp_split_to_array(description, '[ \t\n\r\f\v]+'), lambda x: x <> '') as words from books where trim(description) <> '')
+  select book_id, coalesce(list_reduce(words, lambda a, x: case when octet_length(encode(string_split(a, chr(10))[-1])) + 1 + octet_length(encode(x)) > 72 then a || chr(10) || x else a || ' ' || x end), '') as wrapped from w""")
 def wrapped_titles(spark, d) -> DataFrame:
     """Descriptions wrapped greedily at 72 bytes: an ordered fold over words."""
     t = table(spark, d, "books").where("trim(description) <> ''")

@@ -157,9 +157,9 @@ def pixels(data: bytes) -> tuple[int, int] | None:
             return abs(w), abs(h)
         if kind == "webp":
             tag = data[12:16]
-            if tag == b"VP8X":
+            if tag == b"VP8X" and len(data) >= 30:
                 return 1 + int.from_bytes(data[24:27], "little"), 1 + int.from_bytes(data[27:30], "little")
-            if tag == b"VP8L":
+            if tag == b"VP8L" and len(data) >= 25:
                 b = int.from_bytes(data[21:25], "little")
                 return (b & 0x3FFF) + 1, (b >> 14 & 0x3FFF) + 1
             w, h = struct.unpack("<HH", data[26:30])
