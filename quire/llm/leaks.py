@@ -7,11 +7,14 @@ ends with equal words and holds at most one other word in ten, or a whole passag
 from these limits: twenty words with two exchanged ones hold an equal run of six (``SEED``), a whole item of ten words with one exchanged a run of five.
 
 Normalised are case, punctuation, blanks, line breaks, hyphens (also at line ends), quote marks at line starts, HTML escapes and composition.
-Only words of the test items take part in a run, so stretches of other words are skipped by a vectorised scan. The items are a stated query set: they are
-collected in blocks of ``BLOCK`` and each block is one pass over the documents; documents are never collected.
+Only words of the test items take part in a run, so stretches of other words are skipped by a vectorised scan. The items are a stated query set of at most ``ITEMS`` rows;
+documents are never collected. One automaton holds ``BLOCK`` items. Where there are more, one pass over the corpus keeps the documents that hold a run which the Bloom filter of all
+items' seeds knows (no leak is without one, so none is lost), and only those few pass the automata of the blocks.
+
+``p9_clean`` cuts the leaked stretches out of the original text and drops a document (``clean_text`` null) if more than ``COVERAGE`` of its words are leaked.
 
 Defined results: null and blank documents and items have no leaks; repeated items are reported under each of their ids; a document that holds an item
-several times is reported once for it, with all spans in ``p9_spans``; extra columns are ignored.
+several times is reported once for it, with all spans in ``p9_spans``; repeated document ids are judged row by row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,15 +26,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.runtime import arrow_map, spread, table, tune
+from quire.runtime import arrow_map, checkpointed, collect_bounded, spread, table, tune
 
 WORDS, OTHER = 20, 10
 SEED = 6
 #: Test items in one automaton; about 25 MB in each Python worker.
 BLOCK = 2000
+#: Test items in all; they pass through the driver.
+ITEMS = 1_000_000
+#: Bits of the filter over the seeds of all items: 32 MB. More seeds than it was made for pass more documents on, and lose none.
+FILTER_BITS = 1 << 28
+#: Share of leaked words beyond which ``p9_clean`` drops a document.
+COVERAGE = 0.5
 _WORD = re.compile(r"[^\W_]+")
 _HYPHEN = re.compile(r"(?<=\w)[-‐‑­](?:[ \t]*\r?\n[ \t>|»*#]*)?(?=\w)")
 
@@ -48,6 +59,39 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+#: A character with the marks and letters that composition may join to it.
+_CLUSTER = regex.compile(r"(?s).[\p{M}\u1160-\u11FF\uFF9E-\uFFDC]*")
+
+
+def located(text: str) -> list[tuple[str, int, int]]:
+    """The words of ``words`` with the places (start, end) in the original text that they come from."""
+    out: list[str] = []
+    at: list[tuple[int, int]] = []
+    # every step maps characters to the stretch of the text that they came from
+    for m in regex.finditer(r"&(?:#\d+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);?|(?s).", text):
+        for c in html.unescape(m[0]) if m[0][0] == "&" else m[0]:
+            out.append(c)
+            at.append(m.span())
+    folded: list[str] = []
+    places: list[tuple[int, int]] = []
+    for m in _CLUSTER.finditer("".join(out)):
+        for c in unicodedata.normalize("NFKC", m[0]):
+            folded.append(c)
+            places.append((at[m.start()][0], at[m.end() - 1][1]))
+    whole = "".join(folded)
+    dropped = np.zeros(len(whole) + 1, bool)
+    for m in _HYPHEN.finditer(whole):
+        dropped[m.start() : m.end()] = True
+    low: list[str] = []
+    where: list[tuple[int, int]] = []
+    for c, p, d in zip(whole, places, dropped):
+        if not d:
+            for x in c.lower():
+                low.append(x)
+                where.append(p)
+    return [(m[0], where[m.start()][0], where[m.end() - 1][1]) for m in _WORD.finditer("".join(low))]
+
+
 class Automaton:
     """Suffix automaton over several sequences of word numbers; each state knows where one of its strings ends, and its suffix-link children the rest."""
 
@@ -212,20 +256,83 @@ def index(items: tuple[tuple[int, str, str], ...]) -> Index:
 
 def item_blocks(items: DataFrame) -> list[tuple]:
     """The test items in blocks for the automata; a query set of texts, read through the driver."""
-    out, block = [], []
-    for r in items.select("item_id", "passage", "question").orderBy("item_id").toLocalIterator():
-        block.append((r[0], r[1] or "", r[2] or ""))
-        if len(block) == BLOCK:
-            out.append(tuple(block))
-            block = []
-    return out + ([tuple(block)] if block else [])
+    rows = [(r[0], r[1] or "", r[2] or "") for r in collect_bounded(items.select("item_id", "passage", "question"), ITEMS, "test items")]
+    rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
+    return [tuple(rows[i : i + BLOCK]) for i in range(0, len(rows), BLOCK)]
+
+
+def _hashes(ws: list[str]) -> np.ndarray:
+    return np.fromiter((_hash(w) for w in ws), np.uint64, len(ws))
+
+
+@lru_cache(maxsize=500_000)
+def _hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+def _runs(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every run of ``n`` words."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    out = np.full(len(h) - n + 1, n, np.uint64)
+    for k in range(n):
+        out = (out ^ h[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+class Filter:
+    """A Bloom filter over the seeds of all items, with two bits a seed."""
+
+    def __init__(self, blocks: list[tuple]) -> None:
+        found: dict[int, list[np.ndarray]] = {}
+        for block in blocks:
+            for _, *texts in block:
+                for t in texts:
+                    if w := words(t):
+                        found.setdefault(seed(len(w)), []).append(_runs(_hashes(w), seed(len(w))))
+        self.lengths = sorted(found)
+        every = [x for xs in found.values() for x in xs]
+        total = sum(map(len, every))
+        self.mask = min(FILTER_BITS, 1 << max(10, (16 * total).bit_length())) - 1
+        bits = np.zeros(self.mask + 1, bool)
+        for x in every:
+            bits[x & np.uint64(self.mask)] = True
+            bits[(x >> np.uint64(32)) & np.uint64(self.mask)] = True
+        self.bits = np.packbits(bits)
+
+    def _has(self, x: np.ndarray) -> np.ndarray:
+        x = x & np.uint64(self.mask)
+        return (self.bits[x >> np.uint64(3)] >> (np.uint64(7) - (x & np.uint64(7))).astype(np.uint8)) & 1 > 0
+
+    def may_leak(self, text: str) -> bool:
+        h = _hashes(words(text))
+        for n in self.lengths:
+            x = _runs(h, n)
+            if (self._has(x) & self._has(x >> np.uint64(32))).any():
+                return True
+        return False
+
+
+def candidates(documents: DataFrame, blocks: list[tuple]) -> DataFrame:
+    """(doc_id, text) of the documents that may leak: all of them for one block, else those that hold a seed which the filter knows."""
+    docs = spread(documents.select("doc_id", "text").where("text is not null"))
+    if len(blocks) <= 1:
+        return docs
+    held = documents.sparkSession.sparkContext.broadcast(Filter(blocks))
+
+    def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.filter(pa.array([held.value.may_leak(t) for t in b.column(1).to_pylist()], pa.bool_()))
+
+    return checkpointed(arrow_map(docs, kernel, "doc_id bigint, text string"))
 
 
 def spans(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, doc_words): every leak."""
     schema = "doc_id bigint, item_id int, first_word int, n_words int, doc_words int"
-    out = None
-    for block in item_blocks(items):
+    blocks = item_blocks(items)
+    docs, out = candidates(documents, blocks), None
+    for block in blocks:
 
         def kernel(b: pa.RecordBatch, block=block) -> pa.RecordBatch:
             ix = index(block)
@@ -238,11 +345,28 @@ def spans(documents: DataFrame, items: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
             return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=["doc_id", "item_id", "first_word", "n_words", "doc_words"])
 
-        got = arrow_map(spread(documents.select("doc_id", "text").where("text is not null")), kernel, schema)
+        got = arrow_map(docs, kernel, schema)
         out = got if out is None else out.unionByName(got)
     return out if out is not None else documents.sparkSession.createDataFrame([], schema)
 
 
+def without(text: str, cuts: list[tuple[int, int]]) -> tuple[str | None, int, float]:
+    """(the text without the stretches of words, words removed, share of all words); no text beyond ``COVERAGE``."""
+    w = located(text)
+    gone = np.zeros(len(w) + 1, np.int8)
+    for first, n in cuts:
+        gone[first : first + n] = 1
+    removed = int(gone.sum())
+    if removed > COVERAGE * len(w):
+        return None, removed, removed / len(w)
+    out, pos = [], 0
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone])))
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        out.append(text[pos : w[a][1]])
+        pos = w[b - 1][2]
+    return "".join([*out, text[pos:]]), removed, removed / max(1, len(w))
+
+
 def p9_spans(spark, sf_dir: str) -> DataFrame:
     """Every leak with its place in the document's normalised words and the share of the document that it covers."""
     tune(spark, 500)
@@ -256,22 +380,51 @@ def p9_found(spark, sf_dir: str) -> DataFrame:
     return spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 
 
-def p9_clean(spark, sf_dir: str) -> DataFrame:
-    """(doc_id, clean_text, removed_words): documents that leak, as normalised words without the leaked stretches."""
-    tune(spark, 500)
-    docs = table(spark, sf_dir, "documents")
-    s = spans(docs, table(spark, sf_dir, "eval_items")).groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "n_words")).alias("cut"))
-    joined = docs.select("doc_id", "text").join(s.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d")).select("doc_id", "text", "cut")
+def clean(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, clean_text, removed_words, coverage) of the documents that leak. A text is read and cut in the same row, so none is shuffled."""
+    blocks = item_blocks(items)
+    docs = candidates(documents, blocks)
+    schema = "doc_id bigint, clean_text string, removed_words int, coverage double"
+    if not blocks:
+        return documents.sparkSession.createDataFrame([], schema)
+    if len(blocks) > 1:
+        return _clean_in_blocks(docs, blocks, schema)
+    only = blocks[0]
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = ([], [], [])
-        for d, t, cut in zip(*(c.to_pylist() for c in b.columns)):
-            w = words(t)
-            keep = np.ones(len(w), bool)
-            for c in cut:
-                keep[c["first_word"] : c["first_word"] + c["n_words"]] = False
-            for o, x in zip(rows, (d, " ".join(x for x, k in zip(w, keep) if k), int((~keep).sum()))):
-                o.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int32())], names=["doc_id", "clean_text", "removed_words"])
-
-    return arrow_map(joined, kernel, "doc_id bigint, clean_text string, removed_words int")
+        rows = ([], [], [], [])
+        for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if cuts := sorted({(first, n) for _, first, n in index(only).spans(words(t))}):
+                for o, x in zip(rows, (d, *without(t, cuts))):
+                    o.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, (pa.int64(), pa.string(), pa.int32(), pa.float64()))], names=["doc_id", "clean_text", "removed_words", "coverage"])
+
+    return arrow_map(docs, kernel, schema)
+
+
+def _clean_in_blocks(docs: DataFrame, blocks: list[tuple], schema: str) -> DataFrame:
+    """As ``clean`` for more than one block: each block reads the candidates in tasks of its own, and their cuts are joined to them by row; only candidates are shuffled."""
+    rows = checkpointed(docs.withColumn("row", F.monotonically_increasing_id()))
+    cuts = None
+    for block in blocks:
+
+        def find(b: pa.RecordBatch, block=block) -> pa.RecordBatch:
+            ix = index(block)
+            got = [(row, f, n) for t, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for _, f, n in ix.spans(words(t))]
+            return pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["row", "first", "n"])
+
+        got = arrow_map(rows.select("text", "row"), find, "row bigint, first int, n int")
+        cuts = got if cuts is None else cuts.unionByName(got)
+    each = cuts.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("first", "n"))).alias("cuts"))
+
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        got = [(d, *without(t, [(c["first"], c["n"]) for c in cs])) for d, t, cs in zip(*(c.to_pylist() for c in b.columns))]
+        return pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int32(), pa.float64()))], names=["doc_id", "clean_text", "removed_words", "coverage"])
+
+    return arrow_map(rows.join(each, "row").select("doc_id", "text", "cuts"), cut, schema)
+
+
+def p9_clean(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, clean_text, removed_words, coverage): documents that leak, in their own spelling without the leaked stretches; null where too much of them leaks."""
+    tune(spark, 500)
+    return clean(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "clean_text", "removed_words", F.round("coverage", 6).alias("coverage"))
