@@ -1,8 +1,11 @@
 """Problem 4: text that looks the same but differs in its characters is brought to one form.
 
-A batch's text becomes one numpy array of code points. Lookup tables give each code point its target (width, script and blank folding), its count of
-target characters (0 for invisible ones, more for ligatures), and expansion offsets place them; combining marks are composed with their bases by
-searching a sorted pair table, all pairs of a batch at once, repeatedly until nothing composes. No call is made per row.
+A batch's text becomes one numpy array of code points. Lookup tables give each code point its target (width and blank folding, full decomposition, Hangul syllables included), its
+count of target characters (0 for invisible ones, more for ligatures), and expansion offsets place them. Combining marks are put in canonical order by one stable sort, look-alike letters are
+gathered from a table, and marks are composed with their bases by searching a sorted pair table: all unblocked pairs of a batch at once, repeatedly until nothing composes. No call is made per row.
+
+Two forms come out. ``unify`` gives the form that comparisons use: all texts of one look share it, so look-alike letters of all scripts become Latin there. ``shown`` gives a text for readers:
+look-alike letters take the main script of their word (of their text, where a word has no letter of one script only).
 
 Case, accents, raised signs and punctuation are kept, as they change the look. Runs of blanks become one space and are trimmed.
 
@@ -33,43 +36,83 @@ CONFUSABLE = dict(
 )
 # Code points of characters that do not show.
 INVISIBLE = (0x00AD, 0x034F, 0x061C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x2070), 0xFEFF, *range(0xFE00, 0xFE10))
-LIMIT = 0x20000
+#: Code points from here on have no decomposition and no look-alikes; those of ``TAGS`` do not show.
+LIMIT = 0x30000
+TAGS = (0xE0000, 0xE1000)
+SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
+
+
+class Tables:
+    """Lookup tables over all code points below ``LIMIT``."""
+
+    def __init__(self) -> None:
+        count, start = np.ones(LIMIT, np.int64), np.arange(LIMIT)
+        pool: list[int] = list(range(LIMIT))
+        self.order = np.zeros(LIMIT, np.uint8)
+        pairs: dict[int, int] = {}
+        for c in range(LIMIT):
+            ch = chr(c)
+            if 0xD800 <= c < 0xE000:
+                continue
+            self.order[c] = unicodedata.combining(ch)
+            if c in INVISIBLE:
+                count[c] = 0
+                continue
+            d = unicodedata.decomposition(ch)
+            to = ch
+            if unicodedata.category(ch) == "Zs" or ch in "\t\n\r\x0b\x0c\x85\u2028\u2029":
+                to = " "
+            elif d.startswith(("<wide>", "<narrow>")) or (d.startswith("<compat>") and unicodedata.category(ch)[0] in "LN"):
+                to = unicodedata.normalize("NFKC", ch)
+            if d and d[0] != "<" and " " in d and unicodedata.normalize("NFC", ch) == ch:
+                x, y = (int(v, 16) for v in d.split())
+                pairs[(x << 21) | y] = c
+            if to != ch or (d and d[0] != "<") or 0xAC00 <= c < 0xD7A4:
+                to = unicodedata.normalize("NFD", to)
+            if to != ch:
+                if len(to) == 1:
+                    start[c] = ord(to)
+                else:
+                    start[c], count[c] = len(pool), len(to)
+                    pool.extend(map(ord, to))
+        for k in range(19 * 21):  # syllables of two and of three letters
+            two = 0xAC00 + 28 * k
+            pairs[(0x1100 + k // 21 << 21) | 0x1161 + k % 21] = two
+            for t in range(1, 28):
+                pairs[(two << 21) | 0x11A7 + t] = two + t
+        self.count, self.start, self.pool = count, start, np.array(pool, np.uint32)
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.composed = np.array([pairs[k] for k in self.keys.tolist()], np.uint32)
+        self._letters()
+
+    def _letters(self) -> None:
+        """Look-alike letters: their Latin form, and for each script the letter of that look, or the letter itself where the script has none."""
+        self.latin = np.arange(LIMIT, dtype=np.uint32)
+        self.script, self.alike = np.zeros(LIMIT, np.uint8), np.zeros(LIMIT, bool)
+        looks: dict[str, dict[int, int]] = {}
+        for c in range(0x600):
+            name = unicodedata.name(chr(c), "")
+            self.script[c] = next((k for k, x in enumerate(SCRIPTS, 1) if name.startswith(x + " ")), 0)
+        for ch, to in CONFUSABLE.items():
+            a, b = unicodedata.normalize("NFD", ch), unicodedata.normalize("NFD", to)
+            self.latin[ord(a[0])] = ord(b[0])
+            if self.script[ord(b[0])]:
+                looks.setdefault(b[0], {1: ord(b[0])}).setdefault(int(self.script[ord(a[0])]) or 1, ord(a[0]))
+        self.member = np.tile(np.arange(LIMIT, dtype=np.uint32), (len(SCRIPTS) + 1, 1))
+        for base, of in looks.items():
+            everyone = {ord(base), *(ord(unicodedata.normalize("NFD", ch)[0]) for ch, to in CONFUSABLE.items() if unicodedata.normalize("NFD", to)[0] == base)}
+            for c in everyone:
+                self.alike[c] = True
+                self.script[c] = self.script[c] or 1
+                for k in range(1, len(SCRIPTS) + 1):
+                    self.member[k, c] = of.get(k, c)
+        for ch in "\u2010\u2011":
+            self.member[:, ord(ch)] = ord("-")
 
 
 @lru_cache(maxsize=1)
-def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(count, start, pool, pair keys, composed): each code point below ``LIMIT`` maps to ``pool[start:start + count]``; pairs compose as given."""
-    count, start = np.ones(LIMIT, np.int64), np.zeros(LIMIT, np.int64)
-    pool: list[int] = list(range(LIMIT))
-    start[:] = np.arange(LIMIT)
-    pairs: dict[int, int] = {}
-    for c in range(LIMIT):
-        ch = chr(c)
-        if 0xD800 <= c < 0xE000:
-            continue
-        if c in INVISIBLE:
-            count[c] = 0
-            continue
-        d = unicodedata.decomposition(ch)
-        to = None
-        if unicodedata.category(ch) == "Zs" or ch in "\t\n\r\x0b\x0c\x85  ":
-            to = " "
-        elif d.startswith(("<wide>", "<narrow>")) or (d.startswith("<compat>") and unicodedata.category(ch)[0] in "LN"):
-            to = unicodedata.normalize("NFKC", ch)
-        elif d and d[0] != "<" and " " not in d:
-            to = unicodedata.normalize("NFC", ch)
-        if d and d[0] != "<" and " " in d and unicodedata.normalize("NFC", ch) == ch:
-            a, b = (int(x, 16) for x in d.split())
-            pairs[(a << 21) | b] = c
-        to = "".join(CONFUSABLE.get(x, x) for x in (to if to is not None else ch))
-        if to != ch:
-            if len(to) == 1:
-                start[c] = ord(to)
-            else:
-                start[c], count[c] = len(pool), len(to)
-                pool.extend(map(ord, to))
-    keys = np.array(sorted(pairs), np.int64)
-    return count, start, np.array(pool, np.uint32), keys, np.array([pairs[k] for k in keys.tolist()], np.uint32)
+def tables() -> Tables:
+    return Tables()
 
 
 def _points(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,32 +148,106 @@ def _blanks(cp: np.ndarray, row: np.ndarray, blank: np.ndarray) -> tuple[np.ndar
     return cp[keep], row[keep]
 
 
-def unify(arr: pa.Array) -> pa.Array:
-    """Each text in the form that all texts of the same look share."""
-    count, start, pool, keys, composed = tables()
+def _safe(cp: np.ndarray) -> np.ndarray:
+    """Indices into the tables; code points beyond them take a place that maps to nothing else."""
+    return np.minimum(cp, LIMIT - 1).astype(np.int64)
+
+
+def _expanded(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(decomposed code points of all rows, row of each)."""
+    t = tables()
     cp, row = _points(arr)
-    safe = np.minimum(cp, LIMIT - 1).astype(np.int64)
-    n = np.where(cp < LIMIT, count[safe], 1)
-    first = np.where(cp < LIMIT, start[safe], 0)
+    inside = cp < LIMIT
+    n = np.where(inside, t.count[_safe(cp)], ((cp < TAGS[0]) | (cp >= TAGS[1])).astype(np.int64))
+    first = np.where(inside, t.start[_safe(cp)], 0)
     at = np.repeat(first, n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
-    out = np.where(np.repeat(cp < LIMIT, n), pool[np.minimum(at, len(pool) - 1)], np.repeat(cp, n)).astype(np.uint32)
-    row = np.repeat(row, n)
-    while len(out) > 1:
-        pair = (out[:-1].astype(np.int64) << 21) | out[1:]
-        k = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-        hit = (keys[k] == pair) & (row[:-1] == row[1:])
-        if not hit.any():
+    out = np.where(np.repeat(inside, n), t.pool[np.minimum(at, len(t.pool) - 1)], np.repeat(cp, n)).astype(np.uint32)
+    return out, np.repeat(row, n)
+
+
+def _combining(cp: np.ndarray) -> np.ndarray:
+    return np.where(cp < LIMIT, tables().order[_safe(cp)], 0).astype(np.int64)
+
+
+def _composed(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Canonical order and composition. In order, a mark is blocked from its base only by a mark of its own class right before it, so each pass composes the first pair of every base."""
+    t = tables()
+    if len(cp) < 2:
+        return cp, row
+    mark = _combining(cp)
+    fresh = np.concatenate([[True], row[1:] != row[:-1]])
+    base = np.cumsum((mark == 0) | fresh)
+    if ((mark[1:] > 0) & (mark[:-1] > mark[1:]) & (base[1:] == base[:-1])).any():
+        cp = cp[np.lexsort((mark, base))]  # stable: marks of one class keep their order
+        mark = _combining(cp)
+    while len(cp) > 1:
+        starts = np.flatnonzero(np.concatenate([[True], base[1:] != base[:-1]]))
+        head = np.repeat(starts, np.diff(np.concatenate([starts, [len(cp)]])))
+        inner = np.arange(len(cp)) != head
+        before = np.concatenate([[-1], mark[:-1]])
+        free = inner & (mark > 0) & (mark[head] == 0) & ((np.arange(len(cp)) - 1 == head) | (before < mark))
+        # a base composes with the base before it only where nothing stands between
+        joins = ~inner & (mark == 0) & (before == 0) & np.concatenate([[False], row[1:] == row[:-1]])
+        left = np.where(inner, head, np.maximum(head - 1, 0))
+        pair = (cp[left].astype(np.int64) << 21) | cp
+        k = np.minimum(np.searchsorted(t.keys, pair), len(t.keys) - 1)
+        hit = (free | joins) & (t.keys[k] == pair)
+        at = np.flatnonzero(hit)
+        if not len(at):
             break
-        hit[1:] &= ~hit[:-1]  # a character composes with one neighbour at a time
-        out = out.copy()
-        out[:-1][hit] = composed[k[hit]]
-        keep = np.concatenate([[True], ~hit])
-        out, row = out[keep], row[keep]
-    # composed letters of other scripts fold too
-    safe = np.minimum(out, LIMIT - 1).astype(np.int64)
-    out = np.where((out < LIMIT) & (count[safe] == 1), pool[start[safe]], out).astype(np.uint32)
-    out, row = _blanks(out, row, out == 32)
-    return _strings(out, row, arr)
+        at = at[np.unique(left[at], return_index=True)[1]]
+        at = at[~np.isin(left[at], at)]  # a base that is just being joined to another waits for the next pass
+        cp = cp.copy()
+        cp[left[at]] = t.composed[k[at]]
+        keep = np.ones(len(cp), bool)
+        keep[at] = False
+        joined = np.zeros(len(cp), bool)
+        joined[at] = ~inner[at]
+        base = base - np.cumsum(joined)
+        cp, row, mark, base = cp[keep], row[keep], mark[keep], base[keep]
+    return cp, row
+
+
+def unify(arr: pa.Array) -> pa.Array:
+    """Each text in the form that all texts of the same look share."""
+    t = tables()
+    cp, row = _expanded(arr)
+    cp = np.where(cp < LIMIT, t.latin[_safe(cp)], cp).astype(np.uint32)
+    cp, row = _composed(cp, row)
+    return _strings(*_blanks(cp, row, cp == 32), arr)
+
+
+def _main_scripts(who: np.ndarray, script: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """The script of most weight for each of ``n`` groups, the first of equal ones; 0 where there is none."""
+    size = len(SCRIPTS) + 1
+    votes = np.bincount(who * size + script, weights=weight, minlength=n * size).reshape(n, size)
+    votes[:, 0] = 0
+    return np.where(votes.max(1) > 0, votes.argmax(1), 0)
+
+
+def shown(arr: pa.Array) -> pa.Array:
+    """Each text for readers: one form of blanks, widths and marks, and the look-alike letters of a word in its main script."""
+    t = tables()
+    cp, row = _expanded(arr)
+    if len(cp):
+        safe = _safe(cp)
+        script = np.where(cp < LIMIT, t.script[safe], 0).astype(np.int64)
+        alike = (cp < LIMIT) & t.alike[safe]
+        inside = (script > 0) | (_combining(cp) > 0)
+        word = np.cumsum(~inside | np.concatenate([[True], (row[1:] != row[:-1]) | ~inside[:-1]])) - 1
+        n = int(word[-1]) + 1
+        own = _main_scripts(word, script, (~alike).astype(float), n)
+        text = _main_scripts(row, script, np.where(alike, 0.01, 1.0), len(arr))
+        some = _main_scripts(word, script, np.ones(len(cp)), n)
+        of_word = np.zeros(n, np.int64)
+        of_word[word] = text[row]
+        # letters of one script decide; without any, a word of one script stays in it, and a mixed one follows its text
+        mixed = np.zeros(n, bool)
+        mixed[word[(script > 0) & (script != some[word])]] = True
+        main = np.where(own > 0, own, np.where(mixed, of_word, some))
+        cp = np.where(cp < LIMIT, t.member[main[word], safe], cp).astype(np.uint32)
+    cp, row = _composed(cp, row)
+    return _strings(*_blanks(cp, row, cp == 32), arr)
 
 
 def plain(arr: pa.Array) -> pa.Array:
@@ -155,9 +272,14 @@ def book_values(spark, sf_dir: str) -> DataFrame:
 
 
 def p4_unify(spark, sf_dir: str) -> DataFrame:
-    """Every title and author in its uniform form, and whether that changed it."""
+    """Every title and author in the form that comparisons use and in the form for readers, and whether the first differs from the text as it stands."""
     tune(spark, 10_000)
-    return looks(book_values(spark, sf_dir)).select("field", "book_id", "raw", F.col("look").alias("uniform"), (F.col("raw") != F.col("look")).alias("changed"))
+
+    def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*b.columns, unify(b.column(2)), shown(b.column(2))], names=["field", "book_id", "raw", "uniform", "shown"])
+
+    out = arrow_map(book_values(spark, sf_dir).where("raw is not null"), kernel, "field string, book_id bigint, raw string, uniform string, shown string")
+    return out.withColumn("changed", F.col("raw") != F.col("uniform"))
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:

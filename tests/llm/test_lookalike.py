@@ -10,19 +10,42 @@ from quire.llm import lookalike as L
 
 def slow(s):
     """The same form, character by character."""
-    s = "".join(c for c in s if ord(c) not in L.INVISIBLE)
     out = ""
     for c in s:
         d = unicodedata.decomposition(c)
-        if unicodedata.category(c) == "Zs" or c in "\t\n\r\x0b\x0c\x85  ":
+        if ord(c) in L.INVISIBLE:
+            c = ""
+        elif unicodedata.category(c) == "Zs" or c in "\t\n\r\x0b\x0c\x85\u2028\u2029":
             c = " "
         elif d.startswith(("<wide>", "<narrow>")) or (d.startswith("<compat>") and unicodedata.category(c)[0] in "LN"):
             c = unicodedata.normalize("NFKC", c)
-        elif d and d[0] != "<" and " " not in d:
-            c = unicodedata.normalize("NFC", c)
-        out += "".join(L.CONFUSABLE.get(x, x) for x in c)
-    out = "".join(L.CONFUSABLE.get(x, x) for x in unicodedata.normalize("NFC", out))
-    return " ".join(x for x in out.split(" ") if x)
+        out += c
+    out = "".join(unicodedata.normalize("NFD", L.CONFUSABLE.get(x, x)) for x in unicodedata.normalize("NFD", out))
+    return " ".join(x for x in unicodedata.normalize("NFC", out).split(" ") if x)
+
+
+MARKS = "\u0301\u0308\u0323\u0307\u0327\u0328\u0331\u0345\u0306"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("aeixqsоеиЕΑωdD" + MARKS + "ᄀ가각ᅡᆨ한ㄱㅏ🄀𝐀丽ऩ़न", max_size=9), max_size=5))
+def test_marks_and_syllables_compose_canonically(texts):
+    assert L.unify(pa.array(texts, pa.string())).to_pylist() == [slow(t) for t in texts]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("aexqsudDSé" + MARKS + "ᄀ가ᅡᆨ한", max_size=9), max_size=5))
+def test_agrees_with_canonical_composition(texts):
+    assert L.unify(pa.array(texts, pa.string())).to_pylist() == [unicodedata.normalize("NFC", t) for t in texts]
+
+
+def test_order_of_marks_and_readers_form():
+    a = pa.array(["q\u0323\u0307", "q\u0307\u0323", "x\u0327\u0301", "\u1112\u1161\u11ab", "\ufe0fa\U000e0041", None, ""])
+    got = L.unify(a).to_pylist()
+    assert got[0] == got[1] and got[3] == "\ud55c" and got[4] == "a" and got[5:] == [None, ""]
+    texts = ["Bойна и мир", "Вoйнa", "Th\u0435 Tide", "СССР", "сор The \u0430", "Ελλάς O", "\uff34ide", "ё\u0435\u0308"]
+    assert L.shown(pa.array(texts)).to_pylist() == ["Война и мир", "Война", "The Tide", "СССР", "сор The \u0430", "Ελλάς O", "Tide", "ёё"]
+    assert L.unify(pa.array(["Война", "Вoйнa"])).to_pylist()[0] == L.unify(pa.array(["Вoйнa"])).to_pylist()[0]
 
 
 @settings(max_examples=150, deadline=None)
