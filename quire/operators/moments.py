@@ -4,7 +4,10 @@ Every value is parsed once into wall-clock parts, an optional offset and an opti
 converted with the zone of their source (folder): the declared one, or, where a source declares none, the candidate whose offset history
 violates the evidence least (local times aligned with zoned moments of the same record, and with ingestion times, which no publication follows).
 
-Defined results: null, blank and unreadable texts have precision ``none`` and no value; local times that occur twice or never in their zone have
+The estimate serves sources without a declared zone only: where one is declared it holds, so on tables that declare all zones it changes no moment. ``p2_zones`` estimates every source
+with its declaration withheld.
+
+Defined results: null, blank and unreadable texts have precision ``none`` and no value; slashed dates whose day and month could each be the other have precision ``ambiguous`` and no value; local times that occur twice or never in their zone have
 precision ``second`` but no value; years outside 1..9999 are unreadable; rows without a book id are left out; extra columns of the input are ignored.
 """
 
@@ -20,10 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.runtime import arrow_map, table, tune
+from quire.runtime import arrow_map, collect_bounded, table, tune
 
-# Month names and zone abbreviations with their offsets in hours.
-MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
+# The beginnings of month names, without accents, in English, German, French, Spanish, Portuguese, Italian, Dutch, Swedish, Polish and Russian; zone abbreviations with
+# their offsets in hours.
+_MONTHS = (
+    "jan feb mar apr may jun jul aug sep oct nov dec", "jan feb mar apr mai jun jul aug sep okt nov dez", "jan fev mar avr mai juin juil aou sep oct nov dec", "ene feb mar abr may jun jul ago sep oct nov dic",
+    "jan fev mar abr mai jun jul ago set out nov dez", "gen feb mar apr mag giu lug ago set ott nov dic", "jan feb maa apr mei jun jul aug sep okt nov dec", "jan feb mar apr maj jun jul aug sep okt nov dec",
+    "sty lut mar kwi maj cze lip sie wrz paz lis gru", "янв фев мар апр маи июн июл авг сен окт ноя дек",
+)
+MONTHS = {m: i + 1 for names in _MONTHS for i, m in enumerate(names.split())} | {"mrt": 3, "мая": 5}
 ABBREVIATIONS = {
     "UTC": 0, "GMT": 0, "Z": 0, "UT": 0, "WET": 0, "WEST": 1, "BST": 1, "CET": 1, "CEST": 2, "EET": 2, "EEST": 3, "MSK": 3, "IST": 5.5, "JST": 9, "KST": 9,
     "AEST": 10, "AEDT": 11, "ACST": 9.5, "ACDT": 10.5, "AWST": 8, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7,
@@ -35,6 +44,7 @@ _OFF = r"(?:(?P<z>Z)|(?P<osign>[+\-−])(?P<oh>\d\d):?(?:'?(?P<om>\d\d)'?)?)"
 _TIME = r"(?P<h>\d{1,2}):(?P<mi>\d\d)(?::(?P<s>\d\d)(?:[.,](?P<f>\d{1,9}))?)?"
 _ZONE = r"(?:\s*\[?(?P<zone>[A-Za-z]+/[A-Za-z_/+\-0-9]+|UTC|GMT)\]?|\s+(?P<abbr>[A-Z]{1,5}))?"
 _TAIL = rf"\s*{_OFF}?{_ZONE}$"
+_NAME = r"(?P<mon>[^\W\d_]{3,12})"
 PATTERNS = [
     re.compile(p, re.I)
     for p in (
@@ -43,9 +53,9 @@ PATTERNS = [
         rf"D:(?P<y>\d{{4}})(?P<mo>\d\d)(?P<d>\d\d)(?P<h>\d\d)(?P<mi>\d\d)(?P<s>\d\d)?{_TAIL}",
         rf"(?P<y>\d{{4}})-(?P<doy>\d{{3}})[T ]{_TIME}{_TAIL}",
         rf"(?P<y>\d{{4}})-?W(?P<w>\d\d)-?(?P<wd>[1-7])[T ]{_TIME}{_TAIL}",
-        rf"(?:[A-Za-z]{{3,9}},?\s+)?(?P<d>\d{{1,2}})[ \-](?P<mon>[A-Za-z]{{3,9}})\.?[ \-](?P<y>\d{{4}}),?\s+{_TIME}\s*(?P<ap>[AP]M(?![A-Za-z]))?{_TAIL}",
-        rf"[A-Za-z]{{3,9}}\s+(?P<mon>[A-Za-z]{{3,9}})\s+(?P<d>\d{{1,2}})\s+{_TIME}\s+(?P<abbr0>[A-Z]{{1,5}}|[+\-]\d{{4}})\s+(?P<y>\d{{4}})$",
-        rf"(?P<mon>[A-Za-z]{{3,9}})\.?\s+(?P<d>\d{{1,2}}),?\s+(?P<y>\d{{4}}),?(?:\s+at)?\s+{_TIME}\s*(?P<ap>[AP]\.?M\b\.?)?{_TAIL}",
+        rf"(?:[^\W\d_]{{3,12}}\.?,?\s+)?(?P<d>\d{{1,2}})\.?[ \-]\s*(?:de\s+)?{_NAME}\.?[ \-]\s*(?:de\s+)?(?P<y>\d{{4}}),?\s+{_TIME}\s*(?P<ap>[AP]M(?![A-Za-z]))?{_TAIL}",
+        rf"[A-Za-z]{{3,9}}\s+{_NAME}\s+(?P<d>\d{{1,2}})\s+{_TIME}\s+(?P<abbr0>[A-Z]{{1,5}}|[+\-]\d{{4}})\s+(?P<y>\d{{4}})$",
+        rf"{_NAME}\.?\s+(?P<d>\d{{1,2}}),?\s+(?P<y>\d{{4}}),?(?:\s+at)?\s+{_TIME}\s*(?P<ap>[AP]\.?M\b\.?)?{_TAIL}",
         rf"(?P<d>\d{{1,2}})\.(?P<mo>\d{{1,2}})\.(?P<y>\d{{4}}),?\s+{_TIME}{_TAIL}",
         rf"(?P<s1>\d{{1,2}})/(?P<s2>\d{{1,2}})/(?P<y>\d{{4}}),?\s+{_TIME}\s*(?P<ap>[AP]M(?![A-Za-z]))?{_TAIL}",
         rf"(?P<y>\d{{4}})/(?P<mo>\d{{1,2}})/(?P<d>\d{{1,2}})\s+{_TIME}\s*(?P<ap>[AP]M(?![A-Za-z]))?{_TAIL}",
@@ -56,11 +66,11 @@ VAGUE = [
     (re.compile(r"(?P<y>\d{4})[-/.](?P<mo>\d{1,2})[-/.](?P<d>\d{1,2})$"), "day"),
     (re.compile(r"(?P<d>\d{1,2})\.(?P<mo>\d{1,2})\.(?P<y>\d{4})$"), "day"),
     (re.compile(r"(?P<s1>\d{1,2})/(?P<s2>\d{1,2})/(?P<y>\d{4})$"), "day"),
-    (re.compile(r"(?P<d>\d{1,2})\s+(?P<mon>[A-Za-z]{3,9})\.?\s+(?P<y>\d{4})$"), "day"),
-    (re.compile(r"(?P<mon>[A-Za-z]{3,9})\.?\s+(?P<d>\d{1,2}),\s*(?P<y>\d{4})$"), "day"),
+    (re.compile(r"(?P<d>\d{1,2})\.?\s+(?:de\s+)?" + _NAME + r"\.?\s+(?:de\s+)?(?P<y>\d{4})$"), "day"),
+    (re.compile(_NAME + r"\.?\s+(?P<d>\d{1,2}),\s*(?P<y>\d{4})$"), "day"),
     (re.compile(r"(?P<y>\d{4})(?P<mo>[01]\d)(?P<d>[0-3]\d)$"), "day"),
     (re.compile(r"(?P<y>\d{4})[-/](?P<mo>0?[1-9]|1[0-2])$"), "month"),
-    (re.compile(r"(?P<mon>[A-Za-z]{3,9})\.?,?\s+(?P<y>\d{4})$"), "month"),
+    (re.compile(_NAME + r"\.?,?\s+(?P<y>\d{4})$"), "month"),
     (re.compile(r"(?P<y>\d{4})-(?P<y2>\d{4})$"), "range"),
     (re.compile(r"(?:©|\(c\)|c\.|ca\.|circa|\[)?\s*(?P<y>\d{4})(?:\.0+)?\??\]?$", re.I), "year"),
     (re.compile(r"['’](?P<yy>\d\d)$"), "year"),
@@ -71,7 +81,12 @@ Parsed = tuple
 
 
 def _month(name: str) -> int | None:
-    return MONTHS.get(name[:3].lower())
+    bare = "".join(c for c in unicodedata.normalize("NFD", name.lower()) if not unicodedata.combining(c))
+    return MONTHS.get(bare[:4]) or MONTHS.get(bare[:3])
+
+
+class Ambiguous(ValueError):
+    """A slashed date whose day and month could each be the other."""
 
 
 def _offset(g: dict) -> int | None:
@@ -100,9 +115,9 @@ def _day(g: dict) -> tuple[int, int, int]:
         return d.year, d.month, d.day
     if g.get("s1"):
         a, b = int(g["s1"]), int(g["s2"])
-        if a > 12 or (b <= 12 and not g.get("ap") and g.get("h")):  # day first, unless a month-first form shows itself
-            return y, b, a
-        return y, a, b
+        if a <= 12 and b <= 12 and a != b:
+            raise Ambiguous
+        return (y, b, a) if a > 12 else (y, a, b)
     mo = _month(g["mon"]) if g.get("mon") else int(g["mo"])
     if mo is None:
         raise ValueError
@@ -122,11 +137,11 @@ def parse(text: str | None) -> Parsed:
         if m[1]:
             us = int(m[1]) * 1000 if len(m[1].lstrip("-")) > 10 else int(m[1]) * 10**6
         elif m[2]:
-            us = int(m[2]) * 10**6
+            us = int(m[2]) * 10**6 + (-1 if m[2][0] == "-" else 1) * int((m[3] or "")[:6].ljust(6, "0"))
         else:
             us = int(m[4]) * 1000
         try:
-            return ("second", datetime(1970, 1, 1) + timedelta(microseconds=us), 0, None, None)
+            return ("fraction" if m[3] else "second", datetime(1970, 1, 1) + timedelta(microseconds=us), 0, None, None)
         except OverflowError:
             return none
     if ":" in t or "T" in t:
@@ -145,6 +160,8 @@ def parse(text: str | None) -> Parsed:
                 extra = timedelta(days=1) if h == 24 else timedelta()
                 s = int(g.get("s") or 0)
                 at = datetime(y, mo, d, h % 24, int(g["mi"]), min(s, 59), int(f)) + extra
+            except Ambiguous:
+                return ("ambiguous", None, None, None, None)
             except (ValueError, OverflowError):
                 return none
             prec = "minute" if g.get("s") is None else "fraction" if g.get("f") else "second"
@@ -176,6 +193,8 @@ def parse(text: str | None) -> Parsed:
             y, mo, d = _day(g)
             datetime(y, mo, d)
             return (prec, None, None, None, f"{y:04d}-{mo:02d}-{d:02d}")
+        except Ambiguous:
+            return ("ambiguous", None, None, None, None)
         except ValueError:
             return none
     return none
@@ -217,16 +236,18 @@ def show(p: Parsed, utc: datetime | None) -> str | None:
     return body + "Z"
 
 
+#: The slots of ``p2_found``; ``p2_normalise`` has ``date4`` and so on where a record holds more dates.
 SLOTS = ("published", "year", "date1", "date2", "date3")
+#: Distinct declared zones that are candidates; the zone database names about 600.
+ZONES = 2000
 
 
 def slots_wide(spark, sf_dir: str) -> DataFrame:
-    """A row for each book with its values by slot; the joins are on ``book_id``, and only date columns are read."""
+    """A row for each book with its values; the joins are on ``book_id``, and only date columns are read."""
     b = table(spark, sf_dir, "books").where("book_id is not null").select("book_id", "folder_id", "published", "ingested_at")
     o = table(spark, sf_dir, "opf_metadata").select(F.col("book_id").alias("o_id"), "dates")
     c = table(spark, sf_dir, "comic_info").select(F.col("book_id").alias("c_id"), F.col("issue_year").alias("year"))
-    d = [F.get("dates", F.lit(i)).alias(f"date{i + 1}") for i in range(3)]
-    return b.join(o, b.book_id == o.o_id, "left").join(c, b.book_id == c.c_id, "left").select("book_id", "folder_id", "ingested_at", "published", "year", *d)
+    return b.join(o, b.book_id == o.o_id, "left").join(c, b.book_id == c.c_id, "left").select("book_id", "folder_id", "ingested_at", "published", "year", "dates")
 
 
 def estimate_zones(wide: DataFrame, candidates: list[str]) -> DataFrame:
@@ -236,13 +257,13 @@ def estimate_zones(wide: DataFrame, candidates: list[str]) -> DataFrame:
     support the zones with that offset then and violate the others; a local time that would lie after the record's ingestion, or in a gap of the
     zone, violates it. Counts are added map-side, so a source of any size costs one row a candidate and task.
     """
-    cols = ["folder_id", "ingested_at", *SLOTS]
+    cols = ["folder_id", "ingested_at", "published", "year", "dates"]
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
         memo, out = {}, {}
         data = [b.column(b.schema.get_field_index(c)).to_pylist() for c in cols]
-        for folder, ingested, *texts in zip(*data):
-            parsed = [memo[t] if t in memo else memo.setdefault(t, parse(t)) for t in texts if t]
+        for folder, ingested, published, year, dates in zip(*data):
+            parsed = [memo[t] if t in memo else memo.setdefault(t, parse(t)) for t in (published, year, *(dates or ())) if t]
             local = [p[1] for p in parsed if p[1] is not None and p[2] is None and p[3] is None]
             if not local or folder is None:
                 continue
@@ -281,7 +302,7 @@ def estimate_zones(wide: DataFrame, candidates: list[str]) -> DataFrame:
 
 def candidate_zones(spark, sf_dir: str) -> list[str]:
     """The zones in use, at most a few hundred names exist; UTC is always one."""
-    got = table(spark, sf_dir, "folders").select("tz_name").distinct().limit(1000).collect()
+    got = collect_bounded(table(spark, sf_dir, "folders").select("tz_name").distinct(), ZONES, "zone names")
     return sorted({"UTC", *(r[0] for r in got if _zone(r[0]) is not None)})
 
 
@@ -301,11 +322,11 @@ def normalised(wide: DataFrame) -> DataFrame:
     """(book_id, slot, raw, value, precision, utc_second): one row for each slot that holds a text."""
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
-        cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("book_id", "tz", *SLOTS)]
+        cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("book_id", "tz", "published", "year", "dates")]
         memo, out = {}, ([], [], [], [], [], [])
         epoch = datetime(1970, 1, 1)
-        for book, tz, *texts in zip(*cols):
-            for slot, t in zip(SLOTS, texts):
+        for book, tz, published, year, dates in zip(*cols):
+            for slot, t in (("published", published), ("year", year), *((f"date{k}", t) for k, t in enumerate(dates or (), 1))):
                 if t is None:
                     continue
                 p = memo[t] if t in memo else memo.setdefault(t, parse(t))
@@ -315,7 +336,7 @@ def normalised(wide: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=["book_id", "slot", "raw", "value", "precision", "utc_second"])
 
-    return arrow_map(wide.select("book_id", "tz", *SLOTS), kernel, "book_id bigint, slot string, raw string, value string, precision string, utc_second bigint")
+    return arrow_map(wide.select("book_id", "tz", "published", "year", "dates"), kernel, "book_id bigint, slot string, raw string, value string, precision string, utc_second bigint")
 
 
 def p2_normalise(spark, sf_dir: str) -> DataFrame:
@@ -333,7 +354,7 @@ def p2_zones(spark, sf_dir: str) -> DataFrame:
 def p2_found(spark, sf_dir: str) -> DataFrame:
     """Two values of one book that fix the same second in different strings. A book has at most five slots, so pairs are built inside its row."""
     tune(spark, 10_000)
-    m = normalised(with_zone(spark, sf_dir)).where("utc_second is not null").select("book_id", "slot", "raw", "utc_second")
+    m = normalised(with_zone(spark, sf_dir)).where(F.col("utc_second").isNotNull() & F.col("slot").isin(*SLOTS)).select("book_id", "slot", "raw", "utc_second")
     g = m.groupBy("book_id", "utc_second").agg(F.array_sort(F.collect_set(F.struct("slot", "raw"))).alias("v")).where(F.size("v") > 1)
     a = g.select("book_id", "v", F.explode("v").alias("a"))
     b = a.select("book_id", "a", F.explode("v").alias("b")).where("a.slot < b.slot and a.raw <> b.raw")

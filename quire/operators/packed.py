@@ -129,16 +129,45 @@ def span_key(c: Column, words: bool) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), soft, "\u0000")
 
 
+def _easy(flat: pa.Array, cls: np.ndarray, parent: np.ndarray, n: int, names: bool, decided: np.ndarray) -> np.ndarray:
+    """Elements that need no search: no separator in them is soft, or the corpus knows every piece alone and no run of them as a whole (``decided``) and, in fields of
+    names, no piece could be part of an inverted name or an addition to one.
+    """
+    soft = np.zeros(n, bool)
+    soft[parent[cls == 1]] = True
+    if names:
+        whole = pc.and_(pc.match_substring_regex(flat, r"\s"), pc.invert(pc.match_substring_regex(flat, r"^\d")))
+        part = np.zeros(n, bool)
+        part[parent[~np.asarray(whole)]] = True
+        decided = decided & ~part
+    return ~soft | decided
+
+
 def _choose(names: bool):
-    """Decides each element: the cheapest way to cover its pieces by values."""
+    """Decides each element. Those that need no search are flattened with their parents' ordinals; for the others the cheapest cover of the pieces by values is searched."""
 
     def name_like(v: str) -> bool:
         return len(v.split()) >= 2 or "." in v
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
         elems = b.column(b.schema.get_field_index("element"))
-        known = b.column(b.schema.get_field_index("known")).to_pylist()
         value, cls, quoted = scan(elems, names)
+        # pieces that are not empty, as one array with the ordinal of their element and their number inside it
+        flat, parent = value.flatten(), np.asarray(pc.list_parent_indices(value))
+        full = np.asarray(pc.not_equal(flat, "")) if len(flat) else np.zeros(0, bool)
+        flat, parent, kinds = flat.filter(pa.array(full)), parent[full], np.asarray(cls.flatten())[full]
+        head = np.concatenate([[True], parent[1:] != parent[:-1]]) if len(parent) else np.zeros(0, bool)
+        kinds = np.where(head, 0, kinds)  # what stands before the first piece separates nothing
+        number = np.arange(len(parent)) - np.repeat(np.flatnonzero(head), np.diff(np.concatenate([np.flatnonzero(head), [len(parent)]]))) + 1
+        sizes = np.bincount(parent, minlength=len(elems))
+        alone = b.column(b.schema.get_field_index("alone")).fill_null(0).to_numpy(zero_copy_only=False)
+        joined = b.column(b.schema.get_field_index("joined")).fill_null(False).to_numpy(zero_copy_only=False)
+        easy = _easy(flat, kinds, parent, len(elems), names, (alone == sizes) & ~joined if not names else ~joined)
+        pick = easy[parent]
+        done = pa.RecordBatch.from_arrays([elems.take(pa.array(parent[pick])), pa.array(number[pick].astype(np.int32)), flat.filter(pa.array(pick))], names=["element", "item_no", "value"])
+        hard = pa.array(~easy)
+        elems, value, cls, quoted = (x.filter(hard) for x in (elems, value, cls, quoted))
+        known = b.column(b.schema.get_field_index("known")).filter(hard).to_pylist()
         out = ([], [], [])
         for e, vs, cs, qs, ks in zip(elems.to_pylist(), value.to_pylist(), cls.to_pylist(), quoted.to_pylist(), known):
             keep = [(v, c, q) for v, c, q in zip(vs, cs, qs) if v]
@@ -188,7 +217,8 @@ def _choose(names: bool):
             for no, v in enumerate(vals, 1):
                 for o, x in zip(out, (e, no, v)):
                     o.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], names=["element", "item_no", "value"])
+        rest = pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], names=["element", "item_no", "value"])
+        return pa.Table.from_batches([done, rest]).combine_chunks().to_batches()[0] if len(done) + len(rest) else rest
 
     return kernel
 
@@ -232,8 +262,10 @@ def unpacked(elements: DataFrame, names: bool, alone: DataFrame | None = None) -
     pieces = F.length("key") - F.length(F.replace("key", F.lit("\u0000"))) + 1
     sizes = frozenset(r[0] for r in wholes.where(f"whole >= {OFTEN}").select(pieces).distinct().collect())  # numbers of pieces, at most as many as the longest element has
     spans = arrow_map(packed.select("element"), _spans_kernel(names, sizes), "element string, i int, j int, span string")
-    hits = spans.join(known, spans.span == known.key).groupBy("element").agg(F.collect_list(F.struct("i", "j", "alone", "whole")).alias("known"))
-    decided = packed.select("element").join(hits.withColumnRenamed("element", "e"), F.col("element") == F.col("e"), "left").select("element", "known")
+    hits = spans.join(known, spans.span == known.key).groupBy("element").agg(
+        F.collect_list(F.struct("i", "j", "alone", "whole")).alias("known"), F.count_if(F.expr("i = j and alone + whole > 0")).alias("alone"), F.bool_or(F.expr(f"i < j and whole >= {OFTEN}")).alias("joined")
+    )
+    decided = packed.select("element").join(hits.withColumnRenamed("element", "e"), F.col("element") == F.col("e"), "left").select("element", "known", "alone", "joined")
     return arrow_map(decided, _choose(names), "element string, item_no int, value string")
 
 

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from conftest import rows
@@ -38,6 +40,9 @@ from quire.operators import moments as M
         ("'83", None, "1983", "year"),
         ("[1997?]", None, "1997", "year"),
         ("1988-1989", None, "1988/1989", "range"),
+        ("03/04/2001", None, None, "ambiguous"), ("03/04/2001 10:00:00", "UTC", None, "ambiguous"), ("3/4/2001 1:00 PM", "UTC", None, "ambiguous"), ("04/04/2001", None, "2001-04-04", "day"),
+        ("1679787928.25", None, "2023-03-25T23:45:28.250000Z", "fraction"), ("-1.5", None, None, "none"), ("12. März 1989", None, "1989-03-12", "day"), ("12 de março de 1989", None, "1989-03-12", "day"), ("1 août 1990", None, "1990-08-01", "day"), ("3 juin 1990", None, "1990-06-03", "day"),
+        ("3 juillet 1990", None, "1990-07-03", "day"), ("9 мая 1945", None, "1945-05-09", "day"), ("15 października 2001", None, "2001-10-15", "day"), ("maart 2004", None, "2004-03", "month"), ("4 mei 2010 10:20:30", "Europe/Amsterdam", "2010-05-04T08:20:30Z", "second"),
         ("n.d.", None, None, "none"),
         ("", None, None, "none"),
         ("2011-13-45T99:99:99Z", None, None, "none"),
@@ -70,3 +75,16 @@ def test_empty_tables(spark, make):
     d = make(books=[], opf_metadata=[], comic_info=[], folders=[])
     assert M.p2_found(spark, d).count() == 0
     assert M.p2_normalise(spark, d).count() == 0
+
+
+def test_all_dates_are_normalised(spark, make, noon):
+    d = make(books=[{"book_id": 1, "folder_id": 1, "published": None, "ingested_at": noon}], opf_metadata=[{"book_id": 1, "dates": ["2001", None, "2002", "2003", "2004-05"]}], comic_info=[], folders=[{"folder_id": 1, "tz_name": "UTC"}])
+    assert rows(M.p2_normalise(spark, d), "slot", "value") == [("date1", "2001"), ("date3", "2002"), ("date4", "2003"), ("date5", "2004-05")]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_withheld_zones_are_estimated(spark):
+    d = "/root/testdata/sf0.1"
+    declared = {r[0]: r[1] for r in spark.read.parquet(f"{d}/folders.parquet").select("folder_id", "tz_name").collect()}
+    best = [r for r in M.p2_zones(spark, d).where("ranking = 1").collect() if r["agreements"]]
+    assert len(best) > 50 and sum(declared[r["folder_id"]] == r["zone"] for r in best) >= 0.95 * len(best)
