@@ -1,9 +1,9 @@
 """Problem 7: records that differ only in formatting are collapsed into one, with the number of copies.
 
 A record's canonical bytes hold its title, its authors' name parts in sorted order, and its ISBN without case, blanks and punctuation. Equal keys are
-first added up inside each task, so a hot group costs one row a task. The keys are then split recursively by their leading bytes: a prefix with more
-keys than a bucket may hold is split by further bytes until each part fits; neighbouring small parts share a bucket. Each bucket is counted in a burst
-trie whose terminals hold the smallest id and the number of copies.
+first added up inside each task (``HELD`` distinct keys at a time), so a hot group costs a row or few a task. The keys are then split recursively by their leading bytes: a prefix with more
+keys than a bucket may hold is split by the bytes that follow what all its keys have in common, until each part fits; neighbouring small parts share a bucket. Each bucket is a partition of its own
+and is counted in a burst trie whose terminals hold the smallest id and the number of copies.
 
 Defined results: records without id or without title (null or blank) are left out; null and blank ISBNs agree only with each other; a null author list, an empty one
 and one of blank names agree; repeated ids count as one copy each; nothing but case, blanks, punctuation and order is ignored; extra columns are ignored.
@@ -11,18 +11,22 @@ and one of blank names agree; repeated ids count as one copy each; nothing but c
 
 from __future__ import annotations
 
+import os
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.runtime import arrow_map, checkpointed, table, tune
+from quire.runtime import arrow_map, checkpointed, ship, table, tune
 
 #: Keys that one bucket may hold: bounds the memory of the task that counts it.
 CAPACITY = 200_000
-#: Bytes by which an oversized prefix is extended.
+#: Bytes by which an oversized prefix is extended beyond what its keys have in common.
 STEP = 2
+#: Distinct keys that a task holds while it adds up repeats.
+HELD = 100_000
 
 
 def folded(c: Column) -> Column:
@@ -93,84 +97,122 @@ class Trie:
                     yield p + chunk + got[0], got[1], got[2]
 
 
-def _local(b: pa.RecordBatch) -> pa.RecordBatch:
-    """Equal keys of one batch added up."""
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal keys of a task added up; when ``HELD`` keys are held, they are passed on."""
     t: dict[bytes, list] = {}
-    for i, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-        got = t.get(k)
-        if got is None:
-            t[k] = [i, 1]
-        else:
-            got[0] = min(got[0], i)
-            got[1] += 1
-    return pa.RecordBatch.from_arrays([pa.array(list(t), pa.binary()), pa.array([v[0] for v in t.values()], pa.int64()), pa.array([v[1] for v in t.values()], pa.int64())], names=["key", "low", "n"])
+
+    def held() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(t), pa.binary()), pa.array([v[0] for v in t.values()], pa.int64()), pa.array([v[1] for v in t.values()], pa.int64())], names=["key", "low", "n"])
+
+    for b in batches:
+        for i, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            got = t.get(k)
+            if got is None:
+                t[k] = [i, 1]
+            else:
+                got[0] = min(got[0], i)
+                got[1] += 1
+        if len(t) >= HELD:
+            yield held()
+            t = {}
+    if t:
+        yield held()
+
+
+def _extensions(open_: list[tuple[bytes, int]]):
+    """Counts, inside a task, the extensions of the open prefixes: (prefix number, extension, rows, smallest key, largest key)."""
+    prefixes, depths = [p for p, _ in open_], [d for _, d in open_]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t: dict[tuple[int, bytes], list] = {}
+
+        def held() -> pa.RecordBatch:
+            cols = ([k[0] for k in t], [k[1] for k in t], [v[0] for v in t.values()], [v[1] for v in t.values()], [v[2] for v in t.values()])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()))], names=["open", "p", "n", "lo", "hi"])
+
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                i = bisect_right(prefixes, k) - 1
+                if i < 0 or not k.startswith(prefixes[i]):
+                    continue
+                at = (i, k[: depths[i]])
+                got = t.get(at)
+                if got is None:
+                    t[at] = [1, k, k]
+                else:
+                    got[0] += 1
+                    if k < got[1]:
+                        got[1] = k
+                    elif k > got[2]:
+                        got[2] = k
+            if len(t) >= HELD:
+                yield held()
+                t = {}
+        if t:
+            yield held()
+
+    return kernel
 
 
 def splits(keys: DataFrame, capacity: int) -> list[bytes]:
     """Lower bounds of the buckets, found by splitting oversized prefixes by further bytes.
 
-    Each round counts the extensions of the prefixes that are still oversized. At most total / capacity prefixes are, so the driver gets
-    their extensions only, never keys; a single key that is oversized by its repeats in many tasks is not split further.
+    Each round counts the extensions of the prefixes that are still oversized and adds neighbouring small ones up to buckets, both distributed; an open prefix has at most
+    65536 extensions. The driver gets a bound for each bucket and the oversized prefixes, both at most twice total / capacity in number, never keys. The smallest and the largest key of a
+    prefix show how many bytes all its keys share, so a long common beginning costs no rounds. A single key that is oversized by its repeats in many tasks is not split further.
     """
-    prefix = lambda d: F.substring("key", 1, d)
-    done: list[tuple[bytes, int]] = []
-    depth, open_ = STEP, None
-    while True:
-        part = keys if open_ is None else keys.where(prefix(depth - STEP).isin([F.lit(p) for p in open_]))
-        got = part.groupBy(prefix(depth).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("key")).alias("len")).collect()
-        big = []
-        for r in got:
-            if r["n"] > capacity and r["len"] > depth:
-                big.append(bytes(r["p"]))
-            else:
-                done.append((bytes(r["p"]), r["n"]))
-        if not big:
-            break
-        open_, depth = big, depth + STEP
-    done.sort()
-    bounds, held = [], 0
-    for p, n in done:
-        if not bounds or held + n > capacity:
-            bounds.append(p)
-            held = 0
-        held += n
-    return bounds or [b""]
+    bounds: list[bytes] = []
+    open_: list[tuple[bytes, int]] = [(b"", STEP)]
+    while open_:
+        got = keys.select("key").mapInArrow(_extensions(open_), "open int, p binary, n bigint, lo binary, hi binary")
+        got = got.groupBy("open", "p").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        got = got.withColumn("big", (F.col("n") > capacity) & (F.col("lo") != F.col("hi")))
+        w = Window.partitionBy("open").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+        got = got.withColumns({"runs": F.sum(F.col("big").cast("int")).over(w), "sum": F.sum(F.when(~F.col("big"), F.col("n")).otherwise(0)).over(w)})
+        shared = got.groupBy("open", "big", "runs", F.when(F.col("big"), F.lit(0)).otherwise(F.floor((F.col("sum") - F.col("n")) / F.lit(capacity))).alias("part"))
+        rows = shared.agg(F.min("p").alias("p"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+        nxt = []
+        for r in rows:
+            bounds.append(bytes(r["p"]))
+            if r["big"]:
+                common = os.path.commonprefix([bytes(r["lo"]), bytes(r["hi"])])
+                nxt.append((common, len(common) + STEP))
+        open_ = sorted(nxt)
+    return sorted(set(bounds)) or [b""]
 
 
 def groups(records: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(key, low, n): each distinct canonical record with its smallest id and its number of copies. ``records`` has ``book_id`` and ``key``."""
-    keys = checkpointed(arrow_map(records.select("book_id", "key"), _local, "key binary, low bigint, n bigint"))
+    ship(records.sparkSession)
+    keys = checkpointed(records.select("book_id", "key").mapInArrow(_local, "key binary, low bigint, n bigint"))
     total = keys.count()
-    spread = max(1, keys.sparkSession.sparkContext.defaultParallelism)
-    bounds = splits(keys, min(capacity, max(10_000, total // (2 * spread))))
+    cores = max(1, keys.sparkSession.sparkContext.defaultParallelism)
+    bounds = splits(keys, min(capacity, max(10_000, total // (2 * cores))))
 
     def bucket(b: pa.RecordBatch) -> pa.RecordBatch:
-        from bisect import bisect_right
-
         k = b.column(0).to_pylist()
         return pa.RecordBatch.from_arrays([pa.array([max(0, bisect_right(bounds, x) - 1) for x in k], pa.int32()), b.column(0), b.column(1), b.column(2)], names=["bucket", "key", "low", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[int, Trie] = {}
+        t = Trie()
         for b in batches:
-            for u, k, low, n in zip(*(b.column(i).to_pylist() for i in range(4))):
-                t = tries.get(u)
-                if t is None:
-                    t = tries[u] = Trie()
+            for k, low, n in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
                 t.add(k, low, n)
-        for t in tries.values():
-            rows: tuple[list, list, list] = ([], [], [])
-            for k, low, n in t.terminals():
-                rows[0].append(k)
-                rows[1].append(low)
-                rows[2].append(n)
-                if len(rows[0]) == 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64())], names=["key", "low", "n"])
-                    rows = ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64())], names=["key", "low", "n"])
+        rows: tuple[list, list, list] = ([], [], [])
+        for terminal in t.terminals():
+            for r, x in zip(rows, terminal):
+                r.append(x)
+            if len(rows[0]) == 10_000:
+                yield _rows(rows)
+                rows = ([], [], [])
+        yield _rows(rows)
 
     placed = arrow_map(keys, bucket, "bucket int, key binary, low bigint, n bigint")
-    return placed.repartition(len(bounds), "bucket").mapInArrow(count, "key binary, low bigint, n bigint")
+    return placed.repartitionById(len(bounds), "bucket").mapInArrow(count, "key binary, low bigint, n bigint")
+
+
+def _rows(rows: tuple[list, list, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, (pa.binary(), pa.int64(), pa.int64()))], names=["key", "low", "n"])
 
 
 def p7_groups(spark, sf_dir: str) -> DataFrame:

@@ -45,3 +45,19 @@ def test_small_buckets_and_hot_keys(spark):
     got = {bytes(r["key"]): (r["low"], r["n"]) for r in R.groups(df, capacity=40).collect()}
     want = {bytes(r["key"]): (r["m"], r["n"]) for r in df.groupBy("key").agg(F.min("book_id").alias("m"), F.count("*").alias("n")).collect()}
     assert got == want and len(R.splits(df.select("key", F.col("book_id").alias("low"), F.lit(1).alias("n")).distinct(), 40)) > 10
+
+
+def test_long_common_beginnings_cost_no_rounds(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(R, "HELD", 50)
+    lead = "x" * 400
+    df = spark.range(4000).select(F.col("id").alias("book_id"), F.encode(F.concat(F.lit(lead), (F.col("id") % 1300).cast("string")), "UTF-8").alias("key")).repartition(3)
+    keys = df.select("key", F.col("book_id").alias("low"), F.lit(1).alias("n"))
+    rounds = []
+    old = R._extensions
+    monkeypatch.setattr(R, "_extensions", lambda o: rounds.append(len(o)) or old(o))
+    bounds = R.splits(keys, 100)
+    assert len(rounds) <= 4 and bounds == sorted(set(bounds)) and len(bounds) > 30
+    got = {bytes(r["key"]): (r["low"], r["n"]) for r in R.groups(df, capacity=100).collect()}
+    assert len(got) == 1300 and got[(lead + "7").encode()] == (7, 4) and sum(n for _, n in got.values()) == 4000
