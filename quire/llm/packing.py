@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.runtime import arrow_map, checkpointed, collect_bounded, spread, table, tune
+from quire.runtime import BROADCAST_BYTES, checkpointed, collect_bounded, spread, table, tune
 
 #: Where the vocabulary files lie, and which file stands for which named tokenizer. The vocabulary of ``cl100k_base`` is not among
 #: the public files here; the multilingual byte-level vocabulary stands for it.
@@ -242,23 +242,35 @@ def packed(spark, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
         rows += [(k["container_id"], *x) for x in got]
         if hist.get(k["container_id"], {}).get(0):
             rows.append((k["container_id"], 0, 0, hist[k["container_id"]][0] - 1, 0, hist[k["container_id"]][0]))
-    by_size: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+    return placed(r, rows)
+
+
+def placed(r: DataFrame, rows: list[tuple[int, int, int, int, int, int]]) -> DataFrame:
+    """The container of each ranked piece, by joins on numbers alone.
+
+    ``rows`` are ranges (container_id, size, first rank, last rank, first container, pieces of that size in each container). Ranks of a size are cut into blocks about as long as its mean range,
+    each range is listed under its blocks, and a piece meets the ranges of its own block only. Both lists are at most a few times the number of planned ranges, which follows from the
+    capacities, not from the number of texts; they are broadcast where their bytes allow.
+    """
+    spark = r.sparkSession
+    of: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
     for cid, size, lo, hi, base, per in rows:
-        by_size.setdefault((cid, size), []).append((lo, hi, base, per))
-    table_rows = [(c, s, [x[0] for x in v], [x[1] for x in v], [x[2] for x in v], [x[3] for x in v]) for (c, s), v in by_size.items()]
-    # one row for each length in use: at most the sum of the capacities, however many texts there are
-    ranks = spark.createDataFrame(table_rows, "c int, s bigint, lo array<bigint>, hi array<bigint>, base array<bigint>, per array<bigint>")
-    joined = r.join(F.broadcast(ranks), (r.container_id == ranks.c) & (r["size"] == ranks.s))
-
-    def place(b: pa.RecordBatch) -> pa.RecordBatch:
-        cid, doc, no, size, rank, lo, base, per = (b.column(b.schema.get_field_index(n)) for n in ("container_id", "doc_id", "piece_no", "size", "rank", "lo", "base", "per"))
-        bins = []
-        for k, l, bs, p in zip(rank.to_pylist(), lo.to_pylist(), base.to_pylist(), per.to_pylist()):
-            i = bisect.bisect_right(l, k) - 1
-            bins.append(bs[i] + (k - l[i]) // p[i])
-        return pa.RecordBatch.from_arrays([cid, doc, no, size, pa.array(bins, pa.int64())], names=["container_id", "doc_id", "piece_no", "size", "bin"])
-
-    return arrow_map(joined.select("container_id", "doc_id", "piece_no", "size", "rank", "lo", "base", "per"), place, schema)
+        of.setdefault((cid, size), []).append((lo, hi, base, per))
+    widths, blocks = [], []
+    for (cid, size), v in of.items():
+        width = max(1, (max(x[1] for x in v) + 1) // len(v))
+        widths.append((cid, size, width))
+        blocks += [(cid, size, k, *x) for x in v for k in range(x[0] // width, x[1] // width + 1)]
+
+    def side(data: list, schema: str) -> DataFrame:
+        t = spark.createDataFrame(data, schema)
+        return F.broadcast(t) if 8 * len(schema.split(",")) * len(data) <= BROADCAST_BYTES else t.hint("merge")
+
+    w = side(widths, "c int, s bigint, width bigint")
+    wide = r.join(w, (r["container_id"] == w["c"]) & (r["size"] == w["s"])).withColumn("block", F.expr("rank div width")).drop("c", "s", "width")
+    t = side(blocks, "c int, s bigint, k bigint, lo bigint, hi bigint, base bigint, per bigint")
+    met = wide.join(t, (wide["container_id"] == t["c"]) & (wide["size"] == t["s"]) & (wide["block"] == t["k"]) & (wide["rank"] >= t["lo"]) & (wide["rank"] <= t["hi"]))
+    return met.select("container_id", "doc_id", "piece_no", "size", F.expr("base + (rank - lo) div per").alias("bin"))
 
 
 def p8_pack(spark, sf_dir: str) -> DataFrame:

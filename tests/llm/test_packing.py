@@ -51,3 +51,22 @@ def test_counts_match_the_tokenizer():
     c = K.counter(("cl100k_base", "gpt2"), K.TOKENIZERS)
     for t in ("", "Hello world's  end\n\n x", "Привет ёж 123", "a" * 500, "<|endoftext|>"):
         assert c.counts(t) == [len(e(t)) for e in c.encode]
+
+
+def test_ranges_are_met_by_blocks(spark):
+    import random
+
+    r = random.Random(1)
+    patterns, sizes = [], Counter()
+    for _ in range(60):
+        combo, times = tuple(r.choice((3, 5, 9)) for _ in range(r.randrange(1, 5))), r.choice((1, 2, 40))
+        patterns.append((combo, times))
+        sizes.update({x: k * times for x, k in Counter(combo).items()})
+    rows, bins = K.ranges(patterns)
+    pieces = spark.createDataFrame([(1, 100 * x + i, 1, x, i) for x, n in sizes.items() for i in range(n)], "container_id int, doc_id bigint, piece_no int, size bigint, rank bigint")
+    got = K.placed(pieces, [(1, *x) for x in rows]).collect()
+    assert len(got) == sum(sizes.values())
+    held: dict = {}
+    for x in got:
+        held.setdefault(x["bin"], []).append(x["size"])
+    assert sorted(tuple(sorted(v)) for v in held.values()) == sorted(tuple(sorted(c)) for c, t in patterns for _ in range(t)) and len(held) == bins
