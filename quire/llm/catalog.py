@@ -12,6 +12,7 @@ def queries() -> dict:
         "p4_found": lookalike.p4_found,
         "p4_unify": lookalike.p4_unify,
         "p5_found": markup.p5_found,
+        "p5_kinds": markup.p5_kinds,
         "p5_clean": markup.p5_clean,
         "p6_found": names.p6_found,
         "p6_links": names.p6_links,

@@ -58,10 +58,10 @@ _HEAD = re.compile(r"^\W*(?:chapter|chapitre|kapitel|cap[ií]tulo|capitolo|hoofd
 _FRAME = re.compile(r"^\s*(?:\*{2,}.*|(?:title|author|language|release date|produced by|translator|editor|character set encoding)\s*:.*|(?:end|start) of (?:the|this) project.*)$", re.I)
 _ENTRY = re.compile(r"^\s*(?:\[\d+\]|[IVXLCDM]+\.|\d+[.)]|[-*•])\s+")
 _LEADER = re.compile(r"[\s.…—–\-]*\d+\s*$")
-_QUOTE = re.compile(r"[“„][^“”„\"\n]{0,160}[”“\"]|«[^«»\n]{0,160}»|\"[^\"\n]{0,160}\"|‘[^‘’\n]{12,160}’")
+_QUOTE = re.compile(r"[“„][^“”„\"\n]*[”“\"]|«[^«»\n]*»|\"[^\"\n]*\"|‘[^‘’\n]{12,}’")
 _SPEAKER = re.compile(r"^[^\W\d_a-zа-я]{3,24}:\s+")
 _END = re.compile(r"\n|(?<=[.!?…])[\"”»’)]*\s+(?:[—–/|\-]+\s+)?(?=[\"“«„(\[]?[^\W\d_])")
-_ASIDE = re.compile(r"\([^()\n]{0,120}\)|\[[^\[\]\n]{0,120}\]")
+_ASIDE = re.compile(r"\([^()\n]*\)|\[[^\[\]\n]*\]")
 #: Two capitalised words in a row: a personal name far more often than anything else, and of no language.
 _NAMES = re.compile(r"\b[A-ZÀ-ÖØ-ÞĄĆĘŁŃÓŚŹŻ][a-zß-öø-ÿąćęłńśźż]+ [A-ZÀ-ÖØ-ÞĄĆĘŁŃÓŚŹŻ][a-zß-öø-ÿąćęłńśźż]+\b")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -267,7 +267,7 @@ def trained(documents: DataFrame) -> Network | None:
     """The network fitted on the bounded sample of ``documents``.
 
     A first pass counts the rows of each label from the labels alone; the second takes the rows whose hash lies below their label's share, and only their
-    sampled sentences come to the driver, however many partitions there are. The limit only guards against many equal rows.
+    sampled sentences come to the driver, however many partitions there are; repeated rows come once.
     """
     lab = documents.withColumn("code", code_of(F.col("lang"))).where("code is not null")
     counts = {r["code"]: r["count"] for r in lab.groupBy("code").count().collect()}
@@ -280,9 +280,15 @@ def trained(documents: DataFrame) -> Network | None:
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([sampled(t) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], names=["doc_id", "code", "sentences"])
 
-    rows = arrow_map(hit, kernel, "doc_id bigint, code string, sentences array<string>").limit(2 * (SAMPLE_DOCS + LABEL_DOCS * len(counts))).collect()
+    rows = arrow_map(hit, kernel, "doc_id bigint, code string, sentences array<string>").distinct().collect()
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["code"], r["sentences"]))
-    return fit_sentences([(r["sentences"], r["code"]) for r in rows])
+    return _fitted(tuple((tuple(r["sentences"]), r["code"]) for r in rows))
+
+
+@lru_cache(maxsize=4)
+def _fitted(rows: tuple) -> Network | None:
+    """The network of a sample; queries over the same sample share it."""
+    return fit_sentences([(list(s), c) for s, c in rows])
 
 
 def judge(net: Network, texts: list[str]) -> list[list[tuple[int, str, str, float, bool]]]:

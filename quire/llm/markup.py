@@ -5,8 +5,8 @@ the node of the largest sum is selected, and the smallest density on its path to
 outside links is kept wherever it stands. Text that a reader sees is then
 searched for residue of four kinds (HTML, Markdown, wiki, LaTeX) and rewritten: headings as ``#`` lines, items as ``-`` lines, code between fences, formulas between ``$``.
 
-Kinds are judged on all visible text; the density selection only decides which blocks of links the clean text leaves out, and if it would keep less than ``KEEP`` of the visible
-text the whole body is kept. Contents of ``pre`` and ``math`` are copied, never judged.
+Kinds are judged on the main text that the selection finds and on the rest that it leaves out, each for itself, as markup counts wherever a reader sees it; the clean text leaves
+that rest out. If the selection would keep less than ``KEEP`` of the visible text the whole body is main text. Contents of ``pre`` and ``math`` are copied, never judged.
 
 Defined results: null and blank values give no row; a page without tags is text; unclosed and stray tags are tolerated; a value may hold several kinds; signs used as
 ordinary text (comparisons, prices, products, file paths, editorial brackets) are no markup; extra columns are ignored.
@@ -37,35 +37,37 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:_-]
 _RAW = re.compile(r"</(script|style)\s*>", re.I)
 
 _TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9:]*(?:\s+[A-Za-z_:][\w:.-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))?)*\s*/?>|<!--")
-_ESCAPED = re.compile(r"&lt;/?[A-Za-z!][^<>]{0,200}?&gt;")
+_ESCAPED = re.compile(r"&lt;/?[A-Za-z!](?:[^<>&]|&(?!lt;|gt;))*&gt;")
 _REF = re.compile(r"&(#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 _SPECIAL = re.compile(r"[<&*_\[\]{}\\$`#~|=]|''|(?:^|\n)[ \t]*[>\-+] ")
 _MARKDOWN = [
     re.compile(p, re.M)
     for p in (
-        r"(?<![\w*])\*\*(?=[^\s*])[^*\n]{1,400}?(?<=[^\s*])\*\*(?![\w*])",
-        r"(?<![\w_])__(?!(?:NO)?[A-Z]{2,}__)(?=[^\s_])[^_\n]{1,400}?(?<=[^\s_])__(?![\w_])",
-        r"(?<![\w*])\*(?=[^\s*])[^*\n]{1,200}?(?<=[^\s*])\*(?![\w*])",
-        r"(?<![\w_])_(?=[^\s_])[^_\n]{1,200}?(?<=[^\s_])_(?![\w_])",
-        r"(?<!~)~~(?=[^\s~])[^~\n]{1,400}?(?<=[^\s~])~~(?!~)",
-        r"!?\[[^\]\n]{0,300}\]\([^)\s]{1,500}(?:\s+\"[^\"]*\")?\)",
-        r"(?<!`)`(?=[^`\s])[^`\n]{1,200}?(?<=[^`\s])`(?![`'])",
+        r"(?<![\w*])\*\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*\*(?![\w*])",
+        r"(?<![\w_])__(?!(?:NO)?[A-Z]{2,}__)(?=[^\s_])[^_\n]+?(?<=[^\s_])__(?![\w_])",
+        r"(?<![\w*])\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*(?![\w*])",
+        r"(?<![\w_])_(?=[^\s_])[^_\n]+?(?<=[^\s_])_(?![\w_])",
+        r"(?<!~)~~(?=[^\s~])[^~\n]+?(?<=[^\s~])~~(?!~)",
+        r"!?\[[^\[\]\n]*\]\([^()\s]+(?:\([^()\s]*\)[^()\s]*)*(?:\s+\"[^\"]*\")?\)",
+        r"(?<!`)`(?=[^`\s])[^`\n]+?(?<=[^`\s])`(?![`'])",
         r"^[ \t]*(?:```|~~~)",
         r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*$|^[ \t]*\|[ \t]*:?-{3,}:?[ \t]*\|[ \t]*$",
         r"^[^\s=\-|][^\n]*\n(?:={3,}|-{3,})[ \t]*$",
         r"^#{1,6} +\S",
         r"^> ?\S",
-        r"^\[[^\]\n]{1,60}\]:\s+\S+",
+        r"^\[[^\[\]\n]+\]:\s+\S+",
     )
 ]
 _DASHED = re.compile(r"^[ \t]*[-+] +\S[^\n]*\n(?:[ \t]*\n)?[ \t]*[-+] +\S", re.M)
 _STARRED = re.compile(r"^[ \t]*\* +\S", re.M)
+#: A template without another one inside; nested ones are found, and taken away, from the inside out.
+TEMPLATE = r"\{\{(?>[^{}]+|\{[^{}]*\}|\{(?!\{)|\}(?!\}))++\}\}"
 _WIKI = [
     re.compile(p, re.M)
     for p in (
-        r"(?:(?<=[\s(\"“«>])|^)'{2,5}(?=[^\s'])[^\n]{1,600}?(?<=[^\s'])'{2,5}(?!\w|')",
-        r"\[\[[^\[\]\n]{1,300}\]\]",
-        r"\{\{[^{}]{1,800}\}\}",
+        r"(?:(?<=[\s(\"“«>])|^)'{2,5}(?=[^\s'])(?:[^'\n]|'(?!'))+?(?<=[^\s'])'{2,5}(?!\w|')",
+        r"\[\[[^\[\]\n]+\]\]",
+        TEMPLATE,
         r"^[ \t]*\{\|",
         r"^(={2,6}) *[^=\n][^\n]*?[^=\n]? *\1[ \t]*$",
         r"__(?:NO)?(?:TOC|FORCETOC|EDITSECTION|INDEX|GALLERY)[A-Z]*__",
@@ -77,10 +79,10 @@ _LATEX = [
     for p in (
         r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{",
         r"\\(?:item|ldots|dots|par|noindent|maketitle|sum|int|frac|alpha|beta|gamma|cdot|times|infty|sqrt|textbf|emph|LaTeX|TeX|hline|newline|quad|clearpage|newpage|bigskip|medskip)\b",
-        r"\\\[[^\n]{1,600}?\\\]|\\\([^\n]{1,400}?\\\)",
-        r"(?<![\w$\\])\$(?=[^\s$])(?=[^$\n]{0,200}[\\^_=+])[^$\n]{1,200}?(?<=[^\s$])\$(?![\w$])",
-        r"\$\$[^$]{1,600}\$\$",
-        r"(?<!`)``(?=[^\s`])[^`\n]{1,600}?''",
+        r"\\\[(?:[^\\\n]|\\(?![\[\]])|\n(?!\s*\n))+?\\\]|\\\((?:[^\\\n]|\\(?![()])|\n(?!\s*\n))+?\\\)",
+        r"(?<![\w$\\])\$(?=[^\s$])(?=[^$\n]*[\\^_=+])[^$\n]+?(?<=[^\s$])\$(?![\w$])",
+        r"\$\$[^$]+\$\$",
+        r"(?<!`)``(?=[^\s`])(?:[^`'\n]|'(?!'))+?''",
         r"\\['`^\"~=.](?:\{[A-Za-z]\}|[A-Za-z])",
     )
 ]
@@ -195,6 +197,25 @@ class Page:
             out.append(html.unescape(text) if "&" in text else text)
         return "".join(out)
 
+    def parts(self) -> list[tuple[bool, str]]:
+        """The visible text in order, cut where main text and blocks that the density selection leaves out meet: (whether it is main text, text)."""
+        keep = self.kept()
+        if len(keep) == len(self.tag):
+            return [(True, self.visible())]
+        out: list[tuple[bool, list[str]]] = []
+        last = None
+        for node, text, raw, _ in self.pieces:
+            if raw:
+                continue
+            main, b = node in keep, self.block(node)
+            if not out or out[-1][0] != main:
+                out.append((main, []))
+            elif b != last or self.tag[node] == "br":
+                out[-1][1].append("\n")
+            last = b
+            out[-1][1].append(html.unescape(text) if "&" in text else text)
+        return [(m, "".join(t)) for m, t in out]
+
     def kept(self) -> set[int]:
         """Nodes of the main text: all but blocks of links thinner than the threshold, the smallest density on the path of the largest density sum."""
         n = len(self.tag)
@@ -278,6 +299,14 @@ class Page:
 _ACCENT = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u0303", "=": "\u0304", ".": "\u0307"}
 
 
+def _until_same(pattern: str, to: str, t: str) -> str:
+    """Replaced again until nothing is left to replace: each round takes the innermost ones."""
+    n = 1
+    while n:
+        t, n = re.subn(pattern, to, t)
+    return t
+
+
 def _from_latex(t: str) -> str:
     import unicodedata
 
@@ -297,8 +326,7 @@ def _from_latex(t: str) -> str:
     t = re.sub(r"[ \t]*\\item\b[ \t]*", "- ", t)
     t = re.sub(r"\\l?dots\b(?:\{\})?", "…", t)
     t = re.sub(r"\s*\\(?:cite|ref|label|footnote|index)\w*\*?(?:\[[^\]]*\])?\{[^{}]*\}", "", t)
-    for _ in range(3):
-        t = re.sub(r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", t)
+    t = _until_same(r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", t)
     t = re.sub(r"``(.+?)''", r"“\1”", t)
     t = t.replace("---", "—").replace("~", " ") if "\\" in t or held or "---" in t else t
     t = re.sub(r"\\([%&$#_{}])", r"\1", t)
@@ -307,7 +335,7 @@ def _from_latex(t: str) -> str:
 
 def _from_wiki(t: str) -> str:
     t = re.sub(r"__(?:NO)?[A-Z]{2,}__\n?", "", t)
-    t = re.sub(r"\{\{[^{}]*\}\}\n?", "", t)
+    t = _until_same(TEMPLATE + r"\n?", "", t)
     t = re.sub(r"\[\[(?:Category|File|Image):[^\[\]]*\]\]", "", t, flags=re.I)
     t = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", t)
     t = re.sub(r"\[(?:https?|ftp)://\S+ ([^\]\n]+)\]", r"\1", t)
@@ -350,9 +378,13 @@ def rewrite(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
-def residue(field: str, value: str) -> list[str]:
-    """The kinds of markup in a field's value, as its reader sees it."""
-    return kinds(Page(value).visible() if field == "html" else value)
+def residue(field: str, value: str) -> list[tuple[str, bool]]:
+    """(kind, whether the main text holds it) of the markup in a field's value, as its reader sees it: the main text is judged first, then what the selection leaves out."""
+    found: dict[str, bool] = {}
+    for main, text in Page(value).parts() if field == "html" else [(True, value)]:
+        for k in kinds(text):
+            found[k] = found.get(k, False) or main
+    return sorted(found.items())
 
 
 def cleaned(field: str, value: str) -> str:
@@ -360,14 +392,14 @@ def cleaned(field: str, value: str) -> str:
 
 
 def _found_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
-    rows: tuple[list, list, list] = ([], [], [])
+    rows: tuple[list, ...] = ([], [], [], [])
     for book, desc, page in zip(*(c.to_pylist() for c in b.columns)):
         for field, v in (("description", desc), ("html", page)):
             if v and not v.isspace():
-                for k in residue(field, v):
-                    for o, x in zip(rows, (book, field, k)):
+                for k, main in residue(field, v):
+                    for o, x in zip(rows, (book, field, k, main)):
                         o.append(x)
-    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], names=["book_id", "field", "markup"])
+    return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.string(), pa.string(), pa.bool_()))], names=["book_id", "field", "markup", "main"])
 
 
 def _clean_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -380,10 +412,15 @@ def _clean_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], names=["book_id", "field", "clean_text"])
 
 
-def p5_found(spark, sf_dir: str) -> DataFrame:
-    """The values that hold markup, with its kinds; one narrow pass without any shuffle."""
+def p5_kinds(spark, sf_dir: str) -> DataFrame:
+    """The values that hold markup, with its kinds and whether the main text holds it; one narrow pass without any shuffle."""
     tune(spark, 1000)
-    return arrow_map(spread(table(spark, sf_dir, "books").select("book_id", "description", "html")), _found_kernel, "book_id bigint, field string, markup string")
+    return arrow_map(spread(table(spark, sf_dir, "books").select("book_id", "description", "html")), _found_kernel, "book_id bigint, field string, markup string, main boolean")
+
+
+def p5_found(spark, sf_dir: str) -> DataFrame:
+    """The values that hold markup, with its kinds."""
+    return p5_kinds(spark, sf_dir).select("book_id", "field", "markup")
 
 
 def p5_clean(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ def test_kinds(text, want):
 
 def test_pages():
     page = "<html><head><title>**t**</title></head><body><h2>Head</h2><p>Text <b>b</b> &lt;i&gt;x&lt;/i&gt;</p><pre>**code**</pre><math><mi>x_1_</mi></math><ul><li>a<li>b</ul></body>"
-    assert M.residue("html", page) == ["html"]
+    assert M.residue("html", page) == [("html", True)]
     clean = M.cleaned("html", page)
     assert "## Head" in clean and "```\n**code**\n```" in clean and "- a\n- b" in clean and "<i>" not in clean and "$x_1_$" in clean
     nav = "<div>" + "<a href='x'>link to somewhere</a> " * 30 + "</div><div><p>" + "The main text is long and dense with words. " * 40 + "</p></div>"
@@ -44,3 +44,38 @@ def test_rows(spark, make):
     d = make(books=[{"book_id": 1, "description": "**a** b", "html": None}, {"book_id": 2, "description": " ", "html": long}, {"book_id": 3, "description": None, "html": ""}, {"book_id": 1, "description": "x", "html": "y"}])
     assert rows(M.p5_found(spark, d), "book_id", "field", "markup") == [(1, "description", "markdown"), (2, "html", "markdown")]
     assert M.p5_clean(spark, d).count() == 4 and M.p5_found(spark, make(books=[])).count() == 0
+
+
+def test_long_and_nested_markup_is_found_and_cleaned():
+    long = "word " * 400
+    for text, kind in ((f"**{long}x**", "markdown"), (f"[{long}](http://x)", "markdown"), (f"{{{{Box|{long}|{{{{in|ner}}}}|{{a}}}}}} x", "wiki"), (f"''{long}x''", "wiki"), (f"[[{long}x]]", "wiki"), (f"$${long}$$", "latex"), (f"``{long}x'' y", "latex"), (f"\\[ a +\n {long} \\]", "latex"), (f"&lt;p title=\"{long}\"&gt;x", "html")):
+        assert kind in M.kinds(text), text[:20]
+    assert M.rewrite(f"{{{{Box|{long}|{{{{in|ner}}}}|{{a}}}}}} x") == "x" and M.rewrite("\\a{\\b{\\c{\\d{\\e{x}}}}} \\emph{y}") == "x y"
+    for bad in ("[" * 20_000, "``" + "a" * 30_000, "$" + "a=" * 20_000, "''" * 3 + " a" * 20_000, "\\[" * 5000, "{{" * 10_000, "&lt;a " * 5000):
+        M.kinds(bad)
+
+
+def test_markup_outside_the_main_text_counts():
+    nav = "<div>" + "<a href='x'>link **to** somewhere</a> " * 30 + "</div><div><p>" + "The main text is long and dense with words. " * 40 + "</p></div>"
+    assert M.residue("html", nav) == [("markdown", False)] and M.residue("html", nav + "<p>''x''</p>") == [("markdown", False), ("wiki", True)]
+
+
+def test_structure_of_planted_pages():
+    import random
+
+    r = random.Random(3)
+    total = right = 0
+    for _ in range(60):
+        want, body = [], []
+        for k in range(r.randrange(3, 9)):
+            kind, text = r.choice(("h", "p", "li", "pre", "math")), " ".join(r.choice("the old mill keeper told a long story of rain".split()) for _ in range(r.randrange(3, 30))) + f" {k}"
+            level = r.randrange(1, 5)
+            body.append({"h": f"<h{level}>{text}</h{level}>", "p": f"<p>{text}</p>", "li": f"<ul><li>{text}</li></ul>", "pre": f"<pre>{text}</pre>", "math": f"<p><math><mi>{text}</mi></math></p>"}[kind])
+            want.append({"h": "#" * level + " " + text, "p": text, "li": "- " + text, "pre": text, "math": f"${text}$"}[kind])
+        links = "<div class='nav'>" + "".join(f"<a href='{i}'>go {i}</a> " for i in range(12)) + "</div>"
+        clean = M.cleaned("html", f"<html><body>{links}{''.join(body)}{links}</body></html>")
+        got = clean.split("\n")
+        total += len(want)
+        right += sum(w in got for w in want)
+        assert "go 3" not in clean or sum(map(len, want)) < 150
+    assert right >= 0.99 * total
