@@ -1,8 +1,9 @@
 """Problem 1: text garbled by a wrong character encoding is found and restored.
 
-Every distinct corpus word with a character beyond ASCII is written under each charset and read under each other one (singly, twice over, and with
-undecodable bytes replaced); the garbled forms are hash-joined with the words of the corpus. A form that the corpus holds is evidence that a value
-holding it was decoded wrongly, and the word it came from is the verified original that replaces it.
+Every distinct corpus word with a character beyond ASCII is written under each charset and read under each other one (singly, twice and, for the commonest charsets, three times over, and with
+undecodable bytes dropped or replaced); the garbled forms are hash-joined with the words of the corpus. A form that the corpus holds is evidence that a value
+holding it was decoded wrongly, and the word it came from is the verified original that replaces it. A chain of charsets of one byte a character maps each byte of a word to a
+fixed string, so a form is one table translation. Words have hundreds of forms, nearly all of which no text holds: a Bloom filter over the vocabulary drops them where they are made.
 
 Words are maximal runs of letters and characters beyond ASCII; the runs beyond ASCII inside a word are words too, so a rare name with a garbled
 letter is still found. Forms of charsets with one byte a character are evidence only if the original is the more frequent word, and short ones only
@@ -18,18 +19,24 @@ import html
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.runtime import arrow_map, checkpointed, small_or_shuffled, spread, table, tune
+from quire.runtime import BROADCAST_BYTES, arrow_map, byte_size, checkpointed, small_or_shuffled, spread, table, tune
 
 # Charsets that text is misread under, and groups of charsets of one byte a character.
-MISREAD_UTF8 = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1254", "cp437", "cp850", "cp852", "cp866", "mac_roman", "koi8_r", "iso8859_2", "iso8859_15", "iso8859_5", "mac_cyrillic")
+MISREAD_UTF8 = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1254", "cp437", "cp850", "cp852", "cp866", "mac_roman", "koi8_r", "iso8859_2", "iso8859_15", "iso8859_5", "mac_cyrillic", "cp1253", "cp1257", "iso8859_7")
+#: Charsets of several bytes a character, tried once.
+WIDE = ("gbk", "big5", "cp932", "euc_kr")
 TWICE = tuple((a, b) for a in MISREAD_UTF8 for b in MISREAD_UTF8)
 #: Double misreads that are common; an original under any other pair gives way to one under a likelier chain.
 COMMON = (("cp1252", "cp1252"), ("latin-1", "latin-1"), ("latin-1", "cp1252"), ("cp1252", "latin-1"), ("cp1251", "cp1251"), ("cp1250", "cp1250"), ("cp1251", "cp1252"), ("cp1252", "cp1251"))
-RARE = [f"utf-8>{a}>utf-8>{b}{end}" for a, b in TWICE if (a, b) not in COMMON for end in ("", "?")]
+#: Threefold misreads that are tried.
+THRICE = tuple((a, b, c) for a in ("cp1252", "latin-1") for b in ("cp1252", "latin-1") for c in ("cp1252", "latin-1")) + tuple((c,) * 3 for c in ("cp1250", "cp1251", "mac_roman"))
+RARE = [x + end for end in ("", "?") for x in (*(f"utf-8>{a}>utf-8>{b}" for a, b in TWICE if (a, b) not in COMMON), *("utf-8>" + ">utf-8>".join(t) for t in THRICE), *(f"utf-8>{c}" for c in WIDE))]
 LATIN = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2")
 CYRILLIC = ("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic")
 #: Letters that matched words of single-byte chains must have together in one value.
@@ -83,6 +90,21 @@ def _write(text: str, charset: str) -> bytes | None:
         return None
 
 
+@lru_cache(maxsize=1)
+def chains() -> list[tuple[str, dict[int, str], dict[int, str] | None, frozenset[int]]]:
+    """(name, byte to string, the same with what the last charset cannot read left out, bytes where the two differ) of every chain of misreads of UTF-8."""
+    out = []
+    for chain in (*((c,) for c in MISREAD_UTF8), *TWICE, *THRICE):
+        full = [bytes([b]) for b in range(256)]
+        for c in chain[:-1]:
+            full = [_read(x, c).encode("utf-8") for x in full]
+        whole = {b: _read(x, chain[-1]) for b, x in enumerate(full)}
+        lossy = {b: _read(x, chain[-1], True) for b, x in enumerate(full)}
+        differ = frozenset(chr(b) for b in range(256) if whole[b] != lossy[b])
+        out.append(("".join(f">utf-8>{c}" for c in chain)[1:], whole, lossy if differ else None, differ))
+    return out
+
+
 def forms(word: str) -> list[tuple[str, str, bool]]:
     """(garbled form, chain, strong) of one word, without repeats; strong chains misread several bytes as several characters."""
     out: dict[str, tuple[str, bool]] = {}
@@ -92,14 +114,18 @@ def forms(word: str) -> list[tuple[str, str, bool]]:
         if form and form != word and form not in out and not form.isascii() and not (chain.endswith("?") and len(form) <= len(word)):
             out[form] = (chain, strong)
 
-    u8 = word.encode("utf-8", "ignore")
-    for c in MISREAD_UTF8:
-        add(_read(u8, c), f"utf-8>{c}", True)
-        add(_read(u8, c, True), f"utf-8>{c}?", True)
-    once = {c: _read(u8, c).encode("utf-8") for c in MISREAD_UTF8}
-    for a, b in TWICE:
-        add(_read(once[a], b), f"utf-8>{a}>utf-8>{b}", True)
-        add(_read(once[a], b, True), f"utf-8>{a}>utf-8>{b}?", True)
+    raw = word.encode("utf-8", "ignore")
+    u8 = raw.decode("latin-1")
+    held = set(u8)
+    for name, whole, lossy, differ in chains():
+        add(u8.translate(whole), name, True)
+        if lossy is not None and not held.isdisjoint(differ):
+            add(u8.translate(lossy), name + "?", True)
+    for c in WIDE:
+        read = raw.decode(c, "replace")
+        add(read, f"utf-8>{c}", True)
+        if "\ufffd" in read:
+            add(raw.decode(c, "ignore"), f"utf-8>{c}?", True)
     for group, other in ((LATIN, CYRILLIC), (CYRILLIC, LATIN)):
         for a in group:
             raw = _write(word, a)
@@ -165,22 +191,59 @@ def weight_of(form: str, word: str) -> int:
     return len(form) + SYMBOL * odd
 
 
-def _forms_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
-    out = ([], [], [], [], [], [])
-    for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-        if "�" in w or any("\x80" <= c < "\xa0" for c in w):
-            continue  # no clean word
-        for f, c, s in forms(w):
-            for o, x in zip(out, (f, w, n, c, s, weight_of(f, w))):
-                o.append(x)
-    kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=["form", "original", "n_original", "chain", "strong", "weight"])
+#: Bits of the filter over the vocabulary at most (16 MB), and distinct words from which a task makes forms.
+FILTER_BITS, WORDS_A_TASK = 1 << 27, 20_000
+
+
+def word_filter(vocab: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """(mask, packed bits): a Bloom filter of two bits a word, set in blocks that are built apart; the driver gets ``FILTER_BITS`` bits at most. More words only let more forms through."""
+    size = min(FILTER_BITS, 1 << max(16, (16 * n).bit_length()))
+    block = 1 << 16
+    h = F.xxhash64("word")
+    bit = F.explode(F.array(h.bitwiseAND(F.lit(size - 1)), F.shiftright(h, 32).bitwiseAND(F.lit(size - 1))))
+    bits = vocab.select(bit.alias("bit")).groupBy((F.col("bit") / block).cast("int").alias("block")).agg(F.collect_set((F.col("bit") % block).cast("int")).alias("set"))
+
+    def pack(b: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for at in b.column(1).to_pylist():
+            x = np.zeros(block, bool)
+            x[at] = True
+            out.append(np.packbits(x).tobytes())
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["block", "bits"])
+
+    whole = np.zeros(size // 8, np.uint8)
+    for r in arrow_map(bits, pack, "block int, bits binary").collect():
+        whole[r["block"] * (block // 8) : (r["block"] + 1) * (block // 8)] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return size - 1, whole
+
+
+def _forms_kernel(mask: int, held):
+    def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
+        bits = held.value
+        out = ([], [], [], [], [], [])
+        for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if "\ufffd" in w or any("\x80" <= c < "\xa0" for c in w):
+                continue  # no clean word
+            for f, c, s in forms(w):
+                h = xxhash.xxh64_intdigest(f.encode("utf-8", "replace"), 42)
+                x, y = h & mask, h >> 32 & mask
+                if bits[x >> 3] >> 7 - (x & 7) & 1 and bits[y >> 3] >> 7 - (y & 7) & 1:
+                    for o, v in zip(out, (f, w, n, c, s, weight_of(f, w))):
+                        o.append(v)
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=["form", "original", "n_original", "chain", "strong", "weight"])
+
+    return kernel
 
 
 def mapping(v: DataFrame) -> DataFrame:
     """(form, original, chain, strong): garbled words of the corpus with their originals, the most frequent original first and those of rare chains last."""
-    vocab = small_or_shuffled(vocabulary(v))
-    all_forms = arrow_map(vocab.select("word", "n"), _forms_kernel, "form string, original string, n_original bigint, chain string, strong boolean, weight int")
+    vocab = checkpointed(vocabulary(v))
+    n = vocab.count()
+    mask, bits = word_filter(vocab, n)
+    held = vocab.sparkSession.sparkContext.broadcast(bits)
+    tasks = max(vocab.sparkSession.sparkContext.defaultParallelism, -(-n // WORDS_A_TASK))
+    all_forms = arrow_map(vocab.select("word", "n").repartition(tasks, "word"), _forms_kernel(mask, held), "form string, original string, n_original bigint, chain string, strong boolean, weight int")
     hit = all_forms.join(vocab.withColumnRenamed("n", "n_form"), F.col("form") == F.col("word")).where("n_original > n_form or (strong and 3 * n_original >= n_form and length(form) > length(original))")
     best = hit.groupBy("form").agg(F.max(F.struct(F.col("strong").cast("int").alias("s"), (~F.col("chain").isin(*RARE)).cast("int").alias("likely"), "n_original", F.length("original").alias("len"), "original", "chain", "weight")).alias("b"))
     return best.select("form", F.col("b.original").alias("original"), F.col("b.chain").alias("chain"), (F.col("b.s") == 1).alias("strong"), F.col("b.weight").alias("weight"))
@@ -203,29 +266,78 @@ def p1_found(spark, sf_dir: str) -> DataFrame:
     return evidence(spread(table(spark, sf_dir, "books").select("book_id", *FIELDS))).select("book_id", "field")
 
 
+_WORD = re.compile(r"[A-Za-z\u0080-\U0010ffff]*[\u0080-\U0010ffff][A-Za-z\u0080-\U0010ffff]*")
+_RUN = re.compile(r"[\u0080-\U0010ffff]+")
+
+
+def restored(text: str, known: dict[str, str]) -> tuple[str, bool]:
+    """(the text with every known word replaced, whether no lost byte is left)."""
+    runs = re.compile("|".join(map(re.escape, sorted((k for k in known if not re.search("[A-Za-z]", k)), key=len, reverse=True))) or r"(?!)")
+
+    def fix(m: re.Match) -> str:
+        w = m[0]
+        return known[w] if w in known else runs.sub(lambda r: known[r[0]], w)
+
+    new = _WORD.sub(fix, text)
+    return new, "\ufffd" not in new
+
+
+def judged(text: str, m: dict[str, tuple[str, str, bool, int]]) -> dict[str, str] | None:
+    """The garbled words of one text with their originals, by the rule of ``evidence``; None for a text that is not garbled."""
+    words = set(_WORD.findall(text))
+    by: dict[tuple[str, bool], list] = {}
+    for w in words | {r for w in words for r in _RUN.findall(w)}:
+        if w in m:
+            original, chain, strong, weight = m[w]
+            by.setdefault((chain, strong), []).append((w, original, weight))
+    good = {w: o for (_, strong), got in by.items() if strong or sum(x[2] for x in got) >= WEIGHT for w, o, _ in got}
+    return good if good or any("\ufffd" in w for w in words) else None
+
+
+RESTORED = "book_id bigint, field string, restored string, n_words int, whole boolean"
+
+
+def _restored_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["book_id", "field", "restored", "n_words", "whole"])
+
+
 def _restore_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
     get = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()
-    out = ([], [], [], [], [])
-    word = re.compile(r"[A-Za-z\u0080-\U0010ffff]*[\u0080-\U0010ffff][A-Za-z\u0080-\U0010ffff]*")
+    rows = []
     for book, field, text, pairs in zip(get("book_id"), get("field"), get("text"), get("pairs")):
         known = {p["form"]: p["original"] for p in pairs}
-        runs = re.compile("|".join(map(re.escape, sorted((k for k in known if not re.search("[A-Za-z]", k)), key=len, reverse=True))) or r"(?!)")
-
-        def fix(m: re.Match) -> str:
-            w = m[0]
-            return known[w] if w in known else runs.sub(lambda r: known[r[0]], w)
-
-        new = word.sub(fix, unescaped(text))
-        for o, x in zip(out, (book, field, new, len(known), "�" not in new)):
-            o.append(x)
-    kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=["book_id", "field", "restored", "n_words", "whole"])
+        new, whole = restored(unescaped(text), known)
+        rows.append((book, field, new, len(known), whole))
+    return _restored_rows(rows)
 
 
 def p1_restore(spark, sf_dir: str) -> DataFrame:
-    """(book_id, field, restored, n_words, whole): garbled values with every word replaced whose original is verified; ``whole`` where no lost byte is left."""
+    """(book_id, field, restored, n_words, whole): garbled values with every word replaced whose original is verified; ``whole`` where no lost byte is left.
+
+    The mapping holds garbled words of the vocabulary, not of the texts: while its measured bytes allow, every worker gets it and judges and restores a value inside its row, so no text
+    is shuffled. Beyond that the evidence is joined with the texts.
+    """
     tune(spark)
     t = spread(table(spark, sf_dir, "books").select("book_id", *FIELDS))
+    v = checkpointed(values(t, "book_id", FIELDS))
+    m = checkpointed(mapping(v))
+    if m.agg(F.coalesce(F.sum(byte_size(m)), F.lit(0))).first()[0] <= BROADCAST_BYTES:
+        held = spark.sparkContext.broadcast({r["form"]: (r["original"], r["chain"], r["strong"], r["weight"]) for r in m.collect()})
+
+        def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
+            rows = []
+            for book, *texts in zip(*(c.to_pylist() for c in b.columns)):
+                for field, text in zip(FIELDS, texts):
+                    if not text or (text.isascii() and "&" not in text):
+                        continue
+                    text = unescaped(text)
+                    known = judged(text, held.value)
+                    if known is not None:
+                        rows.append((book, field, *restored(text, known), len(known)))
+            return _restored_rows([(b, f, new, n, whole) for b, f, new, whole, n in rows])
+
+        return arrow_map(t, kernel, RESTORED)
     e = evidence(t).select(F.col("book_id").alias("e_id"), "field", "pairs")
     texts = t.select("book_id", F.explode(F.create_map(*[x for f in FIELDS for x in (F.lit(f), F.col(f))])).alias("f", "text"))
-    return arrow_map(texts.join(e, (F.col("book_id") == F.col("e_id")) & (F.col("f") == F.col("field"))).select("book_id", "field", "text", "pairs"), _restore_kernel, "book_id bigint, field string, restored string, n_words int, whole boolean")
+    return arrow_map(texts.join(e, (F.col("book_id") == F.col("e_id")) & (F.col("f") == F.col("field"))).select("book_id", "field", "text", "pairs"), _restore_kernel, RESTORED)

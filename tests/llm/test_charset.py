@@ -50,3 +50,25 @@ def test_rarer_chains_are_found_and_restored(spark, make):
     assert rows(C.p1_found(spark, d), "book_id", "field") == [(i, "title") for i in range(3)]
     fixed = {r["book_id"]: r["restored"] for r in C.p1_restore(spark, d).collect()}
     assert fixed[1] == title and fixed[2] == title
+
+
+def test_chains_of_three_wide_charsets_and_both_ways_of_restoring(spark, make, monkeypatch):
+    title = "Le cœur répété de la forêt gelée où l’été"
+    three = title
+    for _ in range(3):
+        three = C._read(three.encode(), "cp1252")
+    wide = title.encode().decode("gbk", "replace")
+    clean = [{"book_id": 100 + i, "title": title, "html": f"<p>{title}</p>"} for i in range(5)]
+    d = make(books=[{"book_id": 1, "title": three, "html": "x"}, {"book_id": 2, "title": wide, "html": None}, {"book_id": 3, "title": "Ελλάδα".encode().decode("cp1253", "replace"), "html": "ε"}, *clean, *({"book_id": 200 + i, "title": "Ελλάδα", "html": None} for i in range(4))])
+    assert {(1, "title"), (2, "title"), (3, "title")} == set(rows(C.p1_found(spark, d), "book_id", "field"))
+    one = {tuple(r) for r in C.p1_restore(spark, d).collect()}
+    assert {r[0]: r[2] for r in one}[1] == title
+    monkeypatch.setattr(C, "BROADCAST_BYTES", -1)
+    assert {tuple(r) for r in C.p1_restore(spark, d).collect()} == one
+
+
+def test_filter_holds_every_word(spark):
+    words = [f"w{i}é" for i in range(3000)]
+    mask, bits = C.word_filter(spark.createDataFrame([(w,) for w in words], "word string"), len(words))
+    has = lambda w: all(bits[x >> 3] >> 7 - (x & 7) & 1 for h in [C.xxhash.xxh64_intdigest(w.encode(), 42)] for x in (h & mask, h >> 32 & mask))
+    assert all(map(has, words)) and sum(has(f"x{i}ü") for i in range(3000)) < 200
