@@ -30,6 +30,8 @@ from quire.runtime import BROADCAST_BYTES, checkpointed, collect_bounded, spread
 TOKENIZERS = "/opt/tokenizers"
 FILES = {"gpt2": "byte_bpe_50k.tiktoken", "cl100k_base": "byte_bpe_multi_50k.tiktoken"}
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Ranges of one size that are searched together.
+CHUNK = 64
 #: Distinct pre-tokens whose counts a Python worker remembers.
 MEMO = 300_000
 
@@ -246,31 +248,29 @@ def packed(spark, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
 
 
 def placed(r: DataFrame, rows: list[tuple[int, int, int, int, int, int]]) -> DataFrame:
-    """The container of each ranked piece, by joins on numbers alone.
+    """The container of each ranked piece, by joins and searches in arrays of numbers.
 
-    ``rows`` are ranges (container_id, size, first rank, last rank, first container, pieces of that size in each container). Ranks of a size are cut into blocks about as long as its mean range,
-    each range is listed under its blocks, and a piece meets the ranges of its own block only. Both lists are at most a few times the number of planned ranges, which follows from the
-    capacities, not from the number of texts; they are broadcast where their bytes allow.
+    ``rows`` are ranges (container_id, size, first rank, last rank, first container, pieces of that size in each container). The ranges of a size lie in chunks of ``CHUNK``: a piece
+    finds its chunk among the first ranks of the chunks, and its range in the chunk. Both lists hold a few numbers for each planned range, and ranges follow from the capacities, not from
+    the number of texts; they are broadcast where their bytes allow.
     """
     spark = r.sparkSession
-    of: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
-    for cid, size, lo, hi, base, per in rows:
-        of.setdefault((cid, size), []).append((lo, hi, base, per))
-    widths, blocks = [], []
-    for (cid, size), v in of.items():
-        width = max(1, (max(x[1] for x in v) + 1) // len(v))
-        widths.append((cid, size, width))
-        blocks += [(cid, size, k, *x) for x in v for k in range(x[0] // width, x[1] // width + 1)]
-
-    def side(data: list, schema: str) -> DataFrame:
-        t = spark.createDataFrame(data, schema)
-        return F.broadcast(t) if 8 * len(schema.split(",")) * len(data) <= BROADCAST_BYTES else t.hint("merge")
+    of: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for cid, size, lo, _, base, per in sorted(rows):
+        of.setdefault((cid, size), []).append((lo, base, per))
+    chunks = [(cid, size, k, v[k * CHUNK : (k + 1) * CHUNK]) for (cid, size), v in of.items() for k in range(-(-len(v) // CHUNK))]
+    heads = [(cid, size, [x[0] for x in v[::CHUNK]]) for (cid, size), v in of.items()]
 
-    w = side(widths, "c int, s bigint, width bigint")
-    wide = r.join(w, (r["container_id"] == w["c"]) & (r["size"] == w["s"])).withColumn("block", F.expr("rank div width")).drop("c", "s", "width")
-    t = side(blocks, "c int, s bigint, k bigint, lo bigint, hi bigint, base bigint, per bigint")
-    met = wide.join(t, (wide["container_id"] == t["c"]) & (wide["size"] == t["s"]) & (wide["block"] == t["k"]) & (wide["rank"] >= t["lo"]) & (wide["rank"] <= t["hi"]))
-    return met.select("container_id", "doc_id", "piece_no", "size", F.expr("base + (rank - lo) div per").alias("bin"))
+    def side(data: list, schema: str, numbers: int) -> DataFrame:
+        t = spark.createDataFrame(data, schema)
+        return F.broadcast(t) if 8 * numbers + 100 * len(data) <= BROADCAST_BYTES else t.hint("merge")
+
+    found = lambda a, x: f"size(filter({a}, x -> x <= {x}))"
+    h = side(heads, "c int, s bigint, heads array<bigint>", len(chunks))
+    wide = r.join(h, (r["container_id"] == h["c"]) & (r["size"] == h["s"])).select("container_id", "doc_id", "piece_no", "size", "rank", F.expr(found("heads", "rank") + " - 1").alias("chunk"))
+    t = side([(c, s, k, [x[0] for x in v], [x[1] for x in v], [x[2] for x in v]) for c, s, k, v in chunks], "c int, s bigint, k int, lo array<bigint>, base array<bigint>, per array<bigint>", 3 * len(rows))
+    met = wide.join(t, (wide["container_id"] == t["c"]) & (wide["size"] == t["s"]) & (wide["chunk"] == t["k"])).withColumn("i", F.expr(found("lo", "rank")))
+    return met.select("container_id", "doc_id", "piece_no", "size", F.expr("base[i - 1] + (rank - lo[i - 1]) div per[i - 1]").alias("bin"))
 
 
 def p8_pack(spark, sf_dir: str) -> DataFrame:

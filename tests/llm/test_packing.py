@@ -53,9 +53,10 @@ def test_counts_match_the_tokenizer():
         assert c.counts(t) == [len(e(t)) for e in c.encode]
 
 
-def test_ranges_are_met_by_blocks(spark):
+def test_ranges_are_met_by_chunks(spark, monkeypatch):
     import random
 
+    monkeypatch.setattr(K, "CHUNK", 3)
     r = random.Random(1)
     patterns, sizes = [], Counter()
     for _ in range(60):
