@@ -147,3 +147,9 @@ def sniff_image(data: Column) -> Column:
         .when((F.octet_length(data) >= 12) & (at(1, 4) == hexed("52494646")) & (at(9, 4) == hexed("57454250")), F.lit("webp"))
         .otherwise(F.lit(""))
     )
+
+
+def wrapped_most(text: Column, width: int, most: int) -> Column:
+    """``wrapped``, but at most ``most`` lines: where more would follow, the last ends with a blank and an ellipsis."""
+    lines = F.split(wrapped(text, width), "\n")
+    return F.when(F.size(lines) > most, F.concat(F.array_join(F.slice(lines, 1, most), "\n"), F.lit(" …"))).otherwise(F.array_join(lines, "\n"))

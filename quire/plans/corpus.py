@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import layout as L
 from quire.functions import scalars as S
-from quire.runtime import table
+from quire.runtime import ranked, table
 from quire.sources.pages import END as _END, KEYWORD as _KEYWORD, ROMAN as _ROMAN, START as _START
 
 QUERIES: dict = {}
@@ -173,11 +173,11 @@ def allow_list(spark, d) -> DataFrame:
 
 
 @query("""with k as (select book_id, folder_id, file_path, array_to_string(list_transform(regexp_extract_all(lower(regexp_extract(file_path, '([^/]*)$', 1)), '\\d+|\\D'), lambda t: case when regexp_matches(t, '^\\d') then '0' || lpad(cast(length(regexp_replace(t, '^0+(\\d)', '\\1')) as varchar), 9, '0') || regexp_replace(t, '^0+(\\d)', '\\1') else t end), '') as key from books)
-  select book_id, cast(row_number() over (partition by folder_id order by key, file_path) as int) as place from k""")
+  select book_id, cast(row_number() over (partition by folder_id order by key, file_path, book_id) as int) as place from k""")
 def natural_order(spark, d) -> DataFrame:
     """The files of each folder in natural order: digit runs by value, then by the raw name."""
     k = table(spark, d, "books").select("book_id", "folder_id", "file_path", S.natural_key(S.base_name(F.col("file_path"))).alias("key"))
-    return k.select("book_id", F.row_number().over(Window.partitionBy("folder_id").orderBy("key", "file_path")).alias("place"))
+    return ranked(k, "folder_id", ["key", "file_path", "book_id"], "place").select("book_id", "place")
 
 
 # ---- options -----------------------------------------------------------------------------------------------------------------
@@ -432,10 +432,17 @@ def block_kinds(spark, d) -> DataFrame:
   select book_id, cast(pos as int) as pos, cast(greatest(depth, 1) as int) as depth from s where regexp_matches(tag, '^<li')""")
 def list_depth(spark, d) -> DataFrame:
     """The nesting of every list item: a running sum over list tags, one at least."""
-    t = table(spark, d, "books").where("html is not null").select("book_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"</?(?:ul|ol|li)\b[^>]*>"), F.lit(0))).alias("p", "tag"))
-    step = F.when(F.col("tag").rlike("^<(ul|ol)"), 1).when(F.col("tag").rlike("^</(ul|ol)"), -1).otherwise(0)
-    w = Window.partitionBy("book_id").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    return t.withColumn("depth", F.sum(step).over(w)).where(F.col("tag").rlike("^<li")).select("book_id", (F.col("p") + 1).alias("pos"), F.greatest("depth", F.lit(1)).cast("int").alias("depth"))
+    tags = F.regexp_extract_all("html", F.lit(r"</?(?:ul|ol|li)\b[^>]*>"), F.lit(0))
+    step = lambda x: F.when(x.rlike("^<(ul|ol)"), 1).when(x.rlike("^</(ul|ol)"), -1).otherwise(0)
+    state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.array().cast("array<struct<pos:int,depth:int>>").alias("items"))
+
+    def fold(s, x):
+        depth, at = s["depth"] + step(x), s["at"] + 1
+        item = F.array(F.struct(at.alias("pos"), F.greatest(depth, F.lit(1)).alias("depth")))
+        return F.struct(at.alias("at"), depth.alias("depth"), F.when(x.rlike("^<li"), F.concat(s["items"], item)).otherwise(s["items"]).alias("items"))
+
+    items = F.aggregate(tags, state, fold, lambda s: s["items"])
+    return table(spark, d, "books").where("html is not null").select("book_id", F.explode(items).alias("x")).select("book_id", "x.pos", "x.depth")
 
 
 @query(r"""with t as (select book_id, regexp_extract_all(html, '(?i)<a\b[^>]*href="([^"]*)"', 1) as h from books where html is not null), e as (select book_id, generate_subscripts(h, 1) as pos, unnest(h) as href from t)
@@ -463,8 +470,9 @@ def css_rules(spark, d) -> DataFrame:
 @query("""with w as (select doc_id, unnest(regexp_extract_all(text, '[^ \\n\\r\\t]+')) as word from documents where text is not null) select doc_id, count(*) as n_words, cast(sum(length(word)) as bigint) as n_letters, cast(max(length(word)) as int) as longest from w group by 1""")
 def word_measure(spark, d) -> DataFrame:
     """Words of every text and their widths in characters."""
-    w = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^ \n\r\t]+"), F.lit(0))).alias("word"))
-    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.sum(F.char_length("word")).alias("n_letters"), F.max(F.char_length("word")).alias("longest"))
+    w = F.transform(F.regexp_extract_all("text", F.lit(r"[^ \n\r\t]+"), F.lit(0)), F.char_length)
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", w.alias("w")).where(F.size("w") > 0)
+    return t.select("doc_id", F.size("w").cast("bigint").alias("n_words"), F.aggregate("w", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n_letters"), F.array_max("w").alias("longest"))
 
 
 # ---- references, order and assembly --------------------------------------------------------------------------------------------
@@ -506,6 +514,12 @@ def wrapped_titles(spark, d) -> DataFrame:
     return t.select("book_id", S.wrapped(F.col("description"), 72).alias("wrapped"))
 
 
+@query(ORACLES["wrapped_titles"].join(["with all_lines as (", ") select book_id, case when len(string_split(wrapped, chr(10))) > 3 then array_to_string(string_split(wrapped, chr(10))[1:3], chr(10)) || ' …' else wrapped end as wrapped from all_lines"]))
+def wrapped_blurbs(spark, d) -> DataFrame:
+    """Descriptions wrapped at 72 bytes, three lines at most."""
+    return table(spark, d, "books").where("trim(description) <> ''").select("book_id", S.wrapped_most(F.col("description"), 72, 3).alias("wrapped"))
+
+
 @query("""with r as (select distinct book_id, idx, coalesce(kind, '') as kind from resources), w as (select lower(kind) as k, kind, book_id, idx from r) select kind, count(*) as n, count(distinct book_id) as n_books, kind <> '' as is_image from w group by 1""")
 def resource_kinds(spark, d) -> DataFrame:
     """Resources by kind, repeats counted once."""
@@ -531,12 +545,26 @@ _BLANK = r"(?:&nbsp;|[\s\x{0085}\p{Z}])+"
 def block_islands(spark, d) -> DataFrame:
     """Text blocks of every page by kind, without a kernel: tokens between block boundaries form islands. Equal to the kernel's counts for text blocks;
     spans, styles and stylesheets need the kernel."""
-    t = table(spark, d, "books").where("html is not null").select("book_id", F.posexplode(F.regexp_extract_all(F.regexp_replace("html", _HIDDEN, ""), F.lit("<[^>]*>|[^<]+"), F.lit(0))).alias("pos", "tok"))
-    n = t.withColumns({"name": F.lower(F.regexp_extract("tok", "^</?([A-Za-z][A-Za-z0-9:]*)", 1)), "closing": F.col("tok").startswith("</")}).withColumn("bound", F.col("tok").startswith("<") & F.col("name").isin(_BOUNDS))
-    w = Window.partitionBy("book_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    s = n.withColumn("island", F.sum(F.col("bound").cast("int")).over(w))
-    cls = F.regexp_extract("tok", 'class="([^"]*)"', 1).rlike(_HCLASS.replace("$", r"\z"))
-    kind = F.when(F.col("closing"), "paragraph").when(F.col("name").rlike(r"\Ah[1-6]\z"), "heading").when(F.col("name").isin("li", "dt", "dd"), "list").when(F.col("name") == "blockquote", "quote").when(F.col("name").isin(_PARAS) & cls, "heading").otherwise("paragraph")
-    k = s.groupBy("book_id", "island").agg(F.max(F.when(F.col("bound"), kind)).alias("kind"), F.bool_or(~F.col("tok").startswith("<") & (F.regexp_replace("tok", _BLANK, "") != "")).alias("filled")).where("filled")
-    one = lambda x: F.count_if(F.coalesce("kind", F.lit("paragraph")) == x)
-    return k.groupBy("book_id").agg(one("paragraph").alias("paragraphs"), one("heading").alias("headings"), one("list").alias("lists"), one("quote").alias("quotes"))
+    toks = F.regexp_extract_all(F.regexp_replace("html", _HIDDEN, ""), F.lit("<[^>]*>|[^<]+"), F.lit(0))
+    kinds = ("paragraph", "heading", "list", "quote")
+
+    def kind_of(tok):
+        name, closing = F.lower(F.regexp_extract(tok, "^</?([A-Za-z][A-Za-z0-9:]*)", 1)), tok.startswith("</")
+        cls = F.regexp_extract(tok, 'class="([^"]*)"', 1).rlike(_HCLASS.replace("$", r"\z"))
+        kind = F.when(closing, "paragraph").when(name.rlike(r"\Ah[1-6]\z"), "heading").when(name.isin("li", "dt", "dd"), "list").when(name == "blockquote", "quote").when(name.isin(_PARAS) & cls, "heading").otherwise("paragraph")
+        return F.when(tok.startswith("<") & name.isin(_BOUNDS), kind)
+
+    def counted(s):
+        return [(s[k] + F.when(s["filled"] & (s["kind"] == k), 1).otherwise(0)).cast("bigint").alias(k) for k in kinds]
+
+    def fold(s, x):
+        # a boundary closes the island before it and opens the next one
+        return F.when(
+            x["kind"].isNotNull(), F.struct(x["kind"].alias("kind"), F.lit(False).alias("filled"), *counted(s))
+        ).otherwise(F.struct(s["kind"].alias("kind"), (s["filled"] | x["text"]).alias("filled"), *[s[k].alias(k) for k in kinds]))
+
+    tokens = F.transform(toks, lambda t: F.struct(kind_of(t).alias("kind"), (~t.startswith("<") & (F.regexp_replace(t, _BLANK, "") != "")).alias("text")))
+    start = F.struct(F.lit("paragraph").alias("kind"), F.lit(False).alias("filled"), *[F.lit(0).cast("bigint").alias(k) for k in kinds])
+    total = F.aggregate(tokens, start, fold, lambda s: F.struct(*counted(s)))
+    c = table(spark, d, "books").where("html is not null").select("book_id", total.alias("c"))
+    return c.select("book_id", *[F.col(f"c.{k}").alias(k + "s") for k in kinds]).where("paragraphs + headings + lists + quotes > 0")

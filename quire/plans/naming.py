@@ -31,8 +31,8 @@ def next_free(path: str, taken: set[str] | None = None) -> str:
     return next(free, path)
 
 
-def output_path(source: str, path: str = "", folder: str = "", suffix: str = "", mode: str = "fail") -> str:
-    """Where a book's file goes; an existing one is refused, replaced, kept (``Exists``) or sidestepped by a number."""
+def output_path(source: str, path: str = "", folder: str = "", suffix: str = "", mode: str = "fail", taken: set[str] | None = None) -> str:
+    """Where a book's file goes; one that exists, or is ``taken``, is refused, replaced, kept (``Exists``) or sidestepped by a number."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     if not path:
@@ -40,12 +40,11 @@ def output_path(source: str, path: str = "", folder: str = "", suffix: str = "",
         path = os.path.join(folder or os.path.dirname(source), safe_name(stem) + suffix + ".pdf")
     if not os.path.splitext(path)[1]:
         path += ".pdf"
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    if os.path.exists(path):
+    if os.path.exists(path) or path in (taken or ()):
         if mode == "skip":
             raise Exists(path)
         if mode == "rename":
-            return next_free(path)
+            return next_free(path, taken)
         if mode == "fail":
             raise FileExistsError(path)
     return path
@@ -96,15 +95,34 @@ def check_flags(flags: dict) -> None:
             raise ValueError(f"{k} must lie between {low} and {high}")
 
 
+DEFAULTS = {"preset": "ereader", "output": {"suffix": "", "conflict": "fail"}, "ui": {"theme": "midnight-ink"}}
+
+
+def _over(base: dict, more: dict) -> dict:
+    """``base`` with the values of ``more``, nested settings one by one."""
+    return base | {k: _over(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in more.items()}
+
+
 def load_config(path: str) -> tuple[dict, str | None]:
-    """(settings, error): a missing file gives none, a damaged one none and the error."""
+    """(settings over the defaults, error): a missing file gives the defaults, a damaged one the defaults and the error."""
     if not os.path.exists(path):
-        return {}, None
+        return _over(DEFAULTS, {}), None
     try:
         import yaml
 
         with open(path, encoding="utf-8") as f:
             got = yaml.safe_load(f)
-        return (got or {}), None if got is None or isinstance(got, dict) else "the file holds no settings"
     except Exception as e:
-        return {}, str(e)
+        return _over(DEFAULTS, {}), str(e)
+    if got is not None and not isinstance(got, dict):
+        return _over(DEFAULTS, {}), "the file holds no settings"
+    return _over(DEFAULTS, got or {}), None
+
+
+def save_config(path: str, settings: dict) -> None:
+    """Writes the settings, and the folder where it is missing."""
+    import yaml
+
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        yaml.safe_dump(settings, f, allow_unicode=True, sort_keys=True)

@@ -10,7 +10,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes of a table that may be broadcast; both are measured before.
@@ -90,11 +90,22 @@ def collect_bounded(df: DataFrame, rows: int, what: str) -> list:
     return got
 
 
+#: Bytes of a scan up to which ``spread`` deals rows out by a shuffle.
+SPREAD_BYTES = 2 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer partitions than the session has cores is dealt out evenly before a Python kernel; larger inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if parts >= cores else df.repartition(cores)
+    """More partitions before a Python kernel where a scan has fewer than the session has cores: a small scan is dealt out, a larger one is read in smaller splits, so its texts are never shuffled."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if plan.toRdd().getNumPartitions() >= cores:
+        return df
+    size = int(plan.optimizedPlan().stats().sizeInBytes().toString())
+    if size <= SPREAD_BYTES:
+        return df.repartition(cores)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(max(4 << 20, size // (2 * cores))))
+    return df.select("*")
 
 
 def arrow_map(df: DataFrame, kernel, schema: str) -> DataFrame:
@@ -109,3 +120,20 @@ def arrow_map(df: DataFrame, kernel, schema: str) -> DataFrame:
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def ranked(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """Adds the place (from 1) of each row within its group by ``order``, without sorting a group in one task.
+
+    Rows are range-partitioned by group and order, numbered inside their partition, and the partitions of a group get offsets from a table of counts. A hot group is spread over as many
+    tasks as it has ranges. ``order`` must decide between any two rows of a group.
+    """
+    cols = df.columns
+    parts = df.repartitionByRange(*[F.col(c) for c in (group, *order)]).withColumn("_part", F.spark_partition_id())
+    kept = checkpointed(parts)
+    w = Window.partitionBy(group, "_part").orderBy(*order)
+    inner = kept.withColumn("_r", F.row_number().over(w))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offs = kept.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    same = inner[group].eqNullSafe(offs[group]) & (inner["_part"] == offs["_part"])
+    return inner.join(F.broadcast(offs) if kept.rdd.getNumPartitions() <= 2000 else offs, same).select(*[inner[c] for c in cols], (inner["_r"] + offs["_off"]).cast("int").alias(name))

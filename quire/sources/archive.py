@@ -26,9 +26,10 @@ def size_text(n: int) -> str:
 class Archive:
     """Entries by cleaned name, the first of equal ones; names that leave the archive are dropped."""
 
-    def __init__(self, data: bytes) -> None:
+    def __init__(self, data) -> None:
+        """``data`` is the archive's bytes, or an open file of which only the directory and the entries asked for are read."""
         try:
-            self.zip = zipfile.ZipFile(io.BytesIO(data))
+            self.zip = zipfile.ZipFile(io.BytesIO(data) if isinstance(data, bytes) else data)
         except Exception as e:
             raise ValueError(f"damaged archive: {e}") from None
         self.entries: dict[str, zipfile.ZipInfo] = {}

@@ -15,6 +15,15 @@ from quire.sources.archive import Archive
 HEAD = 4096
 
 
+def detect_file(path: str) -> str:
+    """The format of a file from its first bytes; of an archive only the directory, and the entry that names its type, are read."""
+    from quire.sources.reader import classify_archive, detect
+
+    with open(path, "rb") as f:
+        head = f.read(HEAD)
+        return classify_archive(f) if head[:4] in (b"PK\x03\x04", b"PK\x05\x06") else detect(head, path)
+
+
 class Part(InputPartition):
     def __init__(self, paths: list[str]) -> None:
         self.paths = paths
@@ -36,21 +45,18 @@ class HeadReader(DataSourceReader):
         return [Part(found[i : i + self.per]) for i in range(0, len(found), self.per)] or [Part([])]
 
     def read(self, part: Part) -> Iterator[tuple]:
-        from quire.sources.reader import detect
-
         for path in part.paths:
             try:
-                size = os.path.getsize(path)
-                with open(path, "rb") as f:
-                    head = f.read(HEAD)
-                    kind = detect(head + f.read(), path) if head[:2] == b"PK" else detect(head, path)
-                yield path, size, kind, None
+                yield path, os.path.getsize(path), detect_file(path), None
             except Exception as e:
                 yield path, None, None, str(e)
 
 
 class BookHeads(DataSource):
-    """``spark.read.format("book_heads").load(folder)``: path, size, format and error of every file, from 4 KiB or the archive's directory."""
+    """``spark.read.format("book_heads").load(folder)``: path, size, format and error of every file, from 4 KiB or the archive's directory.
+
+    The folder is listed once on the driver, so it must be mounted there; ``discover`` lists other storage.
+    """
 
     @classmethod
     def name(cls) -> str:

@@ -17,7 +17,8 @@ from quire.sources.archive import Archive
 HEAD = 4096
 
 
-def classify_archive(data: bytes) -> str:
+def classify_archive(data) -> str:
+    """The format of an archive, given as bytes or as an open file."""
     a = Archive(data)
     names = a.names()
     if a.find("mimetype") and b"application/epub+zip" in a.read("mimetype")[:HEAD]:
@@ -94,7 +95,11 @@ def read_books(files: DataFrame, with_data: bool = True) -> DataFrame:
 
 
 def discover(spark: SparkSession, folder: str, recursive: bool = False, texts: bool = False) -> DataFrame:
-    """The book files below a folder (path, content); texts only if asked for."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder if recursive else folder.rstrip("/") + "/*")
+    """The book files below a folder (path, content); texts only if asked for. Without ``recursive``, files of folders inside it are left out. Contents are read only where a plan uses them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    here = F.regexp_replace("path", r"/[^/]*\z", "")
+    slashes = lambda c: F.regexp_replace(c, r"\A([a-z0-9]+:)/+", "$1/")
     keep = is_book_file(F.col("path")) if texts else is_book_file(F.col("path")) & ~is_text_file(F.col("path"))
-    return df.where(keep).select("path", "content")
+    return df.where(keep if recursive else keep & (slashes(here) == slashes(F.lit(root)))).select("path", "content")
