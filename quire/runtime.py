@@ -101,7 +101,7 @@ def spread(df: DataFrame) -> DataFrame:
     plan = df._jdf.queryExecution()
     if plan.toRdd().getNumPartitions() >= cores:
         return df
-    size = int(plan.optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
     if size <= SPREAD_BYTES:
         return df.repartition(cores)
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(max(4 << 20, size // (2 * cores))))
