@@ -56,7 +56,8 @@ def discover_books(spark, d) -> DataFrame:
     return f.join(b, F.col("f_id") == F.col("folder_id"), "left").select(F.col("f_id").alias("folder_id"), F.coalesce("n_books", F.lit(0)).alias("n_books"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"))
 
 
-@query("""select batch_id, book_id, cast(ord as int) as ord from (select batch_id, book_id, ord, row_number() over (partition by batch_id, book_id order by ord, conv_id, recorded_at) as k from conversions where book_id is not null) where k = 1""")
+@query("""select batch_id, book_id, cast(ord as int) as ord from (select batch_id, book_id, ord, row_number() over (partition by batch_id, book_id
+    order by ord, conv_id, recorded_at) as k from conversions where book_id is not null) where k = 1""")
 def collect_inputs(spark, d) -> DataFrame:
     """Each batch's inputs without repeats: of one book the first place in the batch wins."""
     w = Window.partitionBy("batch_id", "book_id").orderBy("ord", "conv_id", "recorded_at")
@@ -64,8 +65,11 @@ def collect_inputs(spark, d) -> DataFrame:
     return c.withColumn("k", F.row_number().over(w)).where("k = 1").select("batch_id", "book_id", "ord")
 
 
-@query("""select book_id, idx, case when payload is null or octet_length(payload) < 8 then '' when substr(hex(payload), 1, 6) = 'FFD8FF' then 'jpeg' when substr(hex(payload), 3, 6) = '504E47' then 'png'
-  when substr(hex(payload), 1, 6) = '474946' then 'gif' when substr(hex(payload), 1, 4) = '424D' then 'bmp' when octet_length(payload) >= 12 and substr(hex(payload), 1, 8) = '52494646' and substr(hex(payload), 17, 8) = '57454250' then 'webp' else '' end as sniffed, coalesce(kind, '') <> '' as is_image from resources""")
+@query("""select book_id, idx, case when payload is null or octet_length(payload) < 8 then '' when substr(hex(payload), 1, 6) = 'FFD8FF'
+    then 'jpeg' when substr(hex(payload), 3, 6) = '504E47' then 'png'
+  when substr(hex(payload), 1, 6) = '474946' then 'gif' when substr(hex(payload), 1, 4) = '424D' then 'bmp' when octet_length(payload) >= 12
+    and substr(hex(payload), 1, 8) = '52494646' and substr(hex(payload), 17, 8) = '57454250' then 'webp' else '' end as sniffed, coalesce(kind, '') <> '' as is_image
+    from resources""")
 def sniff_image(spark, d) -> DataFrame:
     """The image format of every resource by its first bytes."""
     return table(spark, d, "resources").select("book_id", "idx", S.sniff_image(F.col("payload")).alias("sniffed"), (F.coalesce("kind", F.lit("")) != "").alias("is_image"))
@@ -92,7 +96,8 @@ def number_images(spark, d) -> DataFrame:
     return f.select("book_id", "idx", F.row_number().over(Window.partitionBy("book_id").orderBy("idx")).alias("image_no"))
 
 
-@query("""with r as (select distinct book_id, idx, n_bytes from resources) select book_id, idx, cast(sum(n_bytes) over (partition by book_id order by idx, n_bytes rows between unbounded preceding and current row) as bigint) as running,
+@query("""with r as (select distinct book_id, idx, n_bytes from resources) select book_id, idx, cast(sum(n_bytes) over (partition by book_id
+    order by idx, n_bytes rows between unbounded preceding and current row) as bigint) as running,
   n_bytes > 268435456 as entry_over, sum(n_bytes) over (partition by book_id order by idx, n_bytes rows between unbounded preceding and current row) > 1073741824 as book_over from r""")
 def archive_running_total(spark, d) -> DataFrame:
     """The running size of each archive and where a limit of one entry or of the book is passed."""
@@ -102,7 +107,8 @@ def archive_running_total(spark, d) -> DataFrame:
     return r.select("book_id", "idx", t.alias("running"), (F.col("n_bytes") > 256 << 20).alias("entry_over"), (t > 1 << 30).alias("book_over"))
 
 
-@query("""with i as (select book_id, min(idx) as first_image from resources where coalesce(kind, '') <> '' group by 1), c as (select distinct book_id, idx from resources where coalesce(kind, '') <> '')
+@query("""with i as (select book_id, min(idx) as first_image from resources where coalesce(kind, '') <> '' group by 1), c as (select distinct book_id, idx
+    from resources where coalesce(kind, '') <> '')
   select b.book_id, cast(coalesce(c.idx, i.first_image) as int) as cover, case when c.idx is not null then 'declared' when i.first_image is not null then 'first image' else 'none' end as rule
   from books b left join c on c.book_id = b.book_id and c.idx = b.cover_index left join i on i.book_id = b.book_id""")
 def cover_precedence(spark, d) -> DataFrame:
@@ -119,7 +125,9 @@ def cover_precedence(spark, d) -> DataFrame:
 
 
 @query(f"""select opf_id, {FIRST('titles')} as title, {TEXTS('creators')} as authors, {FIRST('publishers')} as publisher, {FIRST('dates')} as published, {FIRST('rights')} as rights, {FIRST('languages')} as language_tag, {TEXTS('subjects')} as subjects,
-  coalesce(list_filter(list_transform(identifiers, lambda i: case when lower(substr({TRIM('coalesce(i.id_text, chr(32))')}, 1, 9)) = 'urn:isbn:' then {TRIM(f"substr({TRIM('i.id_text')}, 10)")} when lower({TRIM("coalesce(i.scheme, '')")}) = 'isbn' and {TRIM("coalesce(i.id_text, '')")} <> '' then {TRIM('i.id_text')} end), lambda v: v is not null)[1], '') as isbn,
+  coalesce(list_filter(list_transform(identifiers, lambda i: case when lower(substr({TRIM('coalesce(i.id_text, chr(32))')}, 1, 9)) = 'urn:isbn:'
+    then {TRIM(f"substr({TRIM('i.id_text')}, 10)")} when lower({TRIM("coalesce(i.scheme, '')")}) = 'isbn' and {TRIM("coalesce(i.id_text, '')")} <> ''
+    then {TRIM('i.id_text')} end), lambda v: v is not null)[1], '') as isbn,
   case when starts_with({TRIM("coalesce(opf_version, '')")}, '3') then 'EPUB 3' else 'EPUB 2' end as format_name from opf_metadata""")
 def package_metadata(spark, d) -> DataFrame:
     """The record of a package: first texts of scalar fields, all texts of lists, the first identifier that is an ISBN."""
@@ -136,7 +144,8 @@ def package_metadata(spark, d) -> DataFrame:
     )
 
 
-@query(f"""with t as (select comic_id, {TRIM("coalesce(title, '')")} as t, {TRIM("coalesce(series, '')")} as s, {TRIM("coalesce(issue_number, '')")} as n, {TRIM("coalesce(issue_year, '')")} as y, {TRIM("coalesce(issue_month, '')")} as m, writer, genre, {TRIM("coalesce(publisher, '')")} as publisher, {TRIM("coalesce(language_iso, '')")} as language_tag from comic_info)
+@query(f"""with t as (select comic_id, {TRIM("coalesce(title, '')")} as t, {TRIM("coalesce(series, '')")} as s, {TRIM("coalesce(issue_number, '')")} as n, {TRIM("coalesce(issue_year, '')")} as y, {TRIM("coalesce(issue_month, '')")} as m, writer, genre, {TRIM("coalesce(publisher, '')")} as publisher, {TRIM("coalesce(language_iso, '')")} as language_tag
+    from comic_info)
   select comic_id, case when t <> '' then t when s <> '' then s || case when n <> '' then ' #' || n else '' end else '' end as title, {TEXTS("string_split(coalesce(writer, ''), ',')")} as authors, {TEXTS("string_split(coalesce(genre, ''), ',')")} as subjects,
   case when y = '' then '' when m = '' then y else y || '-' || case when octet_length(encode(m)) = 1 then '0' || m else m end end as published, publisher, language_tag from t""")
 def comic_metadata(spark, d) -> DataFrame:
@@ -150,7 +159,8 @@ def comic_metadata(spark, d) -> DataFrame:
     )
 
 
-@query(r"""select book_id, regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'), '^ | $', '', 'g') as page_title, lower(regexp_extract(html, '(?is)<html[^>]*\slang="([^"]*)"', 1)) as page_lang, cast(len(regexp_extract_all(html, '(?i)<img\b')) as int) as n_images from books where html is not null""")
+@query(r"""select book_id, regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'), '^ | $', '', 'g') as page_title, lower(regexp_extract(html, '(?is)<html[^>]*\slang="([^"]*)"', 1)) as page_lang,
+    cast(len(regexp_extract_all(html, '(?i)<img\b')) as int) as n_images from books where html is not null""")
 def html_metadata(spark, d) -> DataFrame:
     """Title, language and number of image references of a page."""
     h = F.col("html")
@@ -158,7 +168,8 @@ def html_metadata(spark, d) -> DataFrame:
     return table(spark, d, "books").where("html is not null").select("book_id", title.alias("page_title"), F.lower(F.regexp_extract(h, r'(?is)<html[^>]*\slang="([^"]*)"', 1)).alias("page_lang"), F.size(F.regexp_extract_all(h, F.lit(r"(?i)<img\b"), F.lit(0))).alias("n_images"))
 
 
-@query("""with s as (select book_id, lower(trim(s)) as subject from (select book_id, unnest(subjects) as s from books) where trim(s) <> '') select book_id, bool_or(subject = 'history') as has_history, cast(count(distinct subject) as bigint) as n_subjects from s group by 1""")
+@query("""with s as (select book_id, lower(trim(s)) as subject from (select book_id, unnest(subjects) as s from books) where trim(s) <> '')
+    select book_id, bool_or(subject = 'history') as has_history, cast(count(distinct subject) as bigint) as n_subjects from s group by 1""")
 def property_membership(spark, d) -> DataFrame:
     """Membership of a value in a list field, and the number of distinct values, blanks ignored."""
     s = table(spark, d, "books").select("book_id", F.explode("subjects").alias("s")).where("trim(s) <> ''").select("book_id", F.lower(F.trim("s")).alias("subject"))
@@ -172,7 +183,9 @@ def allow_list(spark, d) -> DataFrame:
     return table(spark, d, "opf_metadata").select("opf_id", F.exists(F.coalesce("identifiers", F.array().cast("array<struct<scheme:string,id_text:string>>")), lambda i: ~F.array_contains(ok, F.coalesce(i["scheme"], F.lit("")))).alias("refused"))
 
 
-@query("""with k as (select book_id, folder_id, file_path, array_to_string(list_transform(regexp_extract_all(lower(regexp_extract(file_path, '([^/]*)$', 1)), '\\d+|\\D'), lambda t: case when regexp_matches(t, '^\\d') then '0' || lpad(cast(length(regexp_replace(t, '^0+(\\d)', '\\1')) as varchar), 9, '0') || regexp_replace(t, '^0+(\\d)', '\\1') else t end), '') as key from books)
+@query("""with k as (select book_id, folder_id, file_path, array_to_string(list_transform(regexp_extract_all(lower(regexp_extract(file_path, '([^/]*)$', 1)), '\\d+|\\D'), lambda t:
+    case when regexp_matches(t, '^\\d') then '0' || lpad(cast(length(regexp_replace(t, '^0+(\\d)', '\\1')) as varchar), 9, '0') || regexp_replace(t, '^0+(\\d)', '\\1')
+    else t end), '') as key from books)
   select book_id, cast(row_number() over (partition by folder_id order by key, file_path, book_id) as int) as place from k""")
 def natural_order(spark, d) -> DataFrame:
     """The files of each folder in natural order: digit runs by value, then by the raw name."""
@@ -209,7 +222,8 @@ def page_size_table(spark, d) -> DataFrame:
     return page_sizes(spark)
 
 
-@query(f"""select p.preset_key, p.display_ord, s.label || ' · ' || p.font || ' ' || printf('%.1f', p.size) || 'pt · ' || cast(cast(p.margin_mm as int) as varchar) || 'mm margins · ' || case when p.justify_on then 'justified' else 'ragged right' end as summary
+@query(f"""select p.preset_key, p.display_ord, s.label || ' · ' || p.font || ' ' || printf('%.1f', p.size) || 'pt · ' || cast(cast(p.margin_mm as int) as varchar) || 'mm margins · ' ||
+    case when p.justify_on then 'justified' else 'ragged right' end as summary
   from {_PRESET_SQL} join {_PAGE_SQL} on s.page = case when p.own_page then p.page else 'letter' end""")
 def preset_summary(spark, d) -> DataFrame:
     """One line about each preset, with the page it uses where none is saved."""
@@ -219,7 +233,8 @@ def preset_summary(spark, d) -> DataFrame:
 
 
 @query("""with i as (select book_id, count(*) as n from (select distinct book_id, idx from resources where coalesce(kind, '') <> '') group by 1)
-  select b.book_id, case when coalesce(i.n, 0) >= 40 then 'print' when coalesce(b.text_bytes, 0) > 1500000 then 'compact' when coalesce(i.n, 0) >= 8 then 'paperback' else 'ereader' end as recommended from books b left join i on i.book_id = b.book_id""")
+  select b.book_id, case when coalesce(i.n, 0) >= 40 then 'print' when coalesce(b.text_bytes, 0) > 1500000 then 'compact' when coalesce(i.n, 0) >= 8
+    then 'paperback' else 'ereader' end as recommended from books b left join i on i.book_id = b.book_id""")
 def preset_recommend(spark, d) -> DataFrame:
     """The preset that suits a book by its images and its amount of text."""
     i = table(spark, d, "resources").where("coalesce(kind, '') <> ''").select("book_id", "idx").distinct().groupBy("book_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("book_id", "i_id")
@@ -228,10 +243,15 @@ def preset_recommend(spark, d) -> DataFrame:
     return b.select("book_id", F.when(n >= 40, "print").when(t > 1_500_000, "compact").when(n >= 8, "paperback").otherwise("ereader").alias("recommended"))
 
 
-@query(f"""with o as (select c.conv_id, c.recorded_at, c.ord, coalesce(p.preset_key, 'ereader') as preset, coalesce(p.own_page, false) as own_page, coalesce(p.page, 'a5') as own, q.page_w as cfg_w, q.page_h as cfg_h, case when c.ord % 5 = 0 then cast(c.ord as double) * 3 end as flag_size, coalesce(q.font_size, cast(null as double)) as cfg_size, coalesce(p.size, cast(11 as double)) as size, coalesce(p.margin_mm, cast(14 as double)) as mm, coalesce(p.spacing, cast(1.38 as double)) as spacing, q.justify as cfg_justify, coalesce(p.justify_on, true) as justify_on
+@query(f"""with o as (select c.conv_id, c.recorded_at, c.ord, coalesce(p.preset_key, 'ereader') as preset, coalesce(p.own_page, false) as own_page,
+    coalesce(p.page, 'a5') as own, q.page_w as cfg_w, q.page_h as cfg_h, case when c.ord % 5 = 0 then cast(c.ord as double) * 3 end as flag_size,
+    coalesce(q.font_size, cast(null as double)) as cfg_size, coalesce(p.size, cast(11 as double)) as size, coalesce(p.margin_mm, cast(14 as double)) as mm,
+    coalesce(p.spacing, cast(1.38 as double)) as spacing, q.justify as cfg_justify, coalesce(p.justify_on, true) as justify_on
     from conversions c left join {_PRESET_SQL} on p.preset_key = c.preset_key left join presets q on q.preset_key = c.preset_key),
-  e as (select *, coalesce(cfg_w, case when own_page then (select width from {_PAGE_SQL} where s.page = own) else cast(612 as double) end) as w, coalesce(cfg_h, case when own_page then (select height from {_PAGE_SQL} where s.page = own) else cast(792 as double) end) as h from o)
-  select conv_id, recorded_at, ord, preset, w as page_w, h as page_h, least(greatest(coalesce(flag_size, cfg_size, size), cast(5 as double)), cast(40 as double)) as font_size, least(greatest(spacing, cast(1 as double)), cast(3 as double)) as line_spacing,
+  e as (select *, coalesce(cfg_w, case when own_page then (select width from {_PAGE_SQL} where s.page = own) else cast(612 as double) end) as w,
+    coalesce(cfg_h, case when own_page then (select height from {_PAGE_SQL} where s.page = own) else cast(792 as double) end) as h from o)
+  select conv_id, recorded_at, ord, preset, w as page_w, h as page_h, least(greatest(coalesce(flag_size, cfg_size, size), cast(5 as double)),
+    cast(40 as double)) as font_size, least(greatest(spacing, cast(1 as double)), cast(3 as double)) as line_spacing,
     coalesce(cfg_justify, justify_on) as justify, round(least(greatest(mm * cast(72 as double) / cast(25.4 as double), cast(0 as double)), w / 2 - 20), 6) as margin_side from e""")
 def options_layering(spark, d) -> DataFrame:
     """The options of every conversion: preset, then the saved configuration, then flags (here: a size on each fifth place), then clamped once."""
@@ -260,9 +280,11 @@ def chars_per_line(spark, d) -> DataFrame:
 _SCALE_SQL = "case when css > 0 then least(case when least(greatest(css, cast(0.5 as double)), cast(3.5 as double)) > 1 then 1 + (least(greatest(css, cast(0.5 as double)), cast(3.5 as double)) - 1) * cast(0.62 as double) else least(greatest(css, cast(0.5 as double)), cast(3.5 as double)) end, cast(2.4 as double)) else cast(1 as double) end"
 
 
-@query(f"""with g as (select l_orderkey, l_linenumber, l_quantity / 10 as css, l_quantity, l_extendedprice, case when l_linenumber % 2 = 0 then 'heading' else 'paragraph' end as kind, cast(l_linenumber as int) as level from lineitem),
+@query(f"""with g as (select l_orderkey, l_linenumber, l_quantity / 10 as css, l_quantity, l_extendedprice, case when l_linenumber % 2 = 0
+    then 'heading' else 'paragraph' end as kind, cast(l_linenumber as int) as level from lineitem),
   s as (select *, {_SCALE_SQL} as shown, [cast(1.75 as double), 1.45, 1.28, 1.15, 1.06, 1.0][case when level between 1 and 6 then level else 3 end] as floor_scale from g)
-  select l_orderkey, l_linenumber, l_quantity, l_extendedprice, round(case when kind = 'heading' then case when css > 0 then greatest(shown, floor_scale) else floor_scale end else shown end, 9) as scale from s""")
+  select l_orderkey, l_linenumber, l_quantity, l_extendedprice, round(case when kind = 'heading' then case when css > 0 then greatest(shown, floor_scale)
+    else floor_scale end else shown end, 9) as scale from s""")
 def effective_scale(spark, d) -> DataFrame:
     """Effective scales over a grid of sizes, kinds and levels taken from numeric rows."""
     g = table(spark, d, "lineitem")
@@ -273,7 +295,9 @@ def effective_scale(spark, d) -> DataFrame:
 # ---- batches and reports -----------------------------------------------------------------------------------------------------
 
 
-@query("""select batch_id, cast(count_if(outcome = 'converted') as bigint) as converted, cast(count_if(outcome = 'skipped') as bigint) as skipped, cast(count_if(outcome = 'failed') as bigint) as failed, cast(sum(case when outcome = 'converted' then pages end) as bigint) as pages, cast(sum(case when outcome = 'converted' then out_bytes end) as bigint) as out_bytes, bool_or(outcome = 'failed') as any_failed
+@query("""select batch_id, cast(count_if(outcome = 'converted') as bigint) as converted, cast(count_if(outcome = 'skipped') as bigint) as skipped,
+    cast(count_if(outcome = 'failed') as bigint) as failed, cast(sum(case when outcome = 'converted' then pages end) as bigint) as pages,
+    cast(sum(case when outcome = 'converted' then out_bytes end) as bigint) as out_bytes, bool_or(outcome = 'failed') as any_failed
   from (select distinct * from conversions) group by 1""")
 def batch_tally(spark, d) -> DataFrame:
     """Outcomes of each batch, with pages and bytes of the converted books; exact repeats of a result count once."""
@@ -283,8 +307,10 @@ def batch_tally(spark, d) -> DataFrame:
     return c.groupBy("batch_id").agg(one("converted").alias("converted"), one("skipped").alias("skipped"), one("failed").alias("failed"), done("pages").alias("pages"), done("out_bytes").alias("out_bytes"), F.bool_or(F.col("outcome") == "failed").alias("any_failed"))
 
 
-@query("""select conv_id, ord, recorded_at, round(case when coalesce(in_bytes, 0) = 0 then cast(0 as double) else cast(out_bytes as double) / in_bytes end, 9) as ratio, case when elapsed_ms is null then null when elapsed_ms <= 0 then '--' when elapsed_ms < 1000 then cast(elapsed_ms as varchar) || 'ms'
-  when elapsed_ms < 60000 then printf('%.1f', round_even(elapsed_ms / cast(1000 as double), 1)) || 's' else cast(elapsed_ms // 60000 as varchar) || 'm ' || lpad(cast((elapsed_ms // 1000) % 60 as varchar), 2, '0') || 's' end as took from conversions where outcome = 'converted'""")
+@query("""select conv_id, ord, recorded_at, round(case when coalesce(in_bytes, 0) = 0 then cast(0 as double) else cast(out_bytes as double) / in_bytes end, 9) as ratio,
+    case when elapsed_ms is null then null when elapsed_ms <= 0 then '--' when elapsed_ms < 1000 then cast(elapsed_ms as varchar) || 'ms'
+  when elapsed_ms < 60000 then printf('%.1f', round_even(elapsed_ms / cast(1000 as double), 1)) || 's' else cast(elapsed_ms // 60000 as varchar) || 'm ' || lpad(cast((elapsed_ms // 1000) % 60 as varchar), 2, '0') || 's' end as took
+    from conversions where outcome = 'converted'""")
 def conversion_report(spark, d) -> DataFrame:
     """Size ratio and time of each converted book, as they are shown."""
     c = table(spark, d, "conversions").where("outcome = 'converted'")
@@ -292,8 +318,10 @@ def conversion_report(spark, d) -> DataFrame:
     return c.select("conv_id", "ord", "recorded_at", F.round(ratio, 9).alias("ratio"), F.when(F.col("elapsed_ms").isNotNull(), S.format_duration(F.col("elapsed_ms"))).alias("took"))
 
 
-@query("""select book_id, case when file_size >= 1073741824 then printf('%.2f', round_even(file_size / cast(1073741824 as double), 2)) || ' GB' when file_size >= 1048576 then printf('%.1f', round_even(file_size / cast(1048576 as double), 1)) || ' MB'
-  when file_size >= 1024 then cast(cast(round_even(file_size / cast(1024 as double), 0) as bigint) as varchar) || ' KB' else cast(file_size as varchar) || ' B' end as shown from books where file_size is not null""")
+@query("""select book_id, case when file_size >= 1073741824 then printf('%.2f', round_even(file_size / cast(1073741824 as double), 2)) || ' GB'
+    when file_size >= 1048576 then printf('%.1f', round_even(file_size / cast(1048576 as double), 1)) || ' MB'
+  when file_size >= 1024 then cast(cast(round_even(file_size / cast(1024 as double), 0) as bigint) as varchar) || ' KB' else cast(file_size as varchar) || ' B' end as shown
+    from books where file_size is not null""")
 def format_bytes(spark, d) -> DataFrame:
     """File sizes as they are shown."""
     return table(spark, d, "books").where("file_size is not null").select("book_id", S.format_bytes(F.col("file_size")).alias("shown"))
@@ -302,8 +330,10 @@ def format_bytes(spark, d) -> DataFrame:
 _CLEAN_SQL = r"""regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(x, ':', ' -'), '*', ''), '?', ''), '"', ''''), '<', '('), '>', ')'), '|', '-'), '\', '-'), '/', '-'), '^[\s\x{0085}\p{Z}.]+|[\s\x{0085}\p{Z}.]+$', '', 'g')"""
 
 
-@query(f"""with t as (select book_id, folder_id, regexp_replace(coalesce(title, ''), '[\\r\\n\\t]+', ' ', 'g') as x from books), c as (select book_id, folder_id, {_CLEAN_SQL} as n from t), n as (select book_id, folder_id, case when n = '' then 'book' else n end as base from c),
-  k as (select *, row_number() over (partition by folder_id, base order by book_id) as i from n) select book_id, base, case when i = 1 then base || '.pdf' when i < 1000 then base || ' (' || cast(i as varchar) || ').pdf' else base || '.pdf' end as output_name from k""")
+@query(f"""with t as (select book_id, folder_id, regexp_replace(coalesce(title, ''), '[\\r\\n\\t]+', ' ', 'g') as x from books), c as (select book_id, folder_id, {_CLEAN_SQL} as n
+    from t), n as (select book_id, folder_id, case when n = '' then 'book' else n end as base from c),
+  k as (select *, row_number() over (partition by folder_id, base order by book_id) as i from n) select book_id, base, case when i = 1
+    then base || '.pdf' when i < 1000 then base || ' (' || cast(i as varchar) || ').pdf' else base || '.pdf' end as output_name from k""")
 def output_names(spark, d) -> DataFrame:
     """Output names from titles: signs that file systems refuse are replaced, and equal names in one folder are numbered in the order of ids. Names are not cut here;
     the cut at 150 bytes is ``quire.plans.naming.safe_name``."""
@@ -317,20 +347,24 @@ def output_names(spark, d) -> DataFrame:
     return k.select("book_id", "base", F.concat("base", no, F.lit(".pdf")).alias("output_name"))
 
 
-@query("""select book_id, case when coalesce(len(authors), 0) = 0 then 'Unknown author' else array_to_string(authors, ', ') end as author_line, case when length(title) <= 40 then title else substr(title, 1, 39) || '…' end as short_title, regexp_replace(title, '[^\\x20-\\x7e]', '.', 'g') as printable from books""")
+@query("""select book_id, case when coalesce(len(authors), 0) = 0 then 'Unknown author' else array_to_string(authors, ', ') end as author_line,
+    case when length(title) <= 40 then title else substr(title, 1, 39) || '…' end as short_title, regexp_replace(title, '[^\\x20-\\x7e]', '.', 'g') as printable
+    from books""")
 def display_lines(spark, d) -> DataFrame:
     """Author lines, titles of at most forty characters, and titles in printable characters."""
     return table(spark, d, "books").select("book_id", S.author_line(F.col("authors")).alias("author_line"), S.ellipsis(F.col("title"), 40).alias("short_title"), S.printable(F.col("title")).alias("printable"))
 
 
-@query("""select folder_id, count(*) as n_books, cast(count_if(coalesce(error_text, '') <> '') as bigint) as n_errors, cast(sum(case when coalesce(error_text, '') = '' then file_size end) as bigint) as readable_bytes from books group by 1""")
+@query("""select folder_id, count(*) as n_books, cast(count_if(coalesce(error_text, '') <> '') as bigint) as n_errors, cast(sum(case
+    when coalesce(error_text, '') = '' then file_size end) as bigint) as readable_bytes from books group by 1""")
 def batch_queue(spark, d) -> DataFrame:
     """What a batch over each folder would meet: books, unreadable ones, bytes of the readable ones."""
     bad = F.coalesce("error_text", F.lit("")) != ""
     return table(spark, d, "books").groupBy("folder_id").agg(F.count(F.lit(1)).alias("n_books"), F.count_if(bad).alias("n_errors"), F.sum(F.when(~bad, F.col("file_size"))).alias("readable_bytes"))
 
 
-@query("""with c as (select batch_id, ord, conv_id, recorded_at, outcome, lag(outcome) over (partition by batch_id order by ord, conv_id, recorded_at) as before from (select distinct * from conversions)) select batch_id, ord, conv_id, recorded_at, outcome from c where before is null or before <> outcome""")
+@query("""with c as (select batch_id, ord, conv_id, recorded_at, outcome, lag(outcome) over (partition by batch_id order by ord, conv_id, recorded_at) as before
+    from (select distinct * from conversions)) select batch_id, ord, conv_id, recorded_at, outcome from c where before is null or before <> outcome""")
 def collapse_runs(spark, d) -> DataFrame:
     """Consecutive results of one outcome collapse into their first, as consecutive page breaks do."""
     w = Window.partitionBy("batch_id").orderBy("ord", "conv_id", "recorded_at")
@@ -338,7 +372,9 @@ def collapse_runs(spark, d) -> DataFrame:
     return c.where("before is null or before <> outcome").select("batch_id", "ord", "conv_id", "recorded_at", "outcome")
 
 
-@query("""with c as (select distinct batch_id, ord, conv_id, recorded_at, pages from conversions) select batch_id, ord, conv_id, recorded_at, coalesce(last_value(pages ignore nulls) over (partition by batch_id order by ord, conv_id, recorded_at rows between unbounded preceding and current row),
+@query("""with c as (select distinct batch_id, ord, conv_id, recorded_at, pages from conversions) select batch_id, ord, conv_id, recorded_at,
+    coalesce(last_value(pages ignore nulls) over (partition by batch_id order by ord, conv_id, recorded_at rows between unbounded preceding
+    and current row),
   first_value(pages ignore nulls) over (partition by batch_id order by ord, conv_id, recorded_at rows between current row and unbounded following), 600) as filled from c""")
 def fill_forward(spark, d) -> DataFrame:
     """Missing measures take the last known one, else the first later one, else a default, as page sizes do."""
@@ -371,7 +407,9 @@ _BODY_SQL = f"""case when regexp_matches(t, '{_START}') then regexp_split_to_arr
 
 
 @query(f"""with l as (select doc_id, {_LINES_SQL} as t from documents where text is not null), b as (select doc_id, t, {_BODY_SQL} as body from l)
-  select doc_id, coalesce(trim(regexp_extract(case when regexp_matches(t, '{_START}') then t else '' end, '(?im)^Title: *([^\\n]+)$', 1)), '') as title, coalesce(trim(regexp_extract(case when regexp_matches(t, '{_START}') then t else '' end, '(?im)^Author: *([^\\n]+)$', 1)), '') as author, cast(octet_length(encode(body)) as int) as text_bytes from b""")
+  select doc_id, coalesce(trim(regexp_extract(case when regexp_matches(t, '{_START}') then t else '' end, '(?im)^Title: *([^\\n]+)$', 1)), '') as title,
+    coalesce(trim(regexp_extract(case when regexp_matches(t, '{_START}') then t else '' end, '(?im)^Author: *([^\\n]+)$', 1)), '') as author,
+    cast(octet_length(encode(body)) as int) as text_bytes from b""")
 def gutenberg_trim(spark, d) -> DataFrame:
     """Title, author and body size of framed texts; unframed texts are their own body."""
     t = table(spark, d, "documents").where("text is not null").select("doc_id", unified_lines(F.col("text")).alias("t")).withColumn("body", gutenberg_body(F.col("t")))
@@ -391,8 +429,10 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 _PARA_SQL = f"""with l as (select doc_id, {_LINES_SQL} as t from documents where text is not null), b as (select doc_id, {_BODY_SQL} as body from l),
-  j as (select doc_id, array_to_string(list_transform(string_split(body, chr(10)), lambda v: {TRIM('v')}), chr(10)) as s from b), p as (select doc_id, list_filter(regexp_split_to_array(s, '\\n{{2,}}'), lambda x: replace(x, chr(10), '') <> '') as ps from j),
-  e as (select doc_id, generate_subscripts(ps, 1) as para_no, unnest(ps) as block from p), c as (select doc_id, cast(para_no as int) as para_no, regexp_replace(block, '^\\n+|\\n+$', '', 'g') as k from e)"""
+  j as (select doc_id, array_to_string(list_transform(string_split(body, chr(10)), lambda v: {TRIM('v')}), chr(10)) as s from b), p as (select doc_id, list_filter(regexp_split_to_array(s, '\\n{{2,}}'), lambda x:
+    replace(x, chr(10), '') <> '') as ps from j),
+  e as (select doc_id, generate_subscripts(ps, 1) as para_no, unnest(ps) as block from p), c as (select doc_id, cast(para_no as int) as para_no,
+    regexp_replace(block, '^\\n+|\\n+$', '', 'g') as k from e)"""
 
 
 @query(f"{_PARA_SQL} select doc_id, para_no, cast(len(string_split(k, chr(10))) as int) as n_lines, replace(k, chr(10), ' ') as text from c")
@@ -402,7 +442,8 @@ def text_paragraphs(spark, d) -> DataFrame:
 
 
 @query(f"""{_PARA_SQL}, o as (select doc_id, para_no, replace(k, chr(10), ' ') as line from c where len(string_split(k, chr(10))) = 1), r as (select *, regexp_replace(line, '\\.$', '') as bare from o)
-  select doc_id, para_no, line from r where length(line) <= 60 and ((bare <> '' and octet_length(encode(bare)) <= 7 and lower(bare) <> 'i' and regexp_matches(bare, '{_ROMAN}')) or (not regexp_matches(line, '[.,;:]$') and regexp_matches(line, '{_KEYWORD_SQL}')))""")
+  select doc_id, para_no, line from r where length(line) <= 60 and ((bare <> '' and octet_length(encode(bare)) <= 7 and lower(bare) <> 'i'
+    and regexp_matches(bare, '{_ROMAN}')) or (not regexp_matches(line, '[.,;:]$') and regexp_matches(line, '{_KEYWORD_SQL}')))""")
 def text_headings(spark, d) -> DataFrame:
     """Paragraphs of one line that are chapter headings: a lone numeral or a chapter word with at most a number and a short title."""
     p = paragraphs(table(spark, d, "documents").select("doc_id", "text")).where("n_lines = 1")
@@ -415,9 +456,12 @@ def text_headings(spark, d) -> DataFrame:
 # ---- markup ------------------------------------------------------------------------------------------------------------------
 
 
-@query(r"""with t as (select book_id, unnest(regexp_extract_all(html, '<[A-Za-z][^>]*>')) as tag from books where html is not null), n as (select book_id, lower(regexp_extract(tag, '^<([A-Za-z][A-Za-z0-9:]*)', 1)) as name, tag from t)
-  select name, case when regexp_matches(name, '^h[1-6]$') then 'heading' when name in ('li', 'dt', 'dd') then 'list' when name = 'blockquote' then 'quote' when name in ('p', 'div', 'section', 'article', 'center', 'tr', 'td', 'th', 'table', 'ul', 'ol', 'dl', 'pre', 'figure', 'figcaption', 'aside', 'header', 'footer')
-  then case when regexp_matches(regexp_extract(tag, 'class="([^"]*)"', 1), '(?i)(^|\s)h[1-6](?:[^0-9A-Za-z_]|[_]|$)') then 'heading' else 'paragraph' end else 'inline' end as kind, count(*) as n, count(distinct book_id) as n_books from n group by 1, 2""")
+@query(r"""with t as (select book_id, unnest(regexp_extract_all(html, '<[A-Za-z][^>]*>')) as tag from books where html is not null),
+    n as (select book_id, lower(regexp_extract(tag, '^<([A-Za-z][A-Za-z0-9:]*)', 1)) as name, tag from t)
+  select name, case when regexp_matches(name, '^h[1-6]$') then 'heading' when name in ('li', 'dt', 'dd') then 'list' when name = 'blockquote'
+    then 'quote' when name in ('p', 'div', 'section', 'article', 'center', 'tr', 'td', 'th', 'table', 'ul', 'ol', 'dl', 'pre', 'figure', 'figcaption', 'aside', 'header', 'footer')
+  then case when regexp_matches(regexp_extract(tag, 'class="([^"]*)"', 1), '(?i)(^|\s)h[1-6](?:[^0-9A-Za-z_]|[_]|$)') then 'heading'
+    else 'paragraph' end else 'inline' end as kind, count(*) as n, count(distinct book_id) as n_books from n group by 1, 2""")
 def block_kinds(spark, d) -> DataFrame:
     """What kind of block each opening tag starts, by tag and class."""
     t = table(spark, d, "books").where("html is not null").select("book_id", F.explode(F.regexp_extract_all("html", F.lit("<[A-Za-z][^>]*>"), F.lit(0))).alias("tag"))
@@ -428,7 +472,10 @@ def block_kinds(spark, d) -> DataFrame:
     return t.select("book_id", name.alias("name"), kind.alias("kind")).groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("book_id").alias("n_books"))
 
 
-@query(r"""with t as (select book_id, regexp_extract_all(html, '</?(?:ul|ol|li)\b[^>]*>') as tags from books where html is not null), e as (select book_id, generate_subscripts(tags, 1) as pos, unnest(tags) as tag from t), s as (select *, sum(case when regexp_matches(tag, '^<(ul|ol)') then 1 when regexp_matches(tag, '^</(ul|ol)') then -1 else 0 end) over (partition by book_id order by pos rows unbounded preceding) as depth from e)
+@query(r"""with t as (select book_id, regexp_extract_all(html, '</?(?:ul|ol|li)\b[^>]*>') as tags from books where html is not null),
+    e as (select book_id, generate_subscripts(tags, 1) as pos, unnest(tags) as tag from t), s as (select *, sum(case when regexp_matches(tag, '^<(ul|ol)')
+    then 1 when regexp_matches(tag, '^</(ul|ol)') then -1 else 0 end) over (partition by book_id order by pos rows unbounded preceding) as depth
+    from e)
   select book_id, cast(pos as int) as pos, cast(greatest(depth, 1) as int) as depth from s where regexp_matches(tag, '^<li')""")
 def list_depth(spark, d) -> DataFrame:
     """The nesting of every list item: a running sum over list tags, one at least."""
@@ -445,7 +492,8 @@ def list_depth(spark, d) -> DataFrame:
     return table(spark, d, "books").where("html is not null").select("book_id", F.explode(items).alias("x")).select("book_id", "x.pos", "x.depth")
 
 
-@query(r"""with t as (select book_id, regexp_extract_all(html, '(?i)<a\b[^>]*href="([^"]*)"', 1) as h from books where html is not null), e as (select book_id, generate_subscripts(h, 1) as pos, unnest(h) as href from t)
+@query(r"""with t as (select book_id, regexp_extract_all(html, '(?i)<a\b[^>]*href="([^"]*)"', 1) as h from books where html is not null),
+    e as (select book_id, generate_subscripts(h, 1) as pos, unnest(h) as href from t)
   select book_id, cast(pos as int) as pos, href, not (starts_with(href, '#') or starts_with(href, 'kindle:')) and href <> '' as kept from e""")
 def link_targets(spark, d) -> DataFrame:
     """Links of every page; internal ones are dropped from the text."""
@@ -453,9 +501,14 @@ def link_targets(spark, d) -> DataFrame:
     return t.select("book_id", (F.col("p") + 1).alias("pos"), "href", (~(F.col("href").startswith("#") | F.col("href").startswith("kindle:")) & (F.col("href") != "")).alias("kept"))
 
 
-@query(r"""with r as (select book_id, generate_subscripts(flows, 1) as sheet, unnest(flows) as css from books), c as (select book_id, sheet, regexp_replace(css, '/\*.*?\*/', '', 'gs') as css from r), e as (select book_id, sheet, regexp_extract_all(css, '[^{}]*\{[^{}]*\}') as rules from c), u as (select book_id, sheet, generate_subscripts(rules, 1) as no, unnest(rules) as rule from e),
-  s as (select book_id, sheet, no, lower(trim(x)) as selector, rule from (select book_id, sheet, no, rule, unnest(string_split(regexp_extract(rule, '^([^{}]*)\{', 1), ',')) as x from u)), p as (select book_id, cast(sheet as int) as sheet, cast(no as int) as no, selector, unnest(string_split(regexp_extract(rule, '\{([^{}]*)\}', 1), ';')) as decl from s where selector <> '' and not starts_with(selector, '@') and not regexp_matches(selector, '[ >+~:\[*#]'))
-  select book_id, sheet, no, selector, lower(trim(string_split(decl, ':')[1])) as name, lower(trim(substr(decl, strpos(decl, ':') + 1))) as value from p where contains(decl, ':') and trim(substr(decl, strpos(decl, ':') + 1)) <> ''""")
+@query(r"""with r as (select book_id, generate_subscripts(flows, 1) as sheet, unnest(flows) as css from books), c as (select book_id, sheet,
+    regexp_replace(css, '/\*.*?\*/', '', 'gs') as css from r), e as (select book_id, sheet, regexp_extract_all(css, '[^{}]*\{[^{}]*\}') as rules
+    from c), u as (select book_id, sheet, generate_subscripts(rules, 1) as no, unnest(rules) as rule from e),
+  s as (select book_id, sheet, no, lower(trim(x)) as selector, rule from (select book_id, sheet, no, rule, unnest(string_split(regexp_extract(rule, '^([^{}]*)\{', 1), ',')) as x
+    from u)), p as (select book_id, cast(sheet as int) as sheet, cast(no as int) as no, selector, unnest(string_split(regexp_extract(rule, '\{([^{}]*)\}', 1), ';')) as decl
+    from s where selector <> '' and not starts_with(selector, '@') and not regexp_matches(selector, '[ >+~:\[*#]'))
+  select book_id, sheet, no, selector, lower(trim(string_split(decl, ':')[1])) as name, lower(trim(substr(decl, strpos(decl, ':') + 1))) as value
+    from p where contains(decl, ':') and trim(substr(decl, strpos(decl, ':') + 1)) <> ''""")
 def css_rules(spark, d) -> DataFrame:
     """Declarations of every plain rule of every stylesheet; rules with selectors out of scope are dropped."""
     r = table(spark, d, "books").select("book_id", F.posexplode("flows").alias("s", "css")).withColumn("css", F.regexp_replace("css", r"(?s)/\*.*?\*/", ""))
@@ -467,7 +520,9 @@ def css_rules(spark, d) -> DataFrame:
     return p.where(F.contains("decl", F.lit(":")) & (value != "")).select("book_id", "sheet", "no", "selector", F.lower(F.trim(F.get(F.split("decl", ":"), F.lit(0)))).alias("name"), F.lower(value).alias("value"))
 
 
-@query("""with w as (select doc_id, unnest(regexp_extract_all(text, '[^ \\n\\r\\t]+')) as word from documents where text is not null) select doc_id, count(*) as n_words, cast(sum(length(word)) as bigint) as n_letters, cast(max(length(word)) as int) as longest from w group by 1""")
+@query("""with w as (select doc_id, unnest(regexp_extract_all(text, '[^ \\n\\r\\t]+')) as word from documents where text is not null)
+    select doc_id, count(*) as n_words, cast(sum(length(word)) as bigint) as n_letters, cast(max(length(word)) as int) as longest from w
+    group by 1""")
 def word_measure(spark, d) -> DataFrame:
     """Words of every text and their widths in characters."""
     w = F.transform(F.regexp_extract_all("text", F.lit(r"[^ \n\r\t]+"), F.lit(0)), F.char_length)
@@ -478,8 +533,10 @@ def word_measure(spark, d) -> DataFrame:
 # ---- references, order and assembly --------------------------------------------------------------------------------------------
 
 
-@query(r"""with t as (select book_id, regexp_extract_all(html, '(?i)<img\b[^>]*?\b(?:recindex|src)="([^"]*)"', 1) as refs from books where html is not null), e as (select book_id, generate_subscripts(refs, 1) as pos, unnest(refs) as ref from t),
-  f as (select book_id, ref, min(pos) as first_pos, count(*) as n_refs from e group by 1, 2) select book_id, ref, cast(row_number() over (partition by book_id order by first_pos) as int) as number, n_refs from f""")
+@query(r"""with t as (select book_id, regexp_extract_all(html, '(?i)<img\b[^>]*?\b(?:recindex|src)="([^"]*)"', 1) as refs from books
+    where html is not null), e as (select book_id, generate_subscripts(refs, 1) as pos, unnest(refs) as ref from t),
+  f as (select book_id, ref, min(pos) as first_pos, count(*) as n_refs from e group by 1, 2) select book_id, ref, cast(row_number()
+    over (partition by book_id order by first_pos) as int) as number, n_refs from f""")
 def image_references(spark, d) -> DataFrame:
     """Images of every page numbered by their first reference; repeated references share the number."""
     t = table(spark, d, "books").where("html is not null").select("book_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'(?i)<img\b[^>]*?\b(?:recindex|src)="([^"]*)"'), F.lit(1))).alias("p", "ref"))
@@ -487,7 +544,9 @@ def image_references(spark, d) -> DataFrame:
     return f.select("book_id", "ref", F.row_number().over(Window.partitionBy("book_id").orderBy("first_pos")).alias("number"), "n_refs")
 
 
-@query(r"""with t as (select book_id, unnest(regexp_extract_all(html, '(?i)<h[1-6][^>]*>[^<]*</h[1-6]>')) as h from books where html is not null), n as (select book_id, lower(regexp_replace(regexp_extract(h, '>([^<]*)<', 1), '\s+', ' ', 'g')) as target, cast(regexp_extract(h, '(?i)^<h([1-6])', 1) as int) as level from t)
+@query(r"""with t as (select book_id, unnest(regexp_extract_all(html, '(?i)<h[1-6][^>]*>[^<]*</h[1-6]>')) as h from books where html is not null),
+    n as (select book_id, lower(regexp_replace(regexp_extract(h, '>([^<]*)<', 1), '\s+', ' ', 'g')) as target, cast(regexp_extract(h, '(?i)^<h([1-6])', 1) as int) as level
+    from t)
   select book_id, target, cast(least(greatest(min(level), 1), 6) as int) as depth, count(*) as n from n where trim(target) <> '' group by 1, 2""")
 def toc_min_depth(spark, d) -> DataFrame:
     """The depth of each contents target: the least of its levels, from one to six."""
@@ -497,7 +556,8 @@ def toc_min_depth(spark, d) -> DataFrame:
     return n.groupBy("book_id", "target").agg(F.least(F.greatest(F.min("level"), F.lit(1)), F.lit(6)).alias("depth"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""select book_id, string_agg(text, chr(10) order by case when doc_kind = 'notes' then 1 else 0 end, chapter_no nulls last, doc_id) as assembled, count(*) as n_parts from documents where book_id is not null and text is not null group by 1""")
+@query("""select book_id, string_agg(text, chr(10) order by case when doc_kind = 'notes' then 1 else 0 end, chapter_no nulls last, doc_id) as assembled, count(*) as n_parts
+    from documents where book_id is not null and text is not null group by 1""")
 def assemble_documents(spark, d) -> DataFrame:
     """The texts of each book in reading order, notes last, as one."""
     t = table(spark, d, "documents").where("book_id is not null and text is not null")
@@ -507,7 +567,8 @@ def assemble_documents(spark, d) -> DataFrame:
 
 
 @query(r"""with w as (select book_id, list_filter(regexp_split_to_array(description, '[ \t\n\r\f\v]+'), lambda x: x <> '') as words from books where trim(description) <> '')
-  select book_id, coalesce(list_reduce(words, lambda a, x: case when octet_length(encode(string_split(a, chr(10))[-1])) + 1 + octet_length(encode(x)) > 72 then a || chr(10) || x else a || ' ' || x end), '') as wrapped from w""")
+  select book_id, coalesce(list_reduce(words, lambda a, x: case when octet_length(encode(string_split(a, chr(10))[-1])) + 1 + octet_length(encode(x)) > 72
+    then a || chr(10) || x else a || ' ' || x end), '') as wrapped from w""")
 def wrapped_titles(spark, d) -> DataFrame:
     """Descriptions wrapped greedily at 72 bytes: an ordered fold over words."""
     t = table(spark, d, "books").where("trim(description) <> ''")
@@ -520,7 +581,8 @@ def wrapped_blurbs(spark, d) -> DataFrame:
     return table(spark, d, "books").where("trim(description) <> ''").select("book_id", S.wrapped_most(F.col("description"), 72, 3).alias("wrapped"))
 
 
-@query("""with r as (select distinct book_id, idx, coalesce(kind, '') as kind from resources), w as (select lower(kind) as k, kind, book_id, idx from r) select kind, count(*) as n, count(distinct book_id) as n_books, kind <> '' as is_image from w group by 1""")
+@query("""with r as (select distinct book_id, idx, coalesce(kind, '') as kind from resources), w as (select lower(kind) as k, kind, book_id, idx
+    from r) select kind, count(*) as n, count(distinct book_id) as n_books, kind <> '' as is_image from w group by 1""")
 def resource_kinds(spark, d) -> DataFrame:
     """Resources by kind, repeats counted once."""
     r = table(spark, d, "resources").select("book_id", "idx", F.coalesce("kind", F.lit("")).alias("kind")).distinct()
@@ -537,11 +599,17 @@ _HCLASS = r"(?i)(^|\s)h[1-6](?:[^0-9A-Za-z_]|[_]|$)"
 _BLANK = r"(?:&nbsp;|[\s\x{0085}\p{Z}])+"
 
 
-@query(f"""with t as (select book_id, regexp_extract_all(regexp_replace(html, '{_HIDDEN}', '', 'g'), '<[^>]*>|[^<]+') as toks from books where html is not null), e as (select book_id, generate_subscripts(toks, 1) as pos, unnest(toks) as tok from t),
-  n as (select *, lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9:]*)', 1)) as name, starts_with(tok, '</') as closing from e), b as (select *, starts_with(tok, '<') and name in {_IN(_BOUNDS)} as bound from n), s as (select *, sum(case when bound then 1 else 0 end) over (partition by book_id order by pos rows unbounded preceding) as island from b),
-  k as (select book_id, island, max(case when not bound or closing then 'paragraph' when regexp_matches(name, '^h[1-6]$') then 'heading' when name in ('li', 'dt', 'dd') then 'list' when name = 'blockquote' then 'quote' when name in {_IN(_PARAS)} and regexp_matches(regexp_extract(tok, 'class="([^"]*)"', 1), '{_HCLASS}') then 'heading' else 'paragraph' end) filter (where bound) as kind,
+@query(f"""with t as (select book_id, regexp_extract_all(regexp_replace(html, '{_HIDDEN}', '', 'g'), '<[^>]*>|[^<]+') as toks from books
+    where html is not null), e as (select book_id, generate_subscripts(toks, 1) as pos, unnest(toks) as tok from t),
+  n as (select *, lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9:]*)', 1)) as name, starts_with(tok, '</') as closing from e), b as (select *, starts_with(tok, '<')
+    and name in {_IN(_BOUNDS)} as bound from n), s as (select *, sum(case when bound then 1 else 0 end) over (partition by book_id order by pos rows unbounded preceding) as island
+    from b),
+  k as (select book_id, island, max(case when not bound or closing then 'paragraph' when regexp_matches(name, '^h[1-6]$') then 'heading'
+    when name in ('li', 'dt', 'dd') then 'list' when name = 'blockquote' then 'quote' when name in {_IN(_PARAS)} and regexp_matches(regexp_extract(tok, 'class="([^"]*)"', 1), '{_HCLASS}')
+    then 'heading' else 'paragraph' end) filter (where bound) as kind,
     bool_or(not starts_with(tok, '<') and regexp_replace(tok, '{_BLANK}', '', 'g') <> '') as filled from s group by 1, 2)
-  select book_id, cast(count_if(coalesce(kind, 'paragraph') = 'paragraph') as bigint) as paragraphs, cast(count_if(kind = 'heading') as bigint) as headings, cast(count_if(kind = 'list') as bigint) as lists, cast(count_if(kind = 'quote') as bigint) as quotes from k where filled group by 1""")
+  select book_id, cast(count_if(coalesce(kind, 'paragraph') = 'paragraph') as bigint) as paragraphs, cast(count_if(kind = 'heading') as bigint) as headings,
+    cast(count_if(kind = 'list') as bigint) as lists, cast(count_if(kind = 'quote') as bigint) as quotes from k where filled group by 1""")
 def block_islands(spark, d) -> DataFrame:
     """Text blocks of every page by kind, without a kernel: tokens between block boundaries form islands. Equal to the kernel's counts for text blocks;
     spans, styles and stylesheets need the kernel."""

@@ -94,21 +94,40 @@ def _unescaped(x: str) -> str:
     return f"replace({x}, '&amp;', '&')"
 
 
-_FLAT_SQL = rf"""t as (select book_id, flows, regexp_extract_all(regexp_replace(html, '{_HIDDEN}', '', 'g'), '<[^>]*>|[^<]+') as toks from books where html is not null), e as (select book_id, flows, generate_subscripts(toks, 1) as nth, unnest(toks) as tok from t),
-  n as (select *, lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9:]*)', 1)) as name, starts_with(tok, '</') as closing from e), b as (select *, starts_with(tok, '<') and name in {_IN(_BOUNDS)} as bound from n),
-  s as (select *, sum(case when bound then 1 else 0 end) over w as island, sum(case when name in ('ul', 'ol') then case when closing then -1 else 1 end else 0 end) over w as depth from b window w as (partition by book_id order by nth rows unbounded preceding)),
-  h as (select book_id, island, any_value(flows) as flows, max(name) filter (where bound) as name, max(tok) filter (where bound) as tag, coalesce(bool_or(closing) filter (where bound), true) as closing, max(depth) filter (where bound) as depth,
-    string_agg(case when starts_with(tok, '<') then case when name = 'br' then chr(10) else '' end else regexp_replace({_unescaped('tok')}, '[ \t\n\r\f\v]+', ' ', 'g') end, '' order by nth) as raw from s group by 1, 2),
-  c as (select *, trim(regexp_replace(replace(regexp_replace(raw, ' {{2,}}', ' ', 'g'), chr(160), ' '), '^ +|[\s\x{{0085}}\p{{Z}}]+$', '', 'g'), ' ') as text, regexp_extract(coalesce(tag, ''), 'class="([^"]*)"', 1) as cls from h),
-  f as (select *, case when closing then 'paragraph' when regexp_matches(name, '^h[1-6]$') then 'heading' when name in ('li', 'dt', 'dd') then 'list' when name = 'blockquote' then 'quote' when name in {_IN(_PARAS)} and regexp_matches(cls, '{_HCLASS}') then 'heading' else 'paragraph' end as kind from c),
-  v as (select book_id, island, 0 as o, case name when 'hr' then 'rule' when 'mbp:pagebreak' then 'page_break' else 'image' end as kind, 0 as level, case when name in ('img', 'image') then 'center' else '' end as align, '' as text, cast(coalesce(nullif(regexp_extract(tag, 'recindex="(\d+)"', 1), ''), '0') as int) as resource, regexp_extract(tag, 'alt="([^"]*)"', 1) as alt, 0.0 as scale, 0.0 as margin_left, 0.0 as indent
+_FLAT_SQL = rf"""t as (select book_id, flows, regexp_extract_all(regexp_replace(html, '{_HIDDEN}', '', 'g'), '<[^>]*>|[^<]+') as toks
+    from books where html is not null), e as (select book_id, flows, generate_subscripts(toks, 1) as nth, unnest(toks) as tok from t),
+  n as (select *, lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9:]*)', 1)) as name, starts_with(tok, '</') as closing from e), b as (select *, starts_with(tok, '<')
+    and name in {_IN(_BOUNDS)} as bound from n),
+  s as (select *, sum(case when bound then 1 else 0 end) over w as island, sum(case when name in ('ul', 'ol') then case when closing
+    then -1 else 1 end else 0 end) over w as depth from b window w as (partition by book_id order by nth rows unbounded preceding)),
+  h as (select book_id, island, any_value(flows) as flows, max(name) filter (where bound) as name, max(tok) filter (where bound) as tag,
+    coalesce(bool_or(closing) filter (where bound), true) as closing, max(depth) filter (where bound) as depth,
+    string_agg(case when starts_with(tok, '<') then case when name = 'br' then chr(10) else '' end else regexp_replace({_unescaped('tok')}, '[ \t\n\r\f\v]+', ' ', 'g') end, ''
+    order by nth) as raw from s group by 1, 2),
+  c as (select *, trim(regexp_replace(replace(regexp_replace(raw, ' {{2,}}', ' ', 'g'), chr(160), ' '), '^ +|[\s\x{{0085}}\p{{Z}}]+$', '', 'g'), ' ') as text,
+    regexp_extract(coalesce(tag, ''), 'class="([^"]*)"', 1) as cls from h),
+  f as (select *, case when closing then 'paragraph' when regexp_matches(name, '^h[1-6]$') then 'heading' when name in ('li', 'dt', 'dd')
+    then 'list' when name = 'blockquote' then 'quote' when name in {_IN(_PARAS)} and regexp_matches(cls, '{_HCLASS}') then 'heading'
+    else 'paragraph' end as kind from c),
+  v as (select book_id, island, 0 as o, case name when 'hr' then 'rule' when 'mbp:pagebreak' then 'page_break' else 'image' end as kind, 0 as level,
+    case when name in ('img', 'image') then 'center' else '' end as align, '' as text, cast(coalesce(nullif(regexp_extract(tag, 'recindex="(\d+)"', 1), ''), '0') as int) as resource,
+    regexp_extract(tag, 'alt="([^"]*)"', 1) as alt, 0.0 as scale, 0.0 as margin_left, 0.0 as indent
     from f where not closing and name in ('hr', 'mbp:pagebreak', 'img', 'image') union all
-    select book_id, island, 1, kind, case when kind = 'heading' then cast(coalesce(nullif(regexp_extract(name, '^h([1-6])$', 1), ''), regexp_extract(lower(cls), '(?:^|\s)h([1-6])', 1)) as int) when kind = 'list' then greatest(depth, 1) else 0 end,
-    case when closing then '' when contains(lower(coalesce(regexp_extract(tag, 'align="([^"]*)"', 1), '') || cls), 'center') or (name in ('h1', 'h2') and list_contains(flows, 'h1,h2{{text-align:center}}')) then 'center' else '' end, replace(text, chr(10), ' '), 0, '',
-    case when not closing and regexp_matches(cls, '(^|\s)note(\s|$)') and list_contains(flows, '.note{{font-size:small}}') then 0.85 else 0.0 end, case when not closing and regexp_matches(cls, '(^|\s)verse(\s|$)') and list_contains(flows, '.verse{{margin-left:2em}}') then 2.0 else 0.0 end,
-    case when not closing and name = 'p' and list_contains(flows, 'p{{margin:0;text-indent:1.2em}}') then 1.2 else 0.0 end from f where regexp_replace(raw, '[\s\x{{0085}}\p{{Z}}]+', '', 'g') <> '' and (name is null or closing or name not in ('hr', 'mbp:pagebreak', 'img', 'image')) union all
-    select book_id, island, 1, 'paragraph', 0, '', replace(text, chr(10), ' '), 0, '', 0.0, 0.0, 0.0 from f where not closing and name in ('hr', 'mbp:pagebreak', 'img', 'image') and regexp_replace(raw, '[\s\x{{0085}}\p{{Z}}]+', '', 'g') <> ''),
-  g as (select *, lag(kind) over (partition by book_id order by island, o) as before from v where kind <> 'image' or resource > 0), k as (select *, cast(row_number() over (partition by book_id order by island, o) as int) as pos from g where not (kind = 'page_break' and coalesce(before, '') = 'page_break'))"""
+    select book_id, island, 1, kind, case when kind = 'heading' then cast(coalesce(nullif(regexp_extract(name, '^h([1-6])$', 1), ''),
+    regexp_extract(lower(cls), '(?:^|\s)h([1-6])', 1)) as int) when kind = 'list' then greatest(depth, 1) else 0 end,
+    case when closing then '' when contains(lower(coalesce(regexp_extract(tag, 'align="([^"]*)"', 1), '') || cls), 'center') or (name in ('h1', 'h2')
+    and list_contains(flows, 'h1,h2{{text-align:center}}')) then 'center' else '' end, replace(text, chr(10), ' '), 0, '',
+    case when not closing and regexp_matches(cls, '(^|\s)note(\s|$)') and list_contains(flows, '.note{{font-size:small}}') then 0.85
+    else 0.0 end, case when not closing and regexp_matches(cls, '(^|\s)verse(\s|$)') and list_contains(flows, '.verse{{margin-left:2em}}')
+    then 2.0 else 0.0 end,
+    case when not closing and name = 'p' and list_contains(flows, 'p{{margin:0;text-indent:1.2em}}') then 1.2 else 0.0 end from f where
+    regexp_replace(raw, '[\s\x{{0085}}\p{{Z}}]+', '', 'g') <> '' and (name is null or closing or name not in ('hr', 'mbp:pagebreak', 'img', 'image'))
+    union all
+    select book_id, island, 1, 'paragraph', 0, '', replace(text, chr(10), ' '), 0, '', 0.0, 0.0, 0.0 from f where not closing and name in ('hr', 'mbp:pagebreak', 'img', 'image')
+    and regexp_replace(raw, '[\s\x{{0085}}\p{{Z}}]+', '', 'g') <> ''),
+  g as (select *, lag(kind) over (partition by book_id order by island, o) as before from v where kind <> 'image' or resource > 0),
+    k as (select *, cast(row_number() over (partition by book_id order by island, o) as int) as pos from g where not (kind = 'page_break'
+    and coalesce(before, '') = 'page_break'))"""
 
 _COUNTS = ("total", "paragraphs", "headings", "images", "breaks")
 ORACLES = {

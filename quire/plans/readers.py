@@ -159,8 +159,10 @@ def fictionbook(r: dict) -> bytes:
 # ---- queries -------------------------------------------------------------------------------------------------------------------
 
 #: Pictures of each book as the readers' files hold them: one for each distinct place and bytes, by place.
-_PICTURES_SQL = """p as (select distinct book_id, idx, coalesce(payload, ''::blob) as payload from resources where book_id is not null), s as (select book_id, row_number() over (partition by book_id order by idx, hex(payload)) as no, payload,
-  case when octet_length(payload) < 8 then '' when substr(hex(payload), 1, 6) = 'FFD8FF' then 'jpeg' when substr(hex(payload), 3, 6) = '504E47' then 'png' when substr(hex(payload), 1, 6) = '474946' then 'gif' when substr(hex(payload), 1, 4) = '424D' then 'bmp'
+_PICTURES_SQL = """p as (select distinct book_id, idx, coalesce(payload, ''::blob) as payload from resources where book_id is not null),
+    s as (select book_id, row_number() over (partition by book_id order by idx, hex(payload)) as no, payload,
+  case when octet_length(payload) < 8 then '' when substr(hex(payload), 1, 6) = 'FFD8FF' then 'jpeg' when substr(hex(payload), 3, 6) = '504E47'
+    then 'png' when substr(hex(payload), 1, 6) = '474946' then 'gif' when substr(hex(payload), 1, 4) = '424D' then 'bmp'
   when octet_length(payload) >= 12 and substr(hex(payload), 1, 8) = '52494646' and substr(hex(payload), 17, 8) = '57454250' then 'webp' else '' end as kind from p),
   i as (select book_id, no, cast(row_number() over (partition by book_id order by no) as int) as shown from s where kind <> ''), c as (select book_id, cast(count(*) as int) as n from i group by 1)"""
 
@@ -203,8 +205,10 @@ def palmdoc_roundtrip(spark, d) -> DataFrame:
 _T = lambda c: TRIM(f"coalesce({c}, '')")
 
 
-@query(f"""with {_PICTURES_SQL} select b.book_id, coalesce(nullif({_T('title')}, ''), 'Untitled') as title, {TEXTS('authors')} as authors, {_T('publisher')} as publisher, {_T('isbn')} as isbn, {_T('published')} as published, coalesce(nullif({_T('language_tag')}, ''), 'en') as language, {TEXTS('subjects')} as subjects,
-  case when format_name like '%v8%' then 'KF8 / AZW3 (MOBI v8)' else 'MOBI v6' end as format, case compression when 'PalmDOC' then 'PalmDOC' when 'HUFF/CDIC' then 'HUFF/CDIC' else 'none' end as compression, cast(octet_length(encode(html)) as int) as text_bytes, md5(html) as digest,
+@query(f"""with {_PICTURES_SQL} select b.book_id, coalesce(nullif({_T('title')}, ''), 'Untitled') as title, {TEXTS('authors')} as authors, {_T('publisher')} as publisher, {_T('isbn')} as isbn, {_T('published')} as published,
+    coalesce(nullif({_T('language_tag')}, ''), 'en') as language, {TEXTS('subjects')} as subjects,
+  case when format_name like '%v8%' then 'KF8 / AZW3 (MOBI v8)' else 'MOBI v6' end as format, case compression when 'PalmDOC' then 'PalmDOC'
+    when 'HUFF/CDIC' then 'HUFF/CDIC' else 'none' end as compression, cast(octet_length(encode(html)) as int) as text_bytes, md5(html) as digest,
   coalesce(c.n, 0) as n_resources, cast(i.no as int) as cover_index from books b left join c on c.book_id = b.book_id left join i on i.book_id = b.book_id and i.no = b.cover_index where html <> ''""")
 def mobi_read(spark, d) -> DataFrame:
     """Every book as a Kindle file under its row's compression: container, header, typed metadata, trailers, both compressions, resources and cover."""
@@ -215,7 +219,8 @@ def mobi_read(spark, d) -> DataFrame:
 
 
 @query(f"""with {_PICTURES_SQL}, m as ({TABLE_SQL['package_metadata']}) select o.opf_id, coalesce(nullif(m.title, ''), 'opf_id-' || o.opf_id) as title, m.authors, m.publisher, m.published, m.rights, m.language_tag as language, m.subjects, m.isbn, m.format_name as format,
-  coalesce(c.n, 0) as n_resources, i.shown as cover_index from opf_metadata o join m on m.opf_id = o.opf_id left join books b on b.book_id = o.book_id left join c on c.book_id = o.book_id left join i on i.book_id = o.book_id and i.no = b.cover_index""")
+  coalesce(c.n, 0) as n_resources, i.shown as cover_index from opf_metadata o join m on m.opf_id = o.opf_id left join books b on b.book_id = o.book_id
+    left join c on c.book_id = o.book_id left join i on i.book_id = o.book_id and i.no = b.cover_index""")
 def epub_read(spark, d) -> DataFrame:
     """Every package record as an EPUB file: archive, container, package document, manifest, numbered images, cover and spine."""
     tune(spark, 200)
@@ -248,8 +253,12 @@ def fb2_read(spark, d) -> DataFrame:
 _ESCAPED = "replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 
 
-@query(f"""{_PARA_SQL}, o as (select doc_id, para_no, len(string_split(k, chr(10))) as n, replace(k, chr(10), ' ') as line, regexp_replace(replace(k, chr(10), ' '), '\\.$', '') as bare from c), h as (select *, n = 1 and length(line) <= 60 and ((bare <> '' and octet_length(encode(bare)) <= 7 and lower(bare) <> 'i' and regexp_matches(bare, '{_ROMAN}'))
-  or (not regexp_matches(line, '[.,;:]$') and regexp_matches(line, '{_KEYWORD_SQL}'))) as head from o) select doc_id, count(*) as n_paragraphs, cast(count_if(head) as bigint) as n_headings, md5(string_agg(case when head then '<mbp:pagebreak/><h2>' || {_ESCAPED.format(x='line')} || '</h2>' else '<p>' || {_ESCAPED.format(x='line')} || '</p>' end || chr(10), '' order by para_no)) as digest from h group by 1""")
+@query(f"""{_PARA_SQL}, o as (select doc_id, para_no, len(string_split(k, chr(10))) as n, replace(k, chr(10), ' ') as line, regexp_replace(replace(k, chr(10), ' '), '\\.$', '') as bare
+    from c), h as (select *, n = 1 and length(line) <= 60 and ((bare <> '' and octet_length(encode(bare)) <= 7 and lower(bare) <> 'i'
+    and regexp_matches(bare, '{_ROMAN}'))
+  or (not regexp_matches(line, '[.,;:]$') and regexp_matches(line, '{_KEYWORD_SQL}'))) as head from o) select doc_id, count(*) as n_paragraphs,
+    cast(count_if(head) as bigint) as n_headings, md5(string_agg(case when head then '<mbp:pagebreak/><h2>' || {_ESCAPED.format(x='line')} || '</h2>'
+    else '<p>' || {_ESCAPED.format(x='line')} || '</p>' end || chr(10), '' order by para_no)) as digest from h group by 1""")
 def text_read(spark, d) -> DataFrame:
     """Every text as a file: decoded, framed lines cut off, paragraphs and headings marked up; the digest covers the whole markup."""
     tune(spark, 500)
@@ -260,7 +269,8 @@ def text_read(spark, d) -> DataFrame:
 
 
 @query(r"""with v as (select book_id, html from books where html <> ''), t as (select book_id, regexp_replace(html, '(?is)<!--.*?-->', '', 'g') as html from v)
-  select book_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), ''), 'page-' || book_id) as title, trim(regexp_extract(html, '(?is)<html[^>]*\slang="([^"]*)"', 1)) as language, 0 as n_resources, 'HTML' as format from t""")
+  select book_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), ''), 'page-' || book_id) as title, trim(regexp_extract(html, '(?is)<html[^>]*\slang="([^"]*)"', 1)) as language, 0 as n_resources, 'HTML' as format
+    from t""")
 def page_read(spark, d) -> DataFrame:
     """Every book's markup as a page on its own: charset, tree, title, language; without files beside it no picture is found."""
     tune(spark, 200)
@@ -268,7 +278,9 @@ def page_read(spark, d) -> DataFrame:
     return reader.read_books(spread(files), with_data=False).where("error is null").select(F.regexp_extract("path", r"page-(-?\d+)\.html", 1).cast("bigint").alias("book_id"), "title", "language", "n_resources", "format")
 
 
-@query("""select book_id, case when format_name like 'Kindle%' or format_name like 'MOBI%' or format_name like 'KF8%' then 'mobi' when format_name like 'EPUB%' then 'epub' when format_name like 'Comic%' then 'cbz' when format_name like 'FictionBook%' then case when lower(file_path) like '%.fb2.zip' then 'fb2zip' else 'fb2' end
+@query("""select book_id, case when format_name like 'Kindle%' or format_name like 'MOBI%' or format_name like 'KF8%' then 'mobi' when format_name like 'EPUB%'
+    then 'epub' when format_name like 'Comic%' then 'cbz' when format_name like 'FictionBook%' then case when lower(file_path) like '%.fb2.zip'
+    then 'fb2zip' else 'fb2' end
   when format_name = 'HTML' then 'html' when format_name = 'Plain text' then 'text' else 'unknown' end as detected from books""")
 def detect_files(spark, d) -> DataFrame:
     """The format that is detected from the first bytes and the name of each book's file, written in the format that its row names."""
