@@ -11,6 +11,7 @@ def queries() -> dict:
         "p1_restore": charset.p1_restore,
         "p4_found": lookalike.p4_found,
         "p4_unify": lookalike.p4_unify,
+        "p4_shown": lookalike.p4_shown,
         "p5_found": markup.p5_found,
         "p5_kinds": markup.p5_kinds,
         "p5_clean": markup.p5_clean,

@@ -272,14 +272,19 @@ def book_values(spark, sf_dir: str) -> DataFrame:
 
 
 def p4_unify(spark, sf_dir: str) -> DataFrame:
-    """Every title and author in the form that comparisons use and in the form for readers, and whether the first differs from the text as it stands."""
+    """Every title and author in the form that comparisons use, and whether that differs from the text as it stands."""
+    tune(spark, 10_000)
+    return looks(book_values(spark, sf_dir)).select("field", "book_id", "raw", F.col("look").alias("uniform"), (F.col("raw") != F.col("look")).alias("changed"))
+
+
+def p4_shown(spark, sf_dir: str) -> DataFrame:
+    """Every title and author in the form for readers."""
     tune(spark, 10_000)
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*b.columns, unify(b.column(2)), shown(b.column(2))], names=["field", "book_id", "raw", "uniform", "shown"])
+        return pa.RecordBatch.from_arrays([*b.columns, shown(b.column(2))], names=["field", "book_id", "raw", "shown"])
 
-    out = arrow_map(book_values(spark, sf_dir).where("raw is not null"), kernel, "field string, book_id bigint, raw string, uniform string, shown string")
-    return out.withColumn("changed", F.col("raw") != F.col("uniform"))
+    return arrow_map(book_values(spark, sf_dir).where("raw is not null"), kernel, "field string, book_id bigint, raw string, shown string")
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
