@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quire.operators import pdf
 from quire.operators.flatten import flatten
 from quire.operators.paginate import Options, paginate
+from quire.plans.inspect import _FLAT_SQL
 from quire.runtime import arrow_map, spread, table, tune
 from quire.sources import images
 
@@ -85,6 +86,12 @@ def paginate_books(spark, d) -> DataFrame:
     return convert(books(spark, d), files=False).drop("out_bytes")
 
 
+def render_counts(spark, d) -> DataFrame:
+    """What a run reports of every book beside its pages: headings in the outline, pictures placed and dropped, and the error of a book without text."""
+    tune(spark, 200)
+    return convert(books(spark, d), files=False).select("book_id", "headings", "images", "dropped", "error")
+
+
 def compact_pages(spark, d) -> DataFrame:
     """Pages of every book in the default and in the compact layout, and their share; a book is flattened once and laid out twice in the same row."""
     from quire.plans.naming import options_for
@@ -122,10 +129,13 @@ def resource_pixels(spark, d) -> DataFrame:
     return arrow_map(table(spark, d, "resources").select("book_id", "idx", "payload"), kernel, "book_id bigint, idx int, width bigint, height bigint")
 
 
-QUERIES = {f.__name__: f for f in (paginate_books, compact_pages, book_files, resource_pixels)}
+QUERIES = {f.__name__: f for f in (paginate_books, render_counts, compact_pages, book_files, resource_pixels)}
 
 # the tables hold the first 16 to 20 bytes of a resource: enough for the size of a GIF, and of a PNG where there are 24
 ORACLES = {
+    "render_counts": f"""with {_FLAT_SQL}, m as (select book_id, count(*) as total, count_if(kind = 'heading' and trim(text) <> '') as headings, count_if(kind = 'image') as dropped from k group by 1)
+  select b.book_id, case when m.total > 0 then cast(m.headings as int) end as headings, case when m.total > 0 then cast(0 as int) end as images, case when m.total > 0 then cast(m.dropped as int) end as dropped,
+    case when coalesce(m.total, 0) = 0 then 'the book contains no readable text' end as error from books b left join m on m.book_id = b.book_id""",
     "resource_pixels": """with r as (select book_id, idx, hex(payload) as h, octet_length(payload) as n from resources), w as (select *, case when n >= 10 and substr(h, 1, 6) = '474946' then 'gif' when n >= 24 and substr(h, 3, 6) = '504E47' then 'png' end as k from r)
   select book_id, idx, case k when 'gif' then cast('0x' || substr(h, 15, 2) || substr(h, 13, 2) as bigint) when 'png' then cast('0x' || substr(h, 33, 8) as bigint) end as width, case k when 'gif' then cast('0x' || substr(h, 19, 2) || substr(h, 17, 2) as bigint) when 'png' then cast('0x' || substr(h, 41, 8) as bigint) end as height from w""",
 }
