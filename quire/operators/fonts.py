@@ -6,28 +6,75 @@ import os
 import struct
 from functools import lru_cache
 
-# Where the font files lie.
-FOLDERS = ("/usr/share/fonts/truetype/dejavu", "/usr/share/fonts/dejavu", "/usr/share/fonts/TTF")
-# Files by family and (bold, italic), and the standard fonts that replace them.
-FILES = {
-    "serif": ("DejaVuSerif.ttf", "DejaVuSerif-Bold.ttf", "DejaVuSerif-Italic.ttf", "DejaVuSerif-BoldItalic.ttf"),
-    "sans": ("DejaVuSans.ttf", "DejaVuSans-Bold.ttf", "DejaVuSans-Oblique.ttf", "DejaVuSans-BoldOblique.ttf"),
-    "mono": ("DejaVuSansMono.ttf", "DejaVuSansMono-Bold.ttf", "DejaVuSansMono-Oblique.ttf", "DejaVuSansMono-BoldOblique.ttf"),
+# Where font files lie; for each choice the families in order of preference with their files (regular, bold, italic, bold italic).
+FOLDERS = (
+    "/usr/share/fonts/truetype/dejavu", "/usr/share/fonts/truetype/liberation", "/usr/share/fonts/truetype/liberation2", "/usr/share/fonts/TTF", "/usr/share/fonts/truetype", "/usr/local/share/fonts",
+    "/System/Library/Fonts/Supplemental", "/Library/Fonts", os.path.expanduser("~/Library/Fonts"), os.path.join(os.environ.get("WINDIR", "C:\\Windows"), "Fonts"),
+)
+FAMILIES = {
+    "serif": (
+        ("Georgia", ("georgia.ttf", "georgiab.ttf", "georgiai.ttf", "georgiaz.ttf")),
+        ("Times New Roman", ("times.ttf", "timesbd.ttf", "timesi.ttf", "timesbi.ttf")),
+        ("Times New Roman", ("Times New Roman.ttf", "Times New Roman Bold.ttf", "Times New Roman Italic.ttf", "Times New Roman Bold Italic.ttf")),
+        ("DejaVu Serif", ("DejaVuSerif.ttf", "DejaVuSerif-Bold.ttf", "DejaVuSerif-Italic.ttf", "DejaVuSerif-BoldItalic.ttf")),
+        ("Liberation Serif", ("LiberationSerif-Regular.ttf", "LiberationSerif-Bold.ttf", "LiberationSerif-Italic.ttf", "LiberationSerif-BoldItalic.ttf")),
+    ),
+    "sans": (
+        ("Segoe UI", ("segoeui.ttf", "segoeuib.ttf", "segoeuii.ttf", "segoeuiz.ttf")),
+        ("Arial", ("arial.ttf", "arialbd.ttf", "ariali.ttf", "arialbi.ttf")),
+        ("Helvetica", ("Helvetica.ttf", "Helvetica-Bold.ttf", "Helvetica-Oblique.ttf", "Helvetica-BoldOblique.ttf")),
+        ("DejaVu Sans", ("DejaVuSans.ttf", "DejaVuSans-Bold.ttf", "DejaVuSans-Oblique.ttf", "DejaVuSans-BoldOblique.ttf")),
+        ("Liberation Sans", ("LiberationSans-Regular.ttf", "LiberationSans-Bold.ttf", "LiberationSans-Italic.ttf", "LiberationSans-BoldItalic.ttf")),
+    ),
+    "mono": (
+        ("Consolas", ("consola.ttf", "consolab.ttf", "consolai.ttf", "consolaz.ttf")),
+        ("DejaVu Sans Mono", ("DejaVuSansMono.ttf", "DejaVuSansMono-Bold.ttf", "DejaVuSansMono-Oblique.ttf", "DejaVuSansMono-BoldOblique.ttf")),
+        ("Courier New", ("cour.ttf", "courbd.ttf", "couri.ttf", "courbi.ttf")),
+    ),
 }
+# Endings of a font file's siblings (bold, italic, bold italic), and the standard fonts for where no file is found.
+SIBLINGS = (("-Bold", "bd", "b", "-bold"), ("-Italic", "i", "-italic", "-Oblique"), ("-BoldItalic", "z", "bi", "-bolditalic"))
 STANDARD = {"serif": ("Times-Roman", "Times-Bold", "Times-Italic", "Times-BoldItalic"), "sans": ("Helvetica", "Helvetica-Bold", "Helvetica-Oblique", "Helvetica-BoldOblique"), "mono": ("Courier", "Courier-Bold", "Courier-Oblique", "Courier-BoldOblique")}
 
 
+def usable(path: str) -> bool:
+    """Whether a file holds TrueType outlines; collections and other outlines are not read."""
+    try:
+        with open(path, "rb") as f:
+            return f.read(4) in (b"\0\1\0\0", b"true")
+    except OSError:
+        return False
+
+
+@lru_cache(maxsize=64)
+def resolved(choice: str) -> tuple[str, str, tuple[str, ...]]:
+    """(kind, name, files of the four faces) of a font choice: ``serif``, ``sans``, ``mono`` or a font file; anything else is ``serif``. A face without a file takes that of a plainer one; no files: a standard font."""
+    kind = choice.strip().lower() or "serif"
+    if kind not in FAMILIES and usable(choice):
+        stem = os.path.splitext(choice)[0]
+        options = [(os.path.basename(choice), [choice, *(next((p for e in ends if usable(p := f"{stem}{e}.ttf")), "") for ends in SIBLINGS)])]
+        kind = "serif"
+    else:
+        kind = kind if kind in FAMILIES else "serif"
+        options = [(name, [os.path.join(d, f) for f in files]) for name, files in FAMILIES[kind] for d in FOLDERS]
+    for name, paths in options:
+        if usable(paths[0]):
+            regular, bold, italic, both = (p if p and usable(p) else "" for p in paths)
+            return kind, name, (regular, bold or regular, italic or regular, both or bold or regular)
+    return kind, STANDARD[kind][0], ()
+
+
 class Font:
     """Advances by character, in thousandths of the size; ``data`` is None for a standard font."""
 
     def __init__(self, family: str, face: int) -> None:
+        kind, self.title, files = resolved(family)
         self.family, self.face = family, face
-        self.name = STANDARD[family][face]
+        self.name = STANDARD[kind][face]
         self.data: bytes | None = None
         self.memo: dict[str, float] = {}
-        path = next((p for d in FOLDERS if os.path.exists(p := os.path.join(d, FILES[family][face]))), None) or next((p for d in FOLDERS if os.path.exists(p := os.path.join(d, FILES[family][0]))), None)
-        if path:
-            with open(path, "rb") as f:
+        if files:
+            with open(files[face], "rb") as f:
                 self._read(f.read())
 
     def _read(self, data: bytes) -> None:
@@ -128,4 +175,4 @@ class Font:
 
 @lru_cache(maxsize=16)
 def font(family: str, face: int) -> Font:
-    return Font(family if family in FILES else "serif", face)
+    return Font(family, face)

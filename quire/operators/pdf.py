@@ -97,6 +97,14 @@ def _flattened(w: Writer, size: tuple[int, int], depth: int, colour: int, laced:
     return w.stream(bytes(out), head + b" /BitsPerComponent 8 /ColorSpace %s" % (b"/DeviceGray" if n == 2 else b"/DeviceRGB"))
 
 
+def refuse_lost(text: str) -> None:
+    """A standard font shows Western European letters only: other texts are refused, never turned into question marks."""
+    try:
+        text.encode("cp1252")
+    except UnicodeEncodeError as e:
+        raise ValueError(f"no font file is installed that shows {text[e.start]!r}") from None
+
+
 def write(laid: Laid, title: str = "", pictures: dict[int, bytes] | None = None) -> bytes:
     """The file of laid-out pages."""
     w, pictures = Writer(), pictures or {}
@@ -107,6 +115,8 @@ def write(laid: Laid, title: str = "", pictures: dict[int, bytes] | None = None)
         for s in p.steps:
             if s[0] == "text":
                 f = font(s[4], s[5])
+                if f.data is None:
+                    refuse_lost(s[3])
                 seen = used.setdefault((s[4], s[5]), {})
                 for ch in s[3]:
                     seen.setdefault(f.glyph(ch) if f.data is not None else ord(ch), ch)

@@ -116,3 +116,31 @@ def test_lines_fill_and_break():
     assert blank[1][2] - blank[0][2] == pytest.approx(2 * o.font_size * o.line_spacing)
     joined = paginate(flatten("<p><b>Note:</b> text</p>"), o).pages[0].steps
     assert joined[1][1] > joined[0][1] + 20
+
+
+def test_fonts_by_choice(tmp_path, monkeypatch):
+    import shutil
+
+    from quire.operators import fonts
+
+    kind, name, files = fonts.resolved("serif")
+    assert kind == "serif" and (not files or len(files) == 4)
+    if files:
+        path = str(tmp_path / "My.ttf")
+        shutil.copy(files[0], path)
+        shutil.copy(files[1], str(tmp_path / "My-Bold.ttf"))
+        assert fonts.resolved(path) == ("serif", "My.ttf", (path, str(tmp_path / "My-Bold.ttf"), path, str(tmp_path / "My-Bold.ttf")))
+        laid = paginate(flatten("<p>x <b>y</b></p>"), Options(font=path))
+        assert laid.font(Options(font=path)) == "My.ttf" and write(laid).startswith(b"%PDF")
+        assert fonts.resolved(str(tmp_path / "none.ttf"))[1] == name
+    monkeypatch.setattr(fonts, "FOLDERS", ())
+    fonts.resolved.cache_clear()
+    fonts.font.cache_clear()
+    try:
+        assert fonts.resolved("sans") == ("sans", "Helvetica", ())
+        assert write(paginate(flatten("<p>é</p>"), Options())).startswith(b"%PDF")
+        with pytest.raises(ValueError, match="font"):
+            write(paginate(flatten("<p>Привет</p>"), Options()))
+    finally:
+        fonts.resolved.cache_clear()
+        fonts.font.cache_clear()
