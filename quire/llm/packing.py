@@ -121,6 +121,18 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
                     down ^= 1 << (capacity - x)
             out.append((combo, times))
 
+    order = sorted(left)
+
+    def below(gap: int) -> Iterator[int]:
+        """The open lengths up to the gap, the longest first; used-up ones are swept out of the list once they are half of it."""
+        nonlocal order
+        if len(order) > 2 * len(left) + 16:
+            order = [x for x in order if x in left]
+        held = order
+        for k in range(bisect.bisect_right(held, gap) - 1, -1, -1):
+            if held[k] in left:
+                yield held[k]
+
     if capacity in left:
         use((capacity,))
     for big in sorted(left, reverse=True):
@@ -132,16 +144,15 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
         if big not in left:
             continue
         # pairs and triples by their sums: the partner of each length is looked up under the sum that is still missing
-        small = [x for x in sorted(left, reverse=True) if x <= gap]
-        for x in small:
-            if big not in left:
+        for x in below(gap):
+            if big not in left or 2 * x < gap:
                 break
             y = gap - x
             if 0 < y <= x and x in left and y in left:
                 use((big, x, y))
         if big not in left:
             continue
-        for x in small:
+        for x in below(gap):
             if big not in left or 3 * x < gap:
                 break
             if x not in left:
