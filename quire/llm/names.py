@@ -353,6 +353,11 @@ def _short_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*b.columns, pa.array([k == "g" and short_form(f, w) for k, w, f in zip(b.column(0).to_pylist(), known, form)])], names=[*b.schema.names, "short"])
 
 
+def _close_kernel(b: pa.RecordBatch) -> pa.RecordBatch:
+    close = [_nearest(f, k) <= 1 for f, k in zip(b.column(1).to_pylist(), b.column(3).to_pylist())]
+    return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(close, pa.bool_())], names=["word", "form", "place", "close"])
+
+
 def profiles_of(agents: DataFrame) -> DataFrame:
     """The starting profiles; an organisation's anchor is the word that fewest organisations share, by powers of four, the first of them on a tie."""
     a = agents.where("agent_id is not null and agent_name is not null").select("agent_id", "agent_kind", "agent_name")
@@ -370,7 +375,10 @@ def forms_of(left: DataFrame, halves: DataFrame, profiles: DataFrame) -> DataFra
     """
     met = left.select(F.explode("pairs").alias("x")).select(F.split("x", "\t").alias("x")).select(F.col("x")[0].alias("place"), F.col("x")[1].alias("form")).distinct()
     given = profiles.where("kind <> 'publisher'").select(F.explode("families").alias("place"), F.get("firsts", F.lit(0)).alias("word"), F.col("firsts").alias("known")).where("length(word) > 1")
-    new = met.join(given, "place").where(~F.array_contains("known", F.col("form"))).select(F.lit("g").alias("kind"), "word", "form", "place")
+    # a name that some agent of the family bears, or bears but for an error, is that agent's and says nothing about the others
+    pairs = arrow_map(met.join(given, "place").select("word", "form", "place", "known"), _close_kernel, "word string, form string, place string, close boolean")
+    borne = pairs.where("close").select("form", "place").distinct()
+    new = pairs.join(borne, ["form", "place"], "left_anti").select(F.lit("g").alias("kind"), "word", "form", "place")
     half = halves.select(F.explode("new").alias("x")).select(F.split("x", "\t").alias("x"))
     seen = new.unionByName(half.select(F.lit("w").alias("kind"), F.col("x")[0].alias("word"), F.col("x")[1].alias("form"), F.col("x")[2].alias("place")))
     n = seen.distinct().groupBy("kind", "word", "form").agg(F.count(F.lit(1)).alias("n"))

@@ -67,3 +67,11 @@ def test_forms_are_learned_for_names_that_the_code_does_not_hold(spark):
 def test_short_forms_and_abbreviations():
     assert N.short_form("ben", "benjamin") and N.short_form("mike", "michael") and N.short_form("mick", "michael") and not N.short_form("bob", "robert")
     assert N.abbreviates("vlg", "verlag") and N.abbreviates("univ", "university") and not N.abbreviates("books", "bookshops") and not N.abbreviates("pr", "books")
+
+
+def test_names_of_the_same_family_teach_nothing(spark):
+    agents = [(1, "person", "Eleanor Drayensen"), (2, "person", "Walter J. Drayensen"), (3, "person", "Eleanor Ostinholt"), (4, "person", "Walter B. Ostinholt")]
+    want = {"Walter Draynsen": 2, "Waletr Drayensen": 2, "Walter K. Drayensen": None, "Walter C. Ostinholt": None, "Walterr X. Ostinholt": None, "Eleanor Draynsen": 1, "Walter Ostinholt": 4}
+    mentions = spark.createDataFrame([(m,) for m in want], "mention string")
+    got = {r["mention"]: r["agent_id"] for r in N.resolve(mentions, spark.createDataFrame(agents, "agent_id int, agent_kind string, agent_name string")).collect()}
+    assert got == {m: a for m, a in want.items() if a}
