@@ -64,7 +64,7 @@ def page_size(name: str) -> tuple[float, float]:
 
 def _values(layer: dict) -> dict:
     """A layer's settings as option values: sizes by name, margins in mm."""
-    out = {k: v for k, v in layer.items() if k not in ("page_size", "margin_mm")}
+    out = {k: v for k, v in layer.items() if k in Options.__dataclass_fields__}
     if layer.get("page_size"):
         out["page_w"], out["page_h"] = page_size(layer["page_size"])
     if layer.get("margin_mm") is not None:

@@ -12,9 +12,12 @@ def test_flags_and_config(tmp_path):
         with pytest.raises(ValueError):
             naming.check_flags(bad)
     naming.check_flags({"font_size": 12})
-    assert naming.load_config(str(tmp_path / "none.yaml")) == ({}, None)
+    assert naming.load_config(str(tmp_path / "none.yaml")) == (naming.DEFAULTS, None)
     (tmp_path / "c.yaml").write_text("font_size: 12\njustify: false\n")
-    assert naming.load_config(str(tmp_path / "c.yaml")) == ({"font_size": 12, "justify": False}, None)
+    got, error = naming.load_config(str(tmp_path / "c.yaml"))
+    assert error is None and got == naming.DEFAULTS | {"font_size": 12, "justify": False}
+    o = naming.options_for("compact", config=got)
+    assert o.font_size == 12 and not o.justify
     (tmp_path / "d.yaml").write_text("a: [\n")
     assert naming.load_config(str(tmp_path / "d.yaml"))[1]
 
@@ -55,7 +58,37 @@ def test_scalars(spark):
 def test_broadcast_only_after_a_count(spark):
     small, large = spark.range(5), spark.range(50)
     plan = lambda df: spark.range(9).join(df, "id")._jdf.queryExecution().toString()
-    assert "ResolvedHint" in plan(runtime.small_or_shuffled(small, 10)) and "ResolvedHint" not in plan(runtime.small_or_shuffled(large, 10))
+    assert "BroadcastHashJoin" in plan(runtime.small_or_shuffled(small, 10)) and "SortMergeJoin" in plan(runtime.small_or_shuffled(large, 10))
+    wide = small.selectExpr("id", "repeat('é', 100) as t", "array('x') as a")
+    assert "SortMergeJoin" in plan(runtime.small_or_shuffled(wide, 10, size=1000)) and "BroadcastHashJoin" in plan(runtime.small_or_shuffled(wide, 10, size=2000))
     with pytest.raises(ValueError):
         runtime.collect_bounded(large, 10, "rows")
     assert runtime.spread(spark.range(3).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_places_within_groups(spark):
+    df = spark.range(300).selectExpr("id", "cast(if(id % 3 = 0, null, id % 2) as int) as g", "hash(id) as k")
+    got = {(r["g"], r["id"]): r["place"] for r in runtime.ranked(df, "g", ["k", "id"], "place").collect()}
+    rows = sorted(df.collect(), key=lambda r: (r["k"], r["id"]))
+    want = {}
+    for g in (None, 0, 1):
+        want |= {(g, r["id"]): n for n, r in enumerate((r for r in rows if r["g"] == g), 1)}
+    assert got == want
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Frame:
+        class sparkSession:  # noqa: N801
+            conf, sparkContext = {}, Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        runtime.checkpointed(Frame())
