@@ -520,6 +520,26 @@ def css_rules(spark, d) -> DataFrame:
     return p.where(F.contains("decl", F.lit(":")) & (value != "")).select("book_id", "sheet", "no", "selector", F.lower(F.trim(F.get(F.split("decl", ":"), F.lit(0)))).alias("name"), F.lower(value).alias("value"))
 
 
+_NUM = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?"
+_CUT = lambda unit: f"try_cast(case when regexp_matches(regexp_replace(value, '{unit}$', ''), '^{_NUM}$') then regexp_replace(value, '{unit}$', '') end as double)"
+_WORD_SIZES = " ".join(f"when '{k}' then {v}" for k, v in L.KEYWORDS.items())
+
+
+@query(f"""with r as ({ORACLES['css_rules']}), v as (select distinct name, value from r)
+  select name, value,
+    case when name = 'font-size' then cast(coalesce(case value {_WORD_SIZES} end,
+      case when value like '%\\%' escape '\\' then case when {_CUT('%')} / 100 > 0 then {_CUT('%')} / 100 when {_CUT('%')} is not null then {L.SCALE_LOW} end
+        when value like '%em' then case when {_CUT('r?em')} > 0 then {_CUT('r?em')} when {_CUT('r?em')} is not null then {L.SCALE_LOW} end
+        when value like '%px' then case when {_CUT('px')} > 0 then {_CUT('px')} / 16 end when value like '%pt' then case when {_CUT('pt')} > 0 then {_CUT('pt')} / 12 end end) as double) end as size,
+    case when name in ('text-indent', 'margin-left', 'margin', 'padding-left') then cast(case when value like '%em' then {_CUT('r?em')} when value like '%px' then {_CUT('px')} / 16 when value like '%pt' then {_CUT('pt')} / 12
+      when value like '%\\%' escape '\\' then {_CUT('%')} / 25 when value = '0' then 0.0 end as double) end as length from v""")
+def style_values(spark, d) -> DataFrame:
+    """What each font size of the stylesheets multiplies the surrounding one by, and each margin and indent in widths of the letter m."""
+    v = css_rules(spark, d).select("name", "value").distinct()
+    margins = F.col("name").isin("text-indent", "margin-left", "margin", "padding-left")
+    return v.select("name", "value", F.when(F.col("name") == "font-size", L.css_size(F.col("value"))).alias("size"), F.when(margins, L.css_length(F.col("value"))).alias("length"))
+
+
 @query("""with w as (select doc_id, unnest(regexp_extract_all(text, '[^ \\n\\r\\t]+')) as word from documents where text is not null)
     select doc_id, count(*) as n_words, cast(sum(length(word)) as bigint) as n_letters, cast(max(length(word)) as int) as longest from w
     group by 1""")
