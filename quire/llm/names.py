@@ -24,11 +24,11 @@ from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.lookalike import unify
-from quire.runtime import arrow_map, checkpointed, small_or_shuffled, spread, table, tune
+from quire.runtime import arrow_map, checkpointed, each_small_or_shuffled, spread, table, tune
 
 # Titles and roles, legal forms and articles.
 TITLES = frozenset("dr prof professor mr mrs ms miss sir dame rev hon by ed eds editor edited von_ author illustrator illus trans translator written jr sr phd md".split())
@@ -330,8 +330,8 @@ def _profile_keys(b: pa.RecordBatch) -> pa.RecordBatch:
             keys = {f"p{f} {g}" for f in r["families"] for g in r["firsts"]}
             keys = keys.union(*(_person_keys(f, r["firsts"][0]) for f in r["families"]), *(_person_keys(r["families"][0], g) for g in r["firsts"]))
             keys |= {f"p{k} {i}" for k in {*r["families"], *leave_one_out(r["families"][0])} for i in r["initials"]}
-        for k in keys:
-            out[0].append(_hash(k))
+        for k in {_hash(k) for k in keys}:
+            out[0].append(k)
             out[1].append(r["agent_id"])
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32())], names=["key", "agent_id"])
 
@@ -393,14 +393,16 @@ def forms_of(left: DataFrame, halves: DataFrame, profiles: DataFrame) -> DataFra
     met = left.select(F.explode("pairs").alias("x")).select(F.split("x", "\t").alias("x")).select(F.col("x")[0].alias("place"), F.col("x")[1].alias("form")).distinct()
     given = profiles.where("kind <> 'publisher'").select(F.explode("families").alias("place"), F.get("firsts", F.lit(0)).alias("word"), F.col("firsts").alias("known")).where("length(word) > 1")
     # a name that some agent of the family bears, or bears but for an error, is that agent's and says nothing about the others
-    pairs = arrow_map(met.join(given, "place").select("word", "form", "place", "known"), _close_kernel, "word string, form string, place string, close boolean")
-    borne = pairs.where("close").select("form", "place").distinct()
-    new = pairs.join(borne, ["form", "place"], "left_anti").select(F.lit("g").alias("kind"), "word", "form", "place")
+    pairs = arrow_map(met.join(given.hint("merge"), "place").select("word", "form", "place", "known"), _close_kernel, "word string, form string, place string, close boolean")
+    borne = F.max("close").over(Window.partitionBy("form", "place"))
+    new = pairs.withColumn("borne", borne).where("not borne").select(F.lit("g").alias("kind"), "word", "form", "place")
     half = halves.select(F.explode("new").alias("x")).select(F.split("x", "\t").alias("x"))
     seen = new.unionByName(half.select(F.lit("w").alias("kind"), F.col("x")[0].alias("word"), F.col("x")[1].alias("form"), F.col("x")[2].alias("place")))
-    n = seen.distinct().groupBy("kind", "word", "form").agg(F.count(F.lit(1)).alias("n"))
-    of = seen.select("kind", "form", "place").distinct().groupBy("kind", "form").agg(F.count(F.lit(1)).alias("of"))
-    judged = arrow_map(n.join(of, ["kind", "form"]).select("kind", "word", "form", "n", "of"), _short_kernel, "kind string, word string, form string, n bigint, of bigint, short boolean")
+    # one row of each place of a form is marked, so both counts come from one reading: a plan that reads its sources for each count has many times the joins
+    first = (F.row_number().over(Window.partitionBy("kind", "form", "place").orderBy("word")) == 1).cast("int")
+    n = seen.distinct().withColumn("first", first).groupBy("kind", "word", "form").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("first"))
+    n = n.withColumn("of", F.sum("first").over(Window.partitionBy("kind", "form")))
+    judged = arrow_map(n.select("kind", "word", "form", "n", "of"), _short_kernel, "kind string, word string, form string, n bigint, of bigint, short boolean")
     return judged.where(f"short or (n >= {PLACES} and 2 * n > of)").select("kind", "word", "form")
 
 
@@ -408,7 +410,7 @@ def resolve(mentions: DataFrame, agents: DataFrame) -> DataFrame:
     """(mention, agent_id) for the distinct strings of ``mentions`` (column ``mention``) that name an agent; both sides stay distributed.
 
     A round joins the blocking keys of profiles with those of unmatched mentions and keeps, for each mention, the agents of the least cost by a partial minimum; two of
-    them are a tie. The first round merges mentions without errors only, so that forms are learned before errors are forgiven. Spellings of merged mentions go to
+    them are a tie. Only measured sides are broadcast; the other joins are merged as they lie, since each broadcast and each stage takes memory of the driver that is not soon given back. The first round merges mentions without errors only, so that forms are learned before errors are forgiven. Spellings of merged mentions go to
     their profile, learned forms to every profile with their word. The loop ends when a round merges nothing and teaches no new form; each further round does one or the other, so it does end.
     """
     profiles = profiles_of(agents)
@@ -416,37 +418,41 @@ def resolve(mentions: DataFrame, agents: DataFrame) -> DataFrame:
     known = checkpointed(arrow_map(spread(distinct), _mention_kernel, "mention string, uniform string, keys array<bigint>, pairs array<string>"))
     links, taught, strict = None, None, True
     while True:
-        side = small_or_shuffled(arrow_map(profiles, _profile_keys, "key bigint, agent_id int").distinct())
+        side = checkpointed(arrow_map(profiles, _profile_keys, "key bigint, agent_id int"))
+        side, full = each_small_or_shuffled(side, profiles.select(F.col("agent_id").alias("p_id"), F.struct(*_NAMES).alias("profile")))
         # a mention's keys lie side by side, so its repeated agents are dropped inside the batch; one that a batch border leaves costs a comparison and changes no minimum
         pairs = known.select("mention", "uniform", F.explode("keys").alias("key")).join(side, "key").select("mention", "uniform", "agent_id")
         pairs = arrow_map(pairs, _once_kernel, "mention string, uniform string, agent_id int")
         if links is not None:  # the wide arrays of keys are never shuffled: pairs are few, and the merged ones are taken out of them
-            pairs = pairs.join(links.select("mention"), "mention", "left_anti")
-        full = small_or_shuffled(profiles.select(F.col("agent_id").alias("p_id"), F.struct(*_NAMES).alias("profile")))
-        costs = checkpointed(arrow_map(pairs.join(full, F.col("agent_id") == F.col("p_id")).select("mention", "uniform", "profile"), _cost_kernel, "mention string, agent_id int, cost double, new array<string>"))
-        best = costs.where(f"cost < {1.0 if strict else HALF}").groupBy("mention").agg(F.min(F.struct("cost", "agent_id", "new")).alias("lo"), F.max(F.struct((-F.col("cost")).alias("cost"), "agent_id")).alias("hi"))
-        got = checkpointed(best.where("lo.agent_id = hi.agent_id").select("mention", F.col("lo.agent_id").alias("agent_id"), F.col("lo.new").alias("new")))
-        merged = got.limit(1).count() > 0
+            pairs = pairs.join(links.select("mention").hint("merge"), "mention", "left_anti")
+        costs = arrow_map(pairs.join(full, F.col("agent_id") == F.col("p_id")).select("mention", "uniform", "profile"), _cost_kernel, "mention string, agent_id int, cost double, new array<string>")
+        fits, half = F.col("cost") < (1.0 if strict else HALF), F.col("cost") == HALF
+        lo, hi = F.min(F.when(fits, F.struct("cost", "agent_id", "new"))), F.max(F.when(fits, F.struct((-F.col("cost")).alias("cost"), "agent_id")))
+        best = checkpointed(costs.where(fits | half).groupBy("mention").agg(lo.alias("lo"), hi.alias("hi"), F.collect_set(F.when(half, F.get("new", F.lit(0)))).alias("halves")))
+        got = best.where("lo.agent_id = hi.agent_id").select("mention", F.col("lo.agent_id").alias("agent_id"), F.col("lo.new").alias("new"))
+        merged = bool(got.select("agent_id").head(1))
         if merged:
-            links = got if links is None else checkpointed(links.unionByName(got))
+            linked = got.select("mention", "agent_id")
+            links = linked if links is None else checkpointed(links.unionByName(linked))
         rest = known.where(F.size("pairs") > 0).select("mention", "pairs")
-        rest = rest if links is None else rest.join(links.select("mention"), "mention", "left_anti")
-        forms = forms_of(rest, costs.where(f"cost = {HALF}").join(got.select("mention"), "mention", "left_anti"), profiles)
+        rest = rest if links is None else rest.join(links.select("mention").hint("merge"), "mention", "left_anti")
+        forms = forms_of(rest, best.where("lo is null or lo.agent_id <> hi.agent_id").select(F.col("halves").alias("new")), profiles)
         if taught is not None:
-            forms = forms.join(taught, ["kind", "word", "form"], "left_anti")
+            forms = forms.join(taught.hint("merge"), ["kind", "word", "form"], "left_anti")
         forms = checkpointed(forms)
-        learned = forms.limit(1).count() > 0
+        learned = bool(forms.select("kind").head(1))
         if not merged and not learned and not strict:
             break
         if learned:
             taught = forms if taught is None else checkpointed(taught.unionByName(forms))
         strict = False
         own = got.select(F.col("agent_id").alias("l_id"), F.explode("new").alias("entry"))
-        words = profiles.select("agent_id", F.lit("g").alias("kind"), F.get("firsts", F.lit(0)).alias("word")).unionByName(profiles.select("agent_id", F.lit("w").alias("kind"), F.explode("words").alias("word")))
-        entry = F.when(F.col("kind") == "g", F.concat(F.lit("firsts\t"), "form")).otherwise(F.concat(F.lit("spellings\t"), "word", F.lit(" "), "form"))
-        shared = words.join(forms, ["kind", "word"]).select(F.col("agent_id").alias("l_id"), entry.alias("entry"))
-        grown = own.unionByName(shared).groupBy("l_id").agg(F.collect_set("entry").alias("new"))
-        profiles = checkpointed(arrow_map(profiles.join(grown, F.col("agent_id") == F.col("l_id"), "left").select(*_NAMES, "new"), _grow_kernel, PROFILE))
+        if learned:
+            words = profiles.select("agent_id", F.lit("g").alias("kind"), F.get("firsts", F.lit(0)).alias("word")).unionByName(profiles.select("agent_id", F.lit("w").alias("kind"), F.explode("words").alias("word")))
+            entry = F.when(F.col("kind") == "g", F.concat(F.lit("firsts\t"), "form")).otherwise(F.concat(F.lit("spellings\t"), "word", F.lit(" "), "form"))
+            own = own.unionByName(words.join(forms.hint("merge"), ["kind", "word"]).select(F.col("agent_id").alias("l_id"), entry.alias("entry")))
+        grown = own.groupBy("l_id").agg(F.collect_set("entry").alias("new"))
+        profiles = checkpointed(arrow_map(profiles.join(grown.hint("merge"), F.col("agent_id") == F.col("l_id"), "left").select(*_NAMES, "new"), _grow_kernel, PROFILE))
     return (got if links is None else links).select("mention", "agent_id")
 
 

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -82,6 +83,14 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BRO
     return F.broadcast(kept) if n <= rows and total <= size else kept.hint("merge")
 
 
+def each_small_or_shuffled(*kept: DataFrame) -> list[DataFrame]:
+    """As ``small_or_shuffled``, for several sides that read checkpoints: one query measures them all."""
+    parts = [k.select(F.lit(i).alias("side"), byte_size(k).alias("bytes")) for i, k in enumerate(kept)]
+    measured = {r["side"]: (r["n"], r["total"]) for r in reduce(DataFrame.unionAll, parts).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total")).collect()}
+    few = [n <= BROADCAST_ROWS and total <= BROADCAST_BYTES for n, total in (measured.get(i, (0, 0)) for i in range(len(kept)))]
+    return [F.broadcast(k) if f else k.hint("merge") for k, f in zip(kept, few)]
+
+
 def collect_bounded(df: DataFrame, rows: int, what: str) -> list:
     """Rows of a control table (containers, test items, ...) for the driver; refuses a table above its stated bound."""
     got = df.limit(rows + 1).collect()

@@ -75,3 +75,12 @@ def test_names_of_the_same_family_teach_nothing(spark):
     mentions = spark.createDataFrame([(m,) for m in want], "mention string")
     got = {r["mention"]: r["agent_id"] for r in N.resolve(mentions, spark.createDataFrame(agents, "agent_id int, agent_kind string, agent_name string")).collect()}
     assert got == {m: a for m, a in want.items() if a}
+
+
+def test_forms_are_counted_in_one_reading(spark):
+    left = spark.createDataFrame([([x],) for x in ("noramdale\tbob", "tarnholt\tbob", "noramdale\tray", "quillfen\twill", "noramdale\trobert")], "pairs array<string>")
+    halves = spark.createDataFrame([(x,) for x in (["verlag\tvlg\tbrick"], ["verlag\tvlg\tstone", "books\tvlg\tstone"], ["verlag\tvlg\tstone"], ["books\tbks\tstone"], [])], "new array<string>")
+    profiles = spark.createDataFrame([N.profile(i, "person", n) for i, n in enumerate(("Robert Noramdale", "Raymond Noramdale", "Robert Tarnholt", "Margaret Quillfen"))], N.PROFILE)
+    forms = N.forms_of(left, halves, profiles)
+    assert forms._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # each reading more is a broadcast and several stages a round, which the driver pays for
+    assert {tuple(r) for r in forms.collect()} == {("g", "robert", "bob"), ("g", "raymond", "ray"), ("w", "verlag", "vlg")}
